@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from edgewright.llm import bpe_codec, media, quality, token_io
+from edgewright.llm import bpe_codec, media, mixing, near, quality, rollup, sharding, token_io
+from edgewright.llm.shared import new_path, written
 
 #: Where the vocabulary file of the BPE queries lies.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,15 +27,85 @@ def op3_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.token_file_digest(documents(spark, sf_dir), TOKENIZER)
 
 
+def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, choices = mixing.pareto_mix(documents(spark, sf_dir))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixing.copies(rows, choices).select("doc_id", "size", "source_size", "target", taken)
+
+
 def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(documents(spark, sf_dir), TOKENIZER)
 
 
+def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.stratified_shards(documents(spark, sf_dir))
+
+
 def op8_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.store_as_avi(documents(spark, sf_dir)))
 
 
+def op9_t_occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.jaccard_components(documents(spark, sf_dir))
+
+
+#: Tokenizer versions of the rollup: runs of non-white bytes, and words with each punctuation mark on its own.
+COUNTED = {"white-1": r"[^\x20\x09-\x0D]+", "pieces-2": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"}
+
+
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches: all documents counted by the first tokenizer; those labelled of low quality deleted; those labelled
+    toxic revised to their count by the second; all documents counted by the second. The second and third are committed twice."""
+    counts = [F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long").alias(f"t{k}") for k, p in enumerate(COUNTED.values())]
+    counted, _ = written(documents(spark, sf_dir).select("doc_id", "source", "lang", *counts), "token-counts")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    first, second = COUNTED
+
+    def deltas(rows: DataFrame, tokenizer: str, change: str, tokens: str, old: str | None = None) -> DataFrame:
+        before = F.col(old) if old else F.lit(None).cast("long")
+        return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(change).alias("change"), F.col(tokens).alias("tokens"), before.alias("old_tokens"))
+
+    low = counted.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    toxic = counted.join(labels.where("toxic = 1 and quality <> 0").select("doc_id"), "doc_id", "left_semi")
+    total = rollup.TokenRollup(spark, new_path(spark, "token-totals"))
+    total.commit("0-insert", deltas(counted, first, "insert", "t0"))
+    for _ in range(2):
+        total.commit("1-delete", deltas(low, first, "delete", "t0"))
+        total.commit("2-revise", deltas(toxic, first, "revise", "t1", "t0"))
+    total.commit("3-insert", deltas(counted, second, "insert", "t1"))
+    return total.totals()
+
+
+_ROLLUP_SQL = f"""
+with counted as (
+  select doc_id, source, lang,
+         coalesce(len(regexp_extract_all(text, '{COUNTED["white-1"]}')), 0) as t0,
+         coalesce(len(regexp_extract_all(text, '{COUNTED["pieces-2"]}')), 0) as t1
+  from documents
+), deltas as (
+  select source, lang, 'white-1' as tokenizer, 1 as d, t0 as t from counted
+  union all
+  select source, lang, 'white-1', -1, -t0 from counted where doc_id in (select doc_id from labels where quality = 0)
+  union all
+  select source, lang, 'white-1', 0, t1 - t0 from counted where doc_id in (select doc_id from labels where toxic = 1 and quality <> 0)
+  union all
+  select source, lang, 'pieces-2', 1, t1 from counted
+)
+select source, lang, tokenizer, cast(sum(d) as bigint) as n_docs, cast(sum(t) as bigint) as n_tokens
+from deltas group by source, lang, tokenizer having sum(d) <> 0 or sum(t) <> 0
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_compression_bands, op3_orc_token_ids, op5_trie_bpe, op8_motion_jpeg)
+    f.__name__: f
+    for f in (
+        op1_compression_bands,
+        op3_orc_token_ids,
+        op4_pareto_mix,
+        op5_trie_bpe,
+        op6_stratified_shards,
+        op8_motion_jpeg,
+        op9_t_occurrence_join,
+        op10_token_rollup,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_token_rollup": _ROLLUP_SQL}

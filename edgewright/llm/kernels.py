@@ -78,6 +78,10 @@ class Spans:
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return Spans(buf).hash(starts, ends)
+
+
 def at(offs: np.ndarray, n: int) -> np.ndarray:
     """The places of ``offs`` that lie inside a buffer of n bytes."""
     return offs[offs < n]
