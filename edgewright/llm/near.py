@@ -92,30 +92,34 @@ def fewest(p: int, q: int) -> int:
     return math.ceil(p / (q - p))
 
 
-def _whole(batches: Iterator[pa.RecordBatch], words: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(fp, tokens) of the documents that the filter lets pass."""
+def _wanted(batches: Iterator[pa.RecordBatch], words: int, wanted: np.ndarray, as_sets: bool) -> Iterator[pa.RecordBatch]:
+    """(fp, whole set or text) of the documents that the filter lets pass."""
     for batch in batches:
         ask = batch.column(2).to_numpy()
         batch = batch.filter(pa.array((wanted[ask >> 3] >> (ask & 7)) & 1 == 1))
-        for _, sets, offs in shingle_sets(batch.column(1), words):
-            lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(sets.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_fingerprint(sets, offs)), lists], names=["fp", "tokens"])
+        for a, sets, offs in shingle_sets(batch.column(1), words):
+            if as_sets:
+                kept = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(sets.view(np.int64)))
+            else:
+                kept = batch.column(1).slice(a, len(offs) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(_fingerprint(sets, offs)), kept], names=["fp", "kept"])
 
 
 def _bucket(column: str):
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def _token_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(fp, tokens) with the whole sets of the classes ``wanted`` (fp, min_doc): a scan behind a fixed-size filter, then an exact join."""
+def _fetch(docs: DataFrame, wanted: DataFrame, words: int, as_sets: bool) -> DataFrame:
+    """(fp, kept): whole sets or texts of the classes ``wanted`` (fp, min_doc), and of some others: a scan behind a fixed-size filter."""
     part, bit = F.floor(F.col("b") / 32768), F.col("b") % 32768
     bits = wanted.select(_bucket("min_doc").alias("b")).groupBy(part.alias("part")).agg(F.bitmap_construct_agg(bit).alias("bits"))
     flags = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in bits.collect():  # FILTER_BITS bits at most
         flags[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     rows = docs.select("doc_id", "text", _bucket("doc_id").alias("b"))
-    found = rows.mapInArrow(lambda it: _whole(it, words, flags), "fp long, tokens array<long>")
-    return found.join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.any_value("tokens").alias("tokens"))
+    kind = "array<long>" if as_sets else "string"
+    found = rows.mapInArrow(lambda it: _wanted(it, words, flags, as_sets), f"fp long, kept {kind}")
+    return found.groupBy("fp").agg(F.any_value("kept").alias("kept"))  # equal sets of rows with one doc_id
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.RecordBatch]:
@@ -186,16 +190,19 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], needed: list[int]) ->
     return found
 
 
-def _links(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], words: int, p: int, q: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        left, right = batch.column(2), batch.column(3)
-        keep = np.zeros(len(a), bool)
         cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else np.zeros(1, np.int64)
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            query = left[x].values.to_numpy().view(np.uint64)
-            sets = [right[i].values.to_numpy().view(np.uint64) for i in range(x, y)]
-            keep[x:y] = divide_skip(query, sets, [least_overlap(len(query), len(s), p, q) for s in sets])
+        query_of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        queries = [sets[x:y] for _, sets, offs in shingle_sets(batch.column(2).take(pa.array(cuts[:-1])), words) for x, y in zip(offs[:-1], offs[1:], strict=True)]
+        keep = np.zeros(len(a), bool)
+        for first, sets, offs in shingle_sets(batch.column(3), words):
+            end = first + len(offs) - 1
+            for k in range(query_of[first], query_of[end - 1] + 1):
+                x, y = max(first, int(cuts[k])), min(end, int(cuts[k + 1]))
+                others = [sets[offs[i - first] : offs[i - first + 1]] for i in range(x, y)]
+                keep[x:y] = divide_skip(queries[k], others, [least_overlap(len(queries[k]), len(s), p, q) for s in others])
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
@@ -204,28 +211,33 @@ def class_links(docs: DataFrame, words: int, p: int, q: int) -> tuple[DataFrame,
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows, _ = written(docs.mapInArrow(lambda it: _emit(it, words, p, q), f"doc_id {kind}, n long, fp long, tokens array<long>"), "shingles")
-    classes, classes_at = written(
-        rows.where(F.col("n") >= fewest(p, q)).groupBy("fp").agg(F.min("doc_id").alias("min_doc"), F.min("n").alias("n"), F.any_value("tokens").alias("tokens")),
-        "classes",
+    wide, wide_at = written(docs.mapInArrow(lambda it: _emit(it, words, p, q), f"doc_id {kind}, n long, fp long, tokens array<long>"), "shingles")
+    rows, _ = written(wide.select("doc_id", "n", "fp"), "documents")
+    several = wide.where(F.col("n") >= fewest(p, q)).groupBy("fp")
+    emitted, emitted_at = written(
+        several.agg(F.min("doc_id").alias("min_doc"), F.min("n").alias("n"), F.any_value("tokens").alias("tokens"), F.lit(False).alias("whole")), "classes"
     )
-    emitted, old = classes.select("fp", "n", "min_doc", "tokens", F.lit(False).alias("whole")), [classes_at]
+    discard(spark, wide_at)
+    need = F.col("n") - F.ceil(F.col("n") * p / q) + 1
+    heavy, counted = spark.createDataFrame([], "token long"), emitted
     while True:
+        # Counted among smallest hashes once, and among whole sets each time: a list is long if either says so.
+        lists = counted.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("lists"))
+        heavy, heavy_at = written(lists.where(F.col("lists") >= LONG_LIST).select("token").union(heavy).distinct(), "long-lists")
         postings = emitted.select("fp", F.explode("tokens").alias("token"))
-        heavy, heavy_at = written(postings.groupBy("token").agg(F.count("*").alias("lists")).where(F.col("lists") >= LONG_LIST).select("token"), "long-lists")
         long, long_at = written(postings.join(heavy, "token").groupBy("fp").agg(F.collect_list("token").alias("long")), "long-of")
-        old += [heavy_at, long_at]
-        need = F.col("n") - F.ceil(F.col("n") * p / q) + 1
         short_of = emitted.where(~F.col("whole")).join(long, "fp").where(F.size("tokens") - F.size("long") < need).select("fp", "min_doc")
-        short_of, at = written(short_of, "more-wanted")
-        old.append(at)
+        short_of, short_at = written(short_of, "more-wanted")
         if short_of.isEmpty():
             break
-        sets = _token_sets(docs, short_of, words)
-        more = emitted.join(sets.withColumnRenamed("tokens", "every"), "fp", "left")
-        more = more.select("fp", "n", "min_doc", F.coalesce("every", "tokens").alias("tokens"), (F.col("whole") | F.col("every").isNotNull()).alias("whole"))
-        emitted, at = written(more, "emitted")
-        old.append(at)
+        sets = _fetch(docs, short_of, words, True).withColumnRenamed("kept", "every").join(short_of.select("fp"), "fp")
+        more = emitted.join(sets, "fp", "left")
+        more = more.select("fp", "min_doc", "n", F.coalesce("every", "tokens").alias("tokens"), (F.col("whole") | F.col("every").isNotNull()).alias("whole"))
+        old = (emitted_at, long_at, short_at)
+        emitted, emitted_at = written(more, "emitted")
+        counted = emitted.where("whole")
+        for at in old:
+            discard(spark, at)
     prefixes = emitted.join(long, "fp", "left").select("fp", "n", "tokens", "long")
     places, places_at = written(prefixes.mapInArrow(lambda it: _prefixes(it, p, q), "token long, fp long, n long, place long"), "prefixes")
     x, y = (places.select("token", *(F.col(c).alias(c + s) for c in ("fp", "n", "place"))) for s in "ab")
@@ -238,15 +250,18 @@ def class_links(docs: DataFrame, words: int, p: int, q: int) -> tuple[DataFrame,
         & ((p + q) * bound >= p * (F.col("na") + F.col("nb"))),
     )
     pairs, pairs_at = written(pairs.select("fpa", "fpb").distinct(), "pairs")
+    discard(spark, places_at)
     nodes = pairs.select(F.explode(F.array("fpa", "fpb")).alias("fp")).distinct()
-    wanted, wanted_at = written(classes.select("fp", "min_doc").join(nodes, "fp", "left_semi"), "wanted")
-    sets, sets_at = written(_token_sets(docs, wanted, words), "sets")
-    right = pairs.join(sets.select(F.col("fp").alias("fpb"), F.col("tokens").alias("tb")), "fpb")
-    both = right.join(sets.select(F.col("fp").alias("fpa"), F.col("tokens").alias("ta")), "fpa").select("fpa", "fpb", "ta", "tb")
-    links, _ = written(both.mapInArrow(lambda it: _links(it, p, q), "a long, b long"), "links")
-    for at in (*old, places_at, pairs_at, wanted_at, sets_at):
+    wanted, wanted_at = written(emitted.select("fp", "min_doc").join(nodes, "fp", "left_semi"), "wanted")
+    for at in (emitted_at, long_at, short_at, heavy_at):
         discard(spark, at)
-    return rows.select("doc_id", "n", "fp"), links
+    texts = _fetch(docs, wanted, words, False)
+    right = pairs.join(texts.select(F.col("fp").alias("fpb"), F.col("kept").alias("tb")), "fpb")
+    both = right.join(texts.select(F.col("fp").alias("fpa"), F.col("kept").alias("ta")), "fpa").select("fpa", "fpb", "ta", "tb")
+    links, _ = written(both.mapInArrow(lambda it: _links(it, words, p, q), "a long, b long"), "links")
+    discard(spark, pairs_at)
+    discard(spark, wanted_at)
+    return rows, links
 
 
 def components(links: DataFrame) -> DataFrame:
