@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.llm import bpe_codec, media, mixing, near, quality, rollup, sharding, token_io
+from edgewright.llm import bpe_codec, media, mixing, near, quality, rollup, sharding, token_io, toxicity
 from edgewright.llm.shared import new_path, written
 
 #: Where the vocabulary file of the BPE queries lies.
@@ -41,6 +41,13 @@ def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(documents(spark, sf_dir))
 
 
+def op7_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.store_as_avi(documents(spark, sf_dir)))
 
@@ -103,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_pareto_mix,
         op5_trie_bpe,
         op6_stratified_shards,
+        op7_subword_toxicity,
         op8_motion_jpeg,
         op9_t_occurrence_join,
         op10_token_rollup,
