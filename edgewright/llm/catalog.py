@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.llm import bpe_codec, media, mixing, near, quality, rollup, sharding, token_io, toxicity
+from edgewright.llm import bpe_codec, licences, media, mixing, near, quality, rollup, sharding, token_io, toxicity
 from edgewright.llm.shared import new_path, written
 
 #: Where the vocabulary file of the BPE queries lies.
@@ -23,6 +23,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_bands(documents(spark, sf_dir))
 
 
+def op2_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licenses(documents(spark, sf_dir))
+
+
 def op3_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.token_file_digest(documents(spark, sf_dir), TOKENIZER)
 
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_compression_bands,
+        op2_license_join,
         op3_orc_token_ids,
         op4_pareto_mix,
         op5_trie_bpe,
@@ -116,4 +121,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_rollup,
     )
 }
-ORACLES: dict[str, str] = {"op10_token_rollup": _ROLLUP_SQL}
+ORACLES: dict[str, str] = {"op2_license_join": licences.oracle(), "op10_token_rollup": _ROLLUP_SQL}
