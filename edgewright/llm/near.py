@@ -206,8 +206,11 @@ def _links(batches: Iterator[pa.RecordBatch], words: int, p: int, q: int) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
-def class_links(docs: DataFrame, words: int, p: int, q: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, fp) of all documents, and links (a, b) between the keys of different linking classes, each once."""
+def class_links(docs: DataFrame, words: int, p: int, q: int, every: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, fp) of all documents, and links (a, b) between the keys of different linking classes, each once.
+
+    Without ``every`` pairs of classes that other links connect already are not looked at: their components are the same.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -240,28 +243,49 @@ def class_links(docs: DataFrame, words: int, p: int, q: int) -> tuple[DataFrame,
             discard(spark, at)
     prefixes = emitted.join(long, "fp", "left").select("fp", "n", "tokens", "long")
     places, places_at = written(prefixes.mapInArrow(lambda it: _prefixes(it, p, q), "token long, fp long, n long, place long"), "prefixes")
-    x, y = (places.select("token", *(F.col(c).alias(c + s) for c in ("fp", "n", "place"))) for s in "ab")
-    bound = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
-    pairs = x.join(
-        y,
-        (x.token == y.token)
-        & (F.col("fpa") < F.col("fpb"))
-        & (q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
-        & ((p + q) * bound >= p * (F.col("na") + F.col("nb"))),
-    )
-    pairs, pairs_at = written(pairs.select("fpa", "fpb").distinct(), "pairs")
+    # Each list's class of the earliest place is its centre: of near copies, the one with the fewest shingles of its own.
+    centre = F.min(F.struct("place", "fp", "n")).alias("centre")
+    lists = places.groupBy("token").agg(centre, F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    met, met_at = written(places.join(lists, "token"), "postings")
     discard(spark, places_at)
-    nodes = pairs.select(F.explode(F.array("fpa", "fpb")).alias("fp")).distinct()
-    wanted, wanted_at = written(emitted.select("fp", "min_doc").join(nodes, "fp", "left_semi"), "wanted")
-    for at in (emitted_at, long_at, short_at, heavy_at):
+    head = met.select("fp", "n", "place", F.col("centre.fp").alias("fpb"), F.col("centre.n").alias("nb"), F.col("centre.place").alias("placeb"))
+    stars = head.toDF("fpa", "na", "placea", "fpb", "nb", "placeb").where((F.col("fpa") != F.col("fpb")) & _may_link(p, q))
+    verified = lambda pairs: _verified(docs, emitted, pairs, words, p, q)
+    links = verified(stars.select(F.least("fpa", "fpb").alias("fpa"), F.greatest("fpa", "fpb").alias("fpb")).distinct())
+    # What the centres have not joined: classes of one list in different components.
+    found = components(links).select(F.col("node").alias("fp"), "component")
+    marked = met.drop("centre").join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    if not every:
+        split = marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+        marked = marked.join(split, "token")
+    x, y = (marked.select("token", *(F.col(c).alias(c + s) for c in ("fp", "n", "place", "component"))) for s in "ab")
+    apart = F.lit(True) if every else F.col("componenta") != F.col("componentb")
+    rest = x.join(y, (x.token == y.token) & (F.col("fpa") < F.col("fpb")) & apart & _may_link(p, q))
+    more = verified(rest.select("fpa", "fpb").distinct())
+    for at in (met_at, emitted_at, long_at, short_at, heavy_at):
         discard(spark, at)
+    return rows, more if every else links.union(more)
+
+
+def _may_link(p: int, q: int):
+    """Length and position filters of columns na, placea, nb, placeb."""
+    bound = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
+    return (q * F.least("na", "nb") >= p * F.greatest("na", "nb")) & ((p + q) * bound >= p * (F.col("na") + F.col("nb")))
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """Those of the pairs (fpa, fpb) that link, as (a, b)."""
+    spark = docs.sparkSession
+    pairs, pairs_at = written(pairs, "pairs")
+    nodes = pairs.select(F.explode(F.array("fpa", "fpb")).alias("fp")).distinct()
+    wanted, wanted_at = written(classes.select("fp", "min_doc").join(nodes, "fp", "left_semi"), "wanted")
     texts = _fetch(docs, wanted, words, False)
     right = pairs.join(texts.select(F.col("fp").alias("fpb"), F.col("kept").alias("tb")), "fpb")
     both = right.join(texts.select(F.col("fp").alias("fpa"), F.col("kept").alias("ta")), "fpa").select("fpa", "fpb", "ta", "tb")
     links, _ = written(both.mapInArrow(lambda it: _links(it, words, p, q), "a long, b long"), "links")
     discard(spark, pairs_at)
     discard(spark, wanted_at)
-    return rows, links
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -304,7 +328,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, p: int = 9, q: int = 10)
     and repeats. A doc_id of several rows stands for each of them. Sets are of 64-bit hashes: two different
     shingles, or the sets of two classes, are taken for one with probability near 2**-64. Other columns are left out.
     """
-    rows, links = class_links(docs, words, p, q)
+    rows, links = class_links(docs, words, p, q, every=False)
     found = components(links)
     least = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     grouped = least.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
