@@ -20,8 +20,8 @@ from edgewright.llm import kernels as K
 #: Bounds of the labelled sample that is fetched for training, by class; the smallest seeded hashes are taken.
 MOST_TOXIC, MOST_CLEAN = 1500, 2500
 BUCKETS, WIDTH, WINDOW = 1 << 17, 8, 2
-WHOLE_EPOCHS, WHOLE_STEPS, WINDOW_EPOCHS, WINDOW_STEPS = 2, 16, 16, 50
-BATCH, RATE, RATE_VECTORS = 256, 1.0, 30.0
+WHOLE_EPOCHS, WHOLE_STEPS, WINDOW_EPOCHS, WINDOW_STEPS = 2, 64, 16, 50
+WHOLE_BATCH, BATCH, RATE, RATE_VECTORS = 64, 256, 1.0, 30.0
 #: An n-gram bucket that fewer training documents hold stays zero: it could only be learnt by heart.
 LEAST_DOCS = 4
 FOLDS = 5
@@ -51,6 +51,17 @@ def grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return np.concatenate(words), (K.mix(np.concatenate(found)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def _sorted_grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, word by word, and the n + 1 places where each word's begin; made in blocks to save memory."""
+    flat, counts = [], []
+    for a in range(0, len(starts), block):
+        low, high = int(starts[a : a + block].min()), int(ends[a : a + block].max())
+        word, bucket = grams(buf[low:high], starts[a : a + block] - low, ends[a : a + block] - low)
+        flat.append(bucket[np.argsort(word, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(word))
+    return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
 def _distinct(buf: np.ndarray, offs: np.ndarray):
     """Distinct words' starts and ends, the distinct word of each word, and where each text's words begin."""
     starts, ends, first = K.words(buf, offs, _GAP)
@@ -130,13 +141,20 @@ def train(texts: list[str | None], labels: list[int], toxic_share: float, seed:
     prior = float(np.log(max(toxic_share, 1e-6) / max(1 - toxic_share, 1e-6)))
     if len(np.unique(truth)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, prior, prior)
-    buf, offs = K.texts(pa.array(texts, pa.string()))
-    buf = K.LOWER[buf]
-    starts, ends, which, first = _distinct(buf, offs)
-    word, bucket = grams(buf, starts, ends)
-    order = np.argsort(word, kind="stable")
-    grams_of = bucket[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(starts)))])
-    del word, bucket, order
+    column = pa.array(texts, pa.string())
+    found, base = [], 0
+    for _, _, part, offs in K.chunks(column):
+        part = K.LOWER[part]
+        starts, ends, first = K.words(part, offs, _GAP)
+        found.append((K.Spans(part).hash(starts, ends), starts + base, ends + base, np.diff(first)))
+        base += len(part)
+    hashes, starts, ends, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    buf, first = K.LOWER[K.texts(column)[0]], np.concatenate([[0], np.cumsum(counts)])
+    _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+    place = np.argsort(one, kind="stable")  # by place in the text, so that a block's words lie near one another
+    starts, ends, which = starts[one[place]], ends[one[place]], np.argsort(place, kind="stable").astype(np.int32)[which]
+    del found, hashes, one, place
+    grams_of = _sorted_grams(buf, starts, ends)
     rng = np.random.default_rng(seed)
     some = np.flatnonzero(np.diff(first))
     holders = np.zeros(BUCKETS, np.int32)
@@ -163,7 +181,8 @@ def train(texts: list[str | None], labels: list[int], toxic_share: float, seed:
                 begin[i] += int(np.argmax(values[begins[i] : begins[i + 1]]))
             size = np.minimum(size, WINDOW)
         for _ in range(WHOLE_STEPS if epoch < WHOLE_EPOCHS else WINDOW_STEPS):
-            batch = np.concatenate([rng.choice(h, BATCH // 2) for h in halves if len(h)])
+            many = WHOLE_BATCH if epoch < WHOLE_EPOCHS else BATCH
+            batch = np.concatenate([rng.choice(h, many // 2) for h in halves if len(h)])
             words = K.ragged(which, begin[batch], size[batch])
             owners = np.repeat(np.arange(len(batch)), size[batch])
             _softmax_step(words, owners, size[batch].astype(float), truth[batch], grams_of, vectors, layer, common, seen)
