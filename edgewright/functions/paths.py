@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from edgewright import schemas
 
-NULL = F.lit(None).cast("string")
 _AUTHORITY = r"(?s)^([A-Za-z0-9+.\-]+)://([^/]*)(.*)$"
 
 
+def null() -> Column:
+    return F.lit(None).cast("string")
+
+
 def scheme(url: Column) -> Column:
     """Lower-cased scheme of ``scheme://...``, else null."""
     return F.when(url.rlike(_AUTHORITY), F.lower(F.regexp_extract(url, _AUTHORITY, 1)))
@@ -63,12 +66,13 @@ def interior_empties(path: Column) -> Column:
     return F.size(F.filter(inner, lambda s: s == ""))
 
 
-def _segment(kind: str, value: Column = NULL, name: Column = NULL, constraint: Column = NULL, source: Column = NULL) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), value.alias("value"), name.alias("name"), constraint.alias("constraint"), source.alias("source"))
+def segment(kind: str, **fields: Column) -> Column:
+    """A segment of this kind; fields that are not given are null."""
+    return F.struct(F.lit(kind).alias("kind"), *(fields.get(k, null()).alias(k) for k in ("value", "name", "constraint", "source")))
 
 
 def static_segment(s: Column) -> Column:
-    return _segment("static", s)
+    return segment("static", value=s)
 
 
 def _some(s: Column) -> Column:
@@ -88,10 +92,10 @@ def classify_segment(s: Column) -> Column:
     name = F.when(~colon, _some(inner)).when(braces, _some(left)).otherwise(_some(right))
     limit = F.when(colon & braces, _some(right)).when(colon, _some(left))
     return (
-        F.when(s.isin("*", "**"), _segment("wildcard"))
-        .when((braces | angles) & F.coalesce(limit == "path", F.lit(False)), _segment("wildcard", name=name))
-        .when(braces | angles, _segment("parameter", name=name, constraint=limit))
-        .when(F.startswith(s, F.lit(":")) & (F.length(s) > 1), _segment("parameter", name=F.substring(s, F.lit(2), F.length(s))))
+        F.when(s.isin("*", "**"), segment("wildcard"))
+        .when((braces | angles) & F.coalesce(limit == "path", F.lit(False)), segment("wildcard", name=name))
+        .when(braces | angles, segment("parameter", name=name, constraint=limit))
+        .when(F.startswith(s, F.lit(":")) & (F.length(s) > 1), segment("parameter", name=F.substring(s, F.lit(2), F.length(s))))
         .otherwise(static_segment(s))
     )
 
@@ -130,10 +134,12 @@ def show_segment(s: Column) -> Column:
     )
 
 
-def display(parts: Column, slash: Column, scheme_: Column = NULL, authority_: Column = NULL) -> Column:
+def display(parts: Column, slash: Column, scheme_: Column | None = None, authority_: Column | None = None) -> Column:
     """The route as people read it."""
     path = F.concat(F.lit("/"), F.array_join(F.transform(parts, show_segment), "/"))
     path = F.when((F.size(parts) > 0) & slash, F.concat(path, F.lit("/"))).otherwise(path)
+    if scheme_ is None or authority_ is None:
+        return path
     return F.concat(F.coalesce(F.concat(scheme_, F.lit("://"), authority_), F.lit("")), path)
 
 
@@ -166,7 +172,7 @@ def join_paths(prefix: Column, path: Column) -> Column:
 def language(path: Column) -> Column:
     """Source language by file extension, null for others."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    out = F.when(F.lit(False), NULL)
+    out = F.when(F.lit(False), null())
     for k, v in schemas.EXTENSIONS.items():
         out = out.when(ext == k, v)
     return out

@@ -17,7 +17,7 @@ def _fill(parts: Column, sources: Column) -> Column:
     def step(done: Column, s: Column) -> Column:
         count = F.when(s["kind"] == "static", F.length(s["value"]) - F.length(F.replace(s["value"], F.lit(_HOLE)))).otherwise(0)
         own = F.slice(sources, done["at"] + 1, count)
-        made = F.when(count > 0, P._segment("dynamic", source=F.array_join(own, ", "))).otherwise(s)
+        made = F.when(count > 0, P.segment("dynamic", source=F.array_join(own, ", "))).otherwise(s)
         return F.struct(F.array_append(done["out"], made).alias("out"), (done["at"] + count).cast("int").alias("at"))
 
     start = F.struct(F.array().cast(_NO_SEGMENTS).alias("out"), F.lit(0).alias("at"))
