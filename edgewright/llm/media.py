@@ -424,14 +424,15 @@ def _inverse() -> np.ndarray:
     """64 coefficients in zigzag order -> 64 pixels."""
     x = np.arange(8)
     basis = np.cos((2 * x[:, None] + 1) * x[None] * np.pi / 16) * np.where(x == 0, np.sqrt(0.125), 0.5)[None]
-    return np.kron(basis, basis)[:, ZIGZAG].T.astype(np.float32)
+    return np.kron(basis, basis)[:, ZIGZAG].T
 
 
 _INVERSE = _inverse()
 
 
 def _pixels(coefficients: np.ndarray, quantiser: np.ndarray) -> np.ndarray:
-    shown = (coefficients * quantiser).astype(np.float32) @ _INVERSE
+    # In double precision, so that a pixel does not depend on what else is in the batch.
+    shown = (coefficients * quantiser).astype(np.float64) @ _INVERSE
     return np.clip(np.rint(shown + 128), 0, 255).astype(np.uint8)
 
 

@@ -26,7 +26,7 @@ OPTIONS = {
 _FILE = "doc_id {id}, part int, place long, n_tokens long, ids array<int>"
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     part, place = TaskContext.get().partitionId(), 0
     encode = bpe.encoder(path, trie=False)
     for batch in batches:
@@ -54,13 +54,12 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id"
     file, so a document's global start needs only the files' totals. Equal document ids are ordered by
     text, null ids come first; equal rows stay rows of their own. Extra columns are left out.
     """
-    kind = docs.schema[doc_id].dataType
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     (
         rows.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .mapInArrow(lambda it: _encode(it, tokenizer, kind), _FILE.format(id=kind.simpleString()))
+        .mapInArrow(lambda it: _encode(it, tokenizer), _FILE.format(id=docs.schema[doc_id].dataType.simpleString()))
         .write.options(**OPTIONS)
         .orc(path)
     )
