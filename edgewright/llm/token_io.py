@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from edgewright.llm import bpe
 from edgewright.llm import kernels as K
-from edgewright.llm.shared import new_path
+from edgewright.llm.shared import new_path, written
 
 END_ID = 2
 OPTIONS = {
@@ -71,6 +71,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("ids"))  # a row for each file
     offsets = totals.select("part", F.coalesce(F.sum("ids").over(ahead), F.lit(0)).alias("offset"))
+    offsets, _ = written(offsets, "file-starts")  # its size is known, so Spark broadcasts it while it is small
     return rows.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 
