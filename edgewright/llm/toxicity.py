@@ -201,14 +201,29 @@ def train(texts: list[str | None], labels: list[int], toxic_share: float, seed:
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Model:
-    """Train on the rows of ``labels`` (doc_id, toxic) that are not held out and have a document; see MOST_TOXIC and MOST_CLEAN."""
+    """Train on the rows of ``labels`` (doc_id, toxic) that are not held out and have a document; see MOST_TOXIC and MOST_CLEAN.
+
+    The bounded sample meets in one task, which trains; only the model comes to the driver.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
-    share = known.agg(F.avg("toxic")).first()[0] or 0.0
+    share = float(known.agg(F.avg("toxic")).first()[0] or 0.0)
     parts = [known.where(F.col("toxic") == t).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n) for t, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     chosen = F.broadcast(parts[0].union(parts[1]))  # at most MOST_TOXIC + MOST_CLEAN rows
-    order = ["doc_id", F.xxhash64("text")]
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").orderBy(*order).limit(MOST_TOXIC + MOST_CLEAN).collect()
-    return train([r.text for r in rows], [r.toxic for r in rows], float(share), seed)
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(MOST_TOXIC + MOST_CLEAN)
+    made = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(lambda it: _train(it, share, seed), "buckets binary, slope double, offset double, empty double").first()
+    if made is None:
+        return train([], [], share, seed)
+    return Model(np.frombuffer(bytes(made.buckets), np.float32), made.slope, made.offset, made.empty)
+
+
+def _train(batches: Iterator[pa.RecordBatch], share: float, seed: int) -> Iterator[pa.RecordBatch]:
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        labels += batch.column(1).to_pylist()
+    model = train(texts, labels, share, seed)
+    columns = [pa.array([model.buckets.tobytes()], pa.binary()), *(pa.array([float(x)]) for x in model[1:])]
+    yield pa.RecordBatch.from_arrays(columns, names=list(Model._fields))
 
 
 def logits(buf: np.ndarray, offs: np.ndarray, model: Model) -> np.ndarray:
