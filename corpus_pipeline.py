@@ -10,8 +10,9 @@ from edgewright.llm.shared import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the base rules and the compression bands keep."""
-    return quality.compression_bands(docs, keep=docs.columns).where("kept").select(*docs.columns)
+    """Keep the documents that the base rules and the compression bands, fitted on the labelled rows of all documents, keep."""
+    bands = quality.fit_bands(catalog.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.compression_bands(docs, keep=docs.columns, bands=bands).where("kept").select(*docs.columns)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

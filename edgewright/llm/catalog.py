@@ -20,7 +20,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.compression_bands(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return quality.compression_bands(docs, bands=quality.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op2_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,30 @@ def test_bands_tell_repetition_and_noise_from_prose(spark):
     assert judged.where("kept").count() >= 0.99 * judged.count()
 
 
+def test_bands_part_low_quality_from_good(spark):
+    docs = catalog.documents(spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality in (0, 1)")
+    held = labels.withColumn("held", toxicity.held_out(labels.doc_id))
+    bands = quality.fit_bands(docs, held.where("not held"))
+    rows = quality.compression_bands(docs, bands=bands).join(held, "doc_id").where("not base_failed").select("quality", "held", "kept").collect()
+    low, good = ([r.kept for r in rows if r.quality == q and (q == 0 or r.held)] for q in (0, 1))
+    assert len(low) > 200 and len(good) > 200
+    assert low.count(False) >= 0.75 * len(low)
+    assert good.count(True) >= 0.98 * len(good)
+
+
+def test_chunks_and_tails_are_judged_by_their_length(spark):
+    bands = quality.Bands((1.0, 20.0), (0.0, 0.0), (0.0, 9.0))
+    low, high = bands.limits(np.array([1, 2, 4096, 1 << 20]))
+    assert low.tolist()[1:] == [0, 0, 0] and np.allclose(high[1:], [0, 9 * 11 / 19, 9])
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choice("abcdefghijklmnop   ") for _ in range(n))
+    tail = prose(4096) + "%" * 4000
+    got = [quality.compression_bands(frame(spark, [t])).first() for t in (prose(800), prose(4096), tail, prose(4097), prose(40960) + "%" * 4000)]
+    assert [(r.n_chunks, r.n_bad_chunks) for r in got] == [(1, 0), (1, 0), (2, 1), (2, 0), (11, 1)]
+    assert got[2].n_bad_chunks > quality.CHUNK_SHARE * got[2].n_chunks
+
+
 def test_bpe_equals_the_library(texts):
     want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
     for trie in (False, True):
