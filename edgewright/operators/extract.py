@@ -1,7 +1,7 @@
-"""Facts of TypeScript and Python source, read line by line with column expressions.
+"""Facts of TypeScript and Python source, read with column expressions by the line that each construct begins on.
 
-A line at a time tolerates any malformed file: what does not parse yields nothing, its neighbours still do. A construct
-that is spread over lines is seen only as far as its first line shows it.
+Where brackets stay open at the end of that line, the lines up to their closing are joined to it first. What does not parse
+yields nothing, its neighbours still do: brackets that never close leave the first line alone.
 """
 
 from __future__ import annotations
@@ -28,10 +28,54 @@ def _typescript(rows: DataFrame) -> DataFrame:
     return rows.where("language in ('typescript', 'tsx')")
 
 
+def statements(lines: DataFrame, starts: Column) -> DataFrame:
+    """The lines that ``starts`` holds for, with ``whole``: the code up to the line where brackets are no deeper than before it.
+
+    A line ending in a backslash and one followed by ``.name`` go on too. Depth runs by file, outside strings and comments.
+    """
+    bare = F.regexp_replace("code", r"""(['"`])(?:\\.|(?!\1).)*\1""", "")
+    bare = F.when(F.col("language") == "python", F.regexp_replace(bare, "#.*$", "")).otherwise(F.regexp_replace(bare, "//.*$|/[*].*?[*]/", ""))
+    order = Window.partitionBy("file").orderBy("line")
+    step = F.regexp_count(bare, F.lit(r"[(\[{]")) - F.regexp_count(bare, F.lit(r"[)\]}]"))
+    more = F.col("code").rlike(r"\\\s*$") | F.coalesce(F.lead(F.col("code").rlike(rf"^\s*\.{_NAME}")).over(order), F.lit(False))
+    rows = lines.withColumns({"step": step, "more": more})
+    rows = rows.withColumn("depth", F.sum("step").over(order)).withColumn("begins", F.coalesce(starts, F.lit(False)))
+    files = rows.groupBy("file", "language").agg(F.sort_array(F.collect_list(F.struct("line", "code", "step", "more", "depth", "begins"))).alias("all"))
+
+    def whole(x: Column, i: Column) -> Column:
+        rest = F.slice("all", i + 1, F.size("all") - i)
+        n = F.array_position(F.transform(rest, lambda y: (y["depth"] <= x["depth"] - x["step"]) & ~y["more"]), True).cast("int")
+        text = F.when(n > 1, F.array_join(F.transform(F.slice("all", i + 1, F.greatest(n, F.lit(1))), lambda y: y["code"]), "\n")).otherwise(x["code"])
+        return F.when(x["begins"], F.struct(x["line"].alias("line"), x["code"].alias("code"), text.alias("whole")))
+
+    found = files.select("file", "language", F.explode(F.filter(F.transform("all", whole), lambda x: x.isNotNull())).alias("x"))
+    return found.select("file", "language", "x.*")
+
+
+def _joined(lines: DataFrame, starts: str) -> DataFrame:
+    """Statements whose first line matches, as lines: comments of several lines' code go, line ends become blanks."""
+    rows = statements(lines, F.col("code").rlike(starts))
+    comment = F.when(F.col("language") == "python", F.regexp_replace("whole", r"(?m)(^|\s)#.*$", "")).otherwise(F.regexp_replace("whole", r"(?m)(^|\s)//.*$|/[*](?s:.*?)[*]/", ""))
+    flat = F.regexp_replace(comment, r"\s*\\?\s*\n\s*", " ")
+    return rows.select("file", "language", "line", F.when(F.contains("whole", F.lit("\n")), flat).otherwise(F.col("code")).alias("code"))
+
+
+def _inside(code: Column, language: Column) -> Column:
+    """``code``, which follows an opening bracket, up to the bracket that closes it; its first line if none does."""
+    quoted = r"""\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`"""
+    tokens = lambda comment: F.regexp_extract_all(code, F.lit(rf"(?s)({quoted}|{comment}|[()\[\]{{}}]|[^\"'`()\[\]{{}}/#]++|.)"), F.lit(1))
+    found = F.when(language == "python", tokens(r"#[^\n]*+")).otherwise(tokens(r"//[^\n]*+|/[*].*?[*]/"))
+    turn = lambda t: F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0)
+    add = lambda s, t: F.when(s["depth"] > 0, F.struct((s["depth"] + turn(t)).alias("depth"), (s["n"] + F.length(t)).alias("n"))).otherwise(s)
+    n = F.aggregate(found, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), add, lambda s: F.when(s["depth"] == 0, s["n"]))
+    return F.coalesce(F.substring(code, F.lit(1), n), F.regexp_extract(code, r"^[^\n]*", 0))
+
+
 def imports(lines: DataFrame) -> DataFrame:
     """(file, line, specifier, imported, local): one row for each bound name; ``*`` for namespaces and wildcards, null names for side effects."""
     plain = r"^\s*import\s+([\w.]+)(?:\s+as\s+(\w+))?\s*$"
-    names = r"^\s*from\s+(\.*[\w.]*)\s+import\s+\(?\s*([^#()]+?)\s*\)?\s*(?:#.*)?$"
+    names = r"^\s*from\s+(\.*[\w.]*)\s+import\s*\(?\s*([^#()]+?)\s*\)?\s*(?:#.*)?$"
+    lines = _joined(lines, r"^\s*(?:import|export|from)\b")
     py = _python(lines)
     whole = py.where(F.col("code").rlike(plain)).select(
         "file", "line", _get(plain, 1).alias("specifier"), F.lit("*").alias("imported"), F.coalesce(_get(plain, 2), _get(plain, 1)).alias("local")
@@ -75,20 +119,39 @@ def symbols(lines: DataFrame) -> DataFrame:
     out = None
     for language, found in patterns.items():
         rows = _python(lines) if language == "python" else _typescript(lines)
+        if language == "python":
+            heads = _joined(rows, r"^\s*class\b").select("file", "line", F.col("code").alias("head"))
+            rows = rows.join(heads, ["file", "line"], "left")
+        else:
+            rows = rows.withColumn("head", F.col("code"))
         kind, name, indent = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int")
         for k, p in reversed(found):
             hit = F.col("code").rlike(p)
             kind, name, indent = F.when(hit, k).otherwise(kind), F.when(hit, _get(p, 2)).otherwise(name), F.when(hit, F.length(F.regexp_extract("code", p, 1))).otherwise(indent)
-        bases = F.filter(F.split(F.coalesce(_get(r"^\s*class\s+\w+\s*\(([^)]*)\)", 1), F.lit("")), r"\s*,\s*"), lambda b: (b != "") & ~F.contains(b, F.lit("=")))
+        bases = F.filter(F.split(F.coalesce(_get(r"^\s*class\s+\w+\s*\(\s*([^)]*?)[\s,]*\)", 1, "head"), F.lit("")), r"\s*,\s*"), lambda b: (b != "") & ~F.contains(b, F.lit("=")))
         rows = rows.select("file", "line", kind.alias("kind"), name.alias("name"), indent.alias("indent"), bases.alias("bases"), F.col("code").rlike(r"^\s*export\b").alias("exported"))
         out = rows if out is None else out.unionByName(rows)
     return out.where("name is not null")
 
 
+def tables(classes: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add ``table`` to the Python classes of spans(): the literal ``__tablename__``, or ``db_table`` of ``Meta``, of the innermost class
+    around it (of the class that holds Meta); null where none is stated."""
+    stated = r"""^\s+(?:__tablename__|db_table)\s*(?::[^=]+)?=\s*[rbuRBU]*(['"])([^'"]+)\1\s*(?:#.*)?$"""
+    found = _python(lines).where(F.col("code").rlike(stated)).select("file", F.col("line").alias("at"), _get(stated, 2).alias("table"))
+    around = classes.where("kind = 'class' and name <> 'Meta'").select("file", "start", "end", "name")
+    held = found.join(around, "file").where((F.col("at") > F.col("start")) & (F.col("at") <= F.col("end")))
+    inner = held.groupBy("file", "at", "table").agg(F.max("start").alias("start"))
+    first = inner.groupBy("file", "start").agg(F.min_by("table", "at").alias("table"))
+    return classes.where("kind = 'class'").drop("table").join(first, ["file", "start"], "left")
+
+
 def spans(found: DataFrame, lines: DataFrame) -> DataFrame:
     """Add ``end`` to functions and classes: the line before the next code at their indentation or less; TypeScript closes with its brace line."""
     blocks = found.where("kind in ('function', 'class')").withColumnRenamed("line", "start")
-    code = lines.where(~F.col("code").rlike(r"^\s*(#.*|//.*)?$")).select("file", F.col("line").alias("at"), "language", F.length(F.regexp_extract("code", r"^(\s*)", 1)).alias("depth"), F.col("code").rlike(r"^\s*[})\]]").alias("closes"))
+    code = lines.where(~F.col("code").rlike(r"^\s*(#.*|//.*)?$")).select("file", F.col("line").alias("at"), "language", F.length(F.regexp_extract("code", r"^(\s*)", 1)).alias("depth"), F.col("code").rlike(r"^\s*[})\]]").alias("closes"), F.col("code").rlike(r"^\s*[)\]].*[{:]\s*$").alias("heads"))
+    # A line that closes a header's brackets ends no block: `):` and the like in Python, `) {` in TypeScript.
+    code = code.where("not heads")
     after = blocks.join(code, "file").where((F.col("at") > F.col("start")) & (F.col("depth") <= F.col("indent")))
     close = after.groupBy("file", "start", "name").agg(F.min(F.struct("at", "closes")).alias("c"))
     last = lines.groupBy("file").agg(F.max("line").alias("last"))
@@ -115,9 +178,15 @@ def _url(code: Column) -> tuple[Column, Column, Column]:
 
 def http_calls(lines: DataFrame) -> DataFrame:
     """Client observations: ``fetch`` and verbs of known HTTP objects, or of any object with a path-like argument."""
-    call = rf"(?:\b({_NAME})\.({_VERBS})|\b(fetch))\s*(?:<[^>]*>)?\("
-    rows = lines.where(F.col("code").rlike(call) & ~F.col("code").rlike(r"^\s*(@|//|#)")).withColumn("argument", F.regexp_extract("code", call + r"(.*)$", 4))
-    rows = rows.withColumns({"object": _get(call, 1), "verb": _get(call, 2), "fetch": _get(call, 3)})
+    call = rf"(?:\b({_NAME})\s*\.\s*({_VERBS})|\b(fetch))\s*(?:<[^>]*>)?\("
+    rows = statements(lines, (F.col("code").rlike(call) | (F.col("code").rlike(rf"{_NAME}\s*$") & F.col("more"))) & ~F.col("code").rlike(r"^\s*(@|//|#)"))
+    # Every call that begins on the first line; what follows it is captured by a look ahead, so calls within calls are found too.
+    names = ("after", "object", "verb", "fetch", "argument")
+    each = F.arrays_zip(*(F.regexp_extract_all("whole", F.lit(rf"(?s)(?=({call}(.*)))"), F.lit(k)).alias(n) for k, n in enumerate(names, 1)))
+    rows = rows.withColumn("x", F.explode(each)).where(F.length("x.after") > F.length("whole") - F.length("code"))
+    rows = rows.withColumns({n: F.when(F.col(f"x.{n}") != "", F.col(f"x.{n}")) for n in names[1:4]})
+    lead = F.regexp_replace(F.coalesce("x.argument", F.lit("")), r"^(?:\s*(?://|#)[^\n]*\n)+", "")
+    rows = rows.withColumn("argument", _inside(lead, F.col("language")))
     kind, value, parts = _url(F.col("argument"))
     rows = rows.withColumns({"url_kind": kind, "url_value": value, "url_parts": parts})
     head = F.coalesce("url_value", F.get("url_parts", F.lit(0))["value"])
@@ -125,7 +194,7 @@ def http_calls(lines: DataFrame) -> DataFrame:
     path_like = F.startswith(head, F.lit("/")) | head.rlike("^https?://")
     handler = F.col("argument").rlike(r"^\s*['\"`][^'\"`]*['\"`]\s*,\s*(?:async\s*)?(?:\(|function\b)") & ~known
     rows = rows.where(F.coalesce(F.col("fetch").isNotNull() | ((known | path_like) & ~handler), F.lit(False)))
-    method = F.when(F.col("fetch").isNull(), F.upper("verb")).otherwise(F.upper(_get(r"method\s*:\s*['\"](\w+)['\"]", 1)))
+    method = F.when(F.col("fetch").isNull(), F.upper("verb")).otherwise(F.upper(_get(r"\bmethod['\"]?\s*:\s*['\"](\w+)['\"]", 1, "argument")))
     return rows.select("file", "language", "line", method.alias("method"), "url_kind", "url_value", "url_parts")
 
 
@@ -133,11 +202,12 @@ def routes(lines: DataFrame) -> DataFrame:
     """Route observations of Python: verb and ``route`` decorators with their handler, and URL conf entries."""
     py = _python(lines)
     decorator = rf"^\s*@(\w+)\.({_VERBS}|route)\((.*)$"
-    order = Window.partitionBy("file").orderBy("line").rowsBetween(1, 20)
-    # The handler is the next function of the file within 20 lines; a window by file, as files are small next to tables.
-    define = _get(r"^\s*(?:async\s+)?def\s+(\w+)", 1)
-    seen = py.withColumn("handler", F.first(define, ignorenulls=True).over(order))
-    rows = seen.where(F.col("code").rlike(decorator)).withColumns({"receiver": _get(decorator, 1), "verb": _get(decorator, 2), "argument": F.regexp_extract("code", decorator, 3)})
+    order = Window.partitionBy("file").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    # The handler is the next function or class of the file; a window by file, as files are small next to tables.
+    define = _get(r"^\s*(?:async\s+)?(?:def|class)\s+(\w+)", 1)
+    seen = py.select("file", "line", F.first(define, ignorenulls=True).over(order).alias("handler"))
+    rows = _joined(py, decorator).join(seen, ["file", "line"]).withColumns({"receiver": _get(decorator, 1), "verb": _get(decorator, 2)})
+    rows = rows.withColumn("argument", _inside(F.regexp_extract("code", decorator, 3), F.col("language")))
     kind, value, parts = _url(F.col("argument"))
     listed = F.regexp_extract_all(F.coalesce(_get(r"methods\s*=\s*[\[(]([^\])]*)[\])]", 1), F.lit("")), F.lit(r"""['"](\w+)['"]"""), F.lit(1))
     methods = F.when(F.col("verb") == "route", listed).otherwise(F.array("verb"))
@@ -145,7 +215,7 @@ def routes(lines: DataFrame) -> DataFrame:
     made = rows.select("file", "language", "line", F.lit("decorator").alias("style"), methods.alias("methods"), kind.alias("path_kind"), value.alias("path_value"), parts.alias("path_parts"), "receiver", "handler", registrar.alias("known"))
     made = made.where(F.col("known") | F.coalesce(F.startswith("path_value", F.lit("/")), F.lit(False))).drop("known")
     conf = r"^\s*(?:re_)?path\(\s*(.*)$"
-    entry = py.where(F.col("code").rlike(conf)).withColumn("argument", F.regexp_extract("code", conf, 1))
+    entry = _joined(py, conf).withColumn("argument", F.regexp_extract("code", conf, 1))
     kind, value, parts = _url(F.col("argument"))
     handler = _get(r"^[^,]*,\s*([\w.]+)", 1, "argument")
     none = F.array().cast("array<string>")
@@ -155,7 +225,7 @@ def routes(lines: DataFrame) -> DataFrame:
 
 def routers(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(routers, inclusions): ``x = ...Router(prefix=...)`` and ``x.include_router(y, prefix=...)``; a prefix that is no literal is unresolved."""
-    py = _python(lines)
+    py = _joined(_python(lines), r"Router\(|\.include_router\(")
     made, put = r"^\s*(\w+)\s*(?::[^=]+)?=\s*[\w.]*Router\((.*)$", r"^\s*(\w+)\.include_router\(\s*([\w.]+)(.*)$"
     literal, any_ = r"""prefix\s*=\s*['"]([^'"]*)['"]""", r"prefix\s*="
     prefix, lost = _get(literal, 1), F.col("code").rlike(any_) & ~F.col("code").rlike(literal)

@@ -106,6 +106,69 @@ def test_calls_strings_diagnostics(spark):
     assert "broken.ts" in {r.file for r in extract.diagnostics(lines).collect()}
 
 
+LONG_PY = """from a.b import (  # names
+    One,  # first
+    Two as Zwei,
+)
+from c import d, \\
+    e
+class Order(
+    Base,
+):
+    __tablename__ = "orders"
+class Item(models.Model):
+    class Meta:
+        db_table = 'items'
+class Bare(Base):
+    pass
+@app.route(
+    "/long",
+    methods=[
+        "PUT",
+    ],
+)
+""" + "# a remark\n" * 30 + """def far():
+    return requests.get(
+        "/up"
+    ) or client.post("/a") or client.put("/b")
+child = APIRouter(
+    prefix="/child",
+)
+"""
+LONG_TS = """import {
+  a, // don't (
+  type B as C,
+} from './ab';
+const r = fetch(
+  "/x",
+  {
+    method: "DELETE",
+  },
+);
+fetch("/plain").then(() => {
+  fetch("/inner", { method: "PUT" });
+});
+axios
+  .post(`/y/${r}`, { a: fetch("/z") });
+Promise.all([axios.get("/one"), axios.put("/two")]);
+fetch("/never", {
+"""
+
+
+def test_constructs_over_lines(spark):
+    lines = files.lines(files.from_rows(spark, [("l.py", LONG_PY), ("l.ts", LONG_TS)]))
+    got = {(r.line, r.specifier, r.imported, r.local) for r in extract.imports(lines).collect()}
+    assert got == {(1, "a.b", "One", "One"), (1, "a.b", "Two", "Zwei"), (5, "c", "d", "d"), (5, "c", "e", "e"), (1, "./ab", "a", "a"), (1, "./ab", "B", "C")}
+    calls = extract.http_calls(lines).collect()
+    assert sorted((r.line, r.method, r.url_value) for r in calls if r.language == "python") == [(53, "GET", "/up"), (55, "POST", "/a"), (55, "PUT", "/b")]
+    web = {(r.line, r.method, r.url_value) for r in calls if r.language == "typescript"}
+    assert web == {(5, "DELETE", "/x"), (11, None, "/plain"), (12, "PUT", "/inner"), (14, "POST", None), (15, None, "/z"), (16, "GET", "/one"), (16, "PUT", "/two"), (17, None, "/never")}
+    assert [(r.line, r.path_value, r.methods, r.handler) for r in extract.routes(lines).collect()] == [(16, "/long", ["PUT"], "far")]
+    assert [(r.name, r.prefix, r.prefix_unresolved) for r in extract.routers(lines)[0].collect()] == [("child", "/child", False)]
+    found = extract.tables(extract.spans(extract.symbols(lines), lines), lines)
+    assert {(r.name, tuple(r.bases), r.table) for r in found.collect()} == {("Order", ("Base",), "orders"), ("Item", ("models.Model",), "items"), ("Meta", (), None), ("Bare", ("Base",), None)}
+
+
 def test_source_to_match(spark):
     """Client call in TypeScript to handler in Python, through the composed router prefix."""
     lines = files.lines(repo(spark))
