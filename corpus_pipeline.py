@@ -24,12 +24,13 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents that share 0.8 of their five-word shingles keep the one of the smallest doc_id.
 
-    Of rows that repeat that doc_id the least stays. A null doc_id is no copy of anything and stays.
+    Of that doc_id's rows in the component the one of the least text hash stays, of rows of one text the least; its rows in
+    other components stand for those. A null doc_id is no copy of anything and stays.
     """
-    found = near.jaccard_components(docs, words=5, p=4, q=5)
-    heads = found.where("doc_id = component_id").select("doc_id").distinct()
+    heads = near.component_heads(docs, words=5, p=4, q=5).select("doc_id", F.col("text_key").alias("_text_key"))
     rest = F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("rest")
-    known = docs.join(heads, "doc_id", "left_semi").groupBy("doc_id").agg(rest).select("doc_id", "rest.*")
+    keyed = docs.withColumn("_text_key", F.xxhash64("text")).join(heads, ["doc_id", "_text_key"], "left_semi")
+    known = keyed.groupBy("doc_id", "_text_key").agg(rest).select("doc_id", "rest.*")
     return known.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

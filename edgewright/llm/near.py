@@ -83,7 +83,8 @@ def _emit(batches: Iterator[pa.RecordBatch], words: int, p: int, q: int) -> Iter
                 pa.array(np.concatenate([[0], np.cumsum(part)]).astype(np.int32)), pa.array(K.ragged(sets, offs[:-1], part).view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, len(n)), pa.array(n), pa.array(_fingerprint(sets, offs)), lists], names=["doc_id", "n", "fp", "tokens"]
+                [batch.column(0).slice(a, len(n)), pa.array(n), pa.array(_fingerprint(sets, offs)), batch.column(2).slice(a, len(n)), lists],
+                names=["doc_id", "n", "fp", "text_key", "tokens"],
             )
 
 
@@ -207,15 +208,16 @@ def _links(batches: Iterator[pa.RecordBatch], words: int, p: int, q: int) -> Ite
 
 
 def class_links(docs: DataFrame, words: int, p: int, q: int, every: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, fp) of all documents, and links (a, b) between the keys of different linking classes, each once.
+    """Rows (doc_id, n, fp, text_key: xxhash64 of the text) of all documents, and links (a, b) between the keys of different linking classes, each once.
 
     Without ``every`` pairs of classes that other links connect already are not looked at: their components are the same.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wide, wide_at = written(docs.mapInArrow(lambda it: _emit(it, words, p, q), f"doc_id {kind}, n long, fp long, tokens array<long>"), "shingles")
-    rows, _ = written(wide.select("doc_id", "n", "fp"), "documents")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    wide, wide_at = written(keyed.mapInArrow(lambda it: _emit(it, words, p, q), f"doc_id {kind}, n long, fp long, text_key long, tokens array<long>"), "shingles")
+    rows, _ = written(wide.select("doc_id", "n", "fp", "text_key"), "documents")
     several = wide.where(F.col("n") >= fewest(p, q)).groupBy("fp")
     emitted, emitted_at = written(
         several.agg(F.min("doc_id").alias("min_doc"), F.min("n").alias("n"), F.any_value("tokens").alias("tokens"), F.lit(False).alias("whole")), "classes"
@@ -336,3 +338,15 @@ def jaccard_components(docs: DataFrame, words: int = 3, p: int = 9, q: int = 10)
     named = grouped.join(heads, "component").select("fp", "component_id")
     some = rows.where("n > 0").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return some.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def component_heads(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """(doc_id, text_key) of one row of each component, the least; text_key is the xxhash64 of the text.
+
+    Rows of one doc_id whose texts lie in different components are told apart by it. Rows without doc_id head nothing.
+    """
+    rows, links = class_links(docs, words, p, q, every=False)
+    rows = rows.where("doc_id is not null")
+    joined = rows.where("n > 0").join(components(links), F.col("fp") == F.col("node"), "left")
+    some = joined.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min(F.struct("doc_id", "text_key")).alias("head"))
+    return some.select("head.*").union(rows.where("n = 0").select("doc_id", "text_key").distinct())

@@ -185,3 +185,11 @@ def test_pipeline_stages(spark):
     assert stays.columns == docs.columns
     assert sorted(r.doc_id for r in stays.collect()) == sorted({c for _, _, c in brute_components(kept, 5, 4, 5)})
     assert set(rows.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and rows.count() > 0
+
+
+def test_rows_of_one_doc_id_in_different_components_stay(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
+    rows = [(1, a, "s"), (1, b, "s"), (2, b + " more", "s"), (3, c, "s"), (3, c, "t"), (4, a + " more", "s"), (5, "", "s"), (None, a, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a, "s"), (1, b, "s"), (3, c, "s"), (5, "", "s"), (None, a, "s")], key=str)
