@@ -54,16 +54,17 @@ def call_edges(calls: DataFrame) -> DataFrame:
     return calls.where("caller <> callee").groupBy("caller", "callee").agg(site).select("caller", "callee", F.col("s.file").alias("file"), F.col("s.line").alias("line"))
 
 
-def reaching(calls: DataFrame, requesters: DataFrame, hops: int) -> DataFrame:
-    """Functions that reach a requester (name) through calls (caller, callee) in at most ``hops`` hops, requesters included.
+def reaching(calls: DataFrame, requesters: DataFrame) -> DataFrame:
+    """Functions that reach a requester (name) through any number of calls (caller, callee), requesters included.
 
-    Hops are counted breadth first, whatever the order of files; each is one join with the frontier.
+    Breadth first to the fixpoint: each round is one join with the frontier, which is checkpointed.
     """
-    found = requesters.select("name").distinct()
-    frontier = found
+    reliable = calls.sparkSession.sparkContext.getCheckpointDir() is not None
+    kept = lambda df: df.checkpoint() if reliable else df.localCheckpoint()
+    found = frontier = kept(requesters.select("name").distinct())
     links = calls.select("caller", "callee").distinct()
-    for _ in range(hops):
+    while not frontier.isEmpty():
         back = links.join(frontier, F.col("callee") == F.col("name")).select(F.col("caller").alias("name")).distinct()
-        frontier = back.join(found, "name", "left_anti")
+        frontier = kept(back.join(found, "name", "left_anti"))
         found = found.unionByName(frontier)
     return found

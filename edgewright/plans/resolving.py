@@ -185,4 +185,4 @@ def requester_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions that reach a requester: nations call regions, customers call nations."""
     views(spark, sf_dir, "customer", "nation")
     calls = spark.sql("select 'n' || n_nationkey as caller, 'r' || n_regionkey as callee from nation union all select 'c' || c_custkey, 'n' || c_nationkey from customer")
-    return orm.reaching(calls, spark.sql("select 'r1' as name"), 4)
+    return orm.reaching(calls, spark.sql("select 'r1' as name"))

@@ -201,3 +201,9 @@ def test_path_functions(spark):
         P.quoted_literal(F.lit("'ab'")).alias("k"), P.valid_commit(F.lit("ABCDEF1")).alias("l"),
     ).first()
     assert tuple(row) == ("/a/b", "/a/", "/a", "x/z", None, True, False, False, True, "API_URL", "ab", "abcdef1")
+
+
+def test_reach_goes_to_the_fixpoint(spark):
+    calls = spark.createDataFrame([(f"f{k + 1}", f"f{k}") for k in range(7)] + [("f0", "f7"), ("x", "y")], "caller string, callee string")
+    got = orm.reaching(calls, spark.createDataFrame([("f0",)], "name string")).collect()
+    assert sorted(r.name for r in got) == [f"f{k}" for k in range(8)]
