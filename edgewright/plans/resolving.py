@@ -131,7 +131,7 @@ def url_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
         union all select 'n' || n_nationkey, 'BASE', 0, array({part("literal", "'/old'")}) from nation
         union all select 'n' || n_nationkey, 'BASE', 2, case when n_regionkey = 2 then array({part("env", "'API'")}) else array({part("literal", "'/r' || n_regionkey")}) end from nation"""
     )
-    return resolution.fold(values, bindings, 4).select("id", "shown", "value")
+    return resolution.fold(values, bindings).select("id", "shown", "value")
 
 
 @query("select p_name as name, count(*) as declared from part group by p_name having count(*) > 1")

@@ -35,3 +35,12 @@ def test_query_equals_its_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_url_fold_runs_at_the_operators_depth(spark, monkeypatch):
+    from edgewright.operators import resolution
+
+    depths, fold = [], resolution.fold
+    monkeypatch.setattr(resolution, "fold", lambda values, bindings, depth=resolution.SUBSTITUTIONS: (depths.append(depth), fold(values, bindings, depth))[1])
+    QUERIES["url_fold"](spark, DATA)
+    assert depths == [resolution.SUBSTITUTIONS]
