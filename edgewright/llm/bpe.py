@@ -12,7 +12,7 @@ from edgewright.llm import kernels as K
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
 #: Distinct words a worker remembers before it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 
 
 class Splitter:

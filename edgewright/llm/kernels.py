@@ -1,12 +1,15 @@
 """Vectorised text kernels that run inside tasks on Arrow batches.
 
 Each works on the UTF-8 bytes of many texts laid end to end (``buf``) with ``offs``, the n + 1 places
-where they begin and end. Word and shingle identities are 64-bit hashes: two different words of one
-task meet with probability near 2**-64, which the operators state where it matters.
+where they begin and end. Word and shingle identities are keyed 64-bit hashes that are not linear in the bytes:
+two different words meet with probability near 2**-64 under a key drawn at random, whatever the texts.
 """
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,16 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once, unless a single text is longer.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_powers = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
-
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and offsets of a string column; null counts as empty."""
@@ -42,6 +42,20 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         end = max(first + 1, int(np.searchsorted(offs, offs[first] + limit, "right")) - 1)
         yield first, end, buf[offs[first] : offs[end]], offs[first : end + 1] - offs[first]
         first = end
+    give_back()
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers stay between stages, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,35 +65,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, for n places at least."""
-    global _powers
-    if len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES + 1)
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(n, base, dtype=np.uint64)
-            steps[0] = 1
-            tables.append(np.multiply.accumulate(steps))
-        _powers = (tables[0], tables[1])
-    return _powers
+#: Longest span, in bytes, that is hashed side by side with the others; longer ones are digested one by one.
+SHORT = 64
+#: Low bytes of a 64-bit word, by how many of them belong to the span.
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+#: Drawn anew in each process: nobody can choose texts whose words meet. Hashes that leave a task need a key of the job's own.
+PROCESS_KEY = os.urandom(16)
+#: Where hashes must be the same in every job, as in a model's buckets.
+FIXED_KEY = bytes(range(16))
 
 
 class Spans:
-    """Hashes of byte spans of one buffer."""
-
-    def __init__(self, buf: np.ndarray):
-        up, self._down = _power_tables(len(buf) + 1)
-        self._sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=self._sums[1:])
+    """Keyed hashes of byte spans of one buffer: eight bytes a step through two mixers, or BLAKE2b of a long span."""
 
-    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self._sums[ends] - self._sums[starts]) * self._down[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    def __init__(self, buf: np.ndarray, key: bytes = PROCESS_KEY):
+        self._buf, self._key = np.zeros(len(buf) + 8, dtype=np.uint8), key
+        self._buf[: len(buf)] = buf
+        self._wide = np.ndarray(len(buf) + 1, "<u8", self._buf, strides=(1,))  # the eight bytes from each place on
+        self._keys = np.frombuffer(key, "<u8")
 
+    def block(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """The ``size`` bytes, eight at most, from each place on as one number."""
+        return self._wide[starts] & _LOW[size]
 
-def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Spans(buf).hash(starts, ends)
+    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sizes = ends - starts
+        out = mix(sizes.astype(np.uint64) + self._keys[0])
+        long = np.flatnonzero(sizes > SHORT)
+        for k in range(0, SHORT, 8):
+            live = np.flatnonzero((sizes > k) & (sizes <= SHORT)) if len(long) or k else np.flatnonzero(sizes > k)
+            if not len(live):
+                break
+            block = self._wide[starts[live] + k] & _LOW[np.minimum(sizes[live] - k, 8)]
+            out[live] = mix(mix(block ^ self._keys[1]) + out[live])
+        for i, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+            out[i] = int.from_bytes(hashlib.blake2b(self._buf[a:b], digest_size=8, key=self._key).digest(), "little")
+        return out
 
 
 def at(offs: np.ndarray, n: int) -> np.ndarray:

@@ -3,21 +3,22 @@
 Documents are sets of hashed word shingles. Two sets link when p / q of their union is shared. Work goes by
 classes of documents with equal sets (key ``fp``), so copies cost a row each and are never paired.
 
-1. Each class emits the smallest hashes of its set. Shingles that many classes emit are *long lists*, the
+1. Each class emits the smallest hashes of its set. Shingles that many classes emit have *long lists*, the
    rest *short lists*. The global order of shingles is short before long, each by hash. A class whose
    emitted part holds too few short ones emits its whole set, and lists are counted anew, until none is left.
-2. Two linking sets share a shingle among the first n - ceil(p n / q) + 1 of either in that order; a join of
-   these prefixes with the length and the position filter gives candidates.
-3. DivideSkip decides: of a set's inverted lists over its candidates the shortest are heap-merged, those
-   candidates that can still reach the overlap are binary-probed in the longest.
-4. Large-star and small-star rounds give components.
+2. As in DivideSkip each set's longest lists are set aside: those past its head, the first shingles in the global
+   order. Two linking sets share a shingle among the first n - ceil(p n / q) + 1 of either; the inverted lists
+   of these, with the length and the position filter, give candidates.
+3. Merge: a candidate's occurrences in the lists of the heads are counted. It stays if they reach the required overlap
+   less the lists set aside, which could each add one.
+4. Probe: for what stays, the sets are binary-probed for the whole overlap.
+5. Large-star and small-star rounds give components.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from bisect import bisect_left
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,8 @@ from edgewright.llm.shared import discard, written
 
 #: A shingle emitted by so many classes has a long list.
 LONG_LIST = 64
-#: Bits of the filter of wanted documents that goes to every task, a fixed size.
-FILTER_BITS = 1 << 20
-#: DivideSkip's weight of probing a long list against merging it.
-PROBE_WEIGHT = 0.01
+#: Up to so many wanted classes (32 bytes each) go to every task; Spark joins more by its own means.
+MOST_BROADCAST = 1 << 19
 
 
 def prefix_length(n: int, p: int, q: int) -> int:
@@ -45,15 +44,16 @@ def least_overlap(a: int, b: int, p: int, q: int) -> int:
     return -(-p * (a + b) // (p + q))
 
 
-def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def shingle_sets(column: pa.Array, words: int, key: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each chunk: its first row, all sets end to end (each sorted), and their offsets.
 
     A-Z are lower-cased; words are runs of non-white bytes; a text of fewer words is one shingle, an empty one has none.
+    Hashes of different tables can be compared if ``key`` is the same.
     """
     for a, b, buf, offs in K.chunks(column):
         buf = K.LOWER[buf]
         starts, ends, first = K.words(buf, offs)
-        hashes = K.spans_hash(buf, starts, ends)
+        hashes = K.Spans(buf, key).hash(starts, ends)
         grams, begins = K.shingles(hashes, first, words)
         counts = np.diff(first)
         sets = []
@@ -72,13 +72,18 @@ def _fingerprint(sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return K.mix(total[offs[1:]] - total[offs[:-1]] + np.diff(offs).astype(np.uint64)).view(np.int64)
 
 
-def _emit(batches: Iterator[pa.RecordBatch], words: int, p: int, q: int) -> Iterator[pa.RecordBatch]:
+def _extra(k):
+    """Shingles that are held beyond a prefix of k."""
+    return np.maximum(4, k // 4)
+
+
+def _emit(batches: Iterator[pa.RecordBatch], words: int, p: int, q: int, key: bytes) -> Iterator[pa.RecordBatch]:
     """A row for each document: size and key of its set, and the smallest hashes of it."""
     for batch in batches:
-        for a, sets, offs in shingle_sets(batch.column(1), words):
+        for a, sets, offs in shingle_sets(batch.column(1), words, key):
             n = np.diff(offs)
             k = prefix_length(n, p, q)
-            part = np.minimum(n, k + np.maximum(4, k // 4)) * (n >= fewest(p, q))
+            part = np.minimum(n, k + _extra(k)) * (n >= fewest(p, q))
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(part)]).astype(np.int32)), pa.array(K.ragged(sets, offs[:-1], part).view(np.int64))
             )
@@ -93,117 +98,58 @@ def fewest(p: int, q: int) -> int:
     return math.ceil(p / (q - p))
 
 
-def _wanted(batches: Iterator[pa.RecordBatch], words: int, wanted: np.ndarray, as_sets: bool) -> Iterator[pa.RecordBatch]:
-    """(fp, whole set or text) of the documents that the filter lets pass."""
+def _whole(batches: Iterator[pa.RecordBatch], words: int, key: bytes) -> Iterator[pa.RecordBatch]:
+    """(fp, every) of rows (fp, text): the whole set."""
     for batch in batches:
-        ask = batch.column(2).to_numpy()
-        batch = batch.filter(pa.array((wanted[ask >> 3] >> (ask & 7)) & 1 == 1))
-        for a, sets, offs in shingle_sets(batch.column(1), words):
-            if as_sets:
-                kept = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(sets.view(np.int64)))
-            else:
-                kept = batch.column(1).slice(a, len(offs) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(_fingerprint(sets, offs)), kept], names=["fp", "kept"])
+        for a, sets, offs in shingle_sets(batch.column(1), words, key):
+            lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(sets.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(offs) - 1), lists], names=["fp", "every"])
 
 
-def _bucket(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, text) of the classes ``wanted`` (fp, one: the row that stands for the class)."""
+    few = wanted.count() <= MOST_BROADCAST
+    own = wanted.select("fp", F.col("one.doc_id").alias("one_doc"), F.col("one.text_key").alias("one_key"))
+    own = F.broadcast(own) if few else own
+    met = docs.join(own, F.col("doc_id").eqNullSafe(F.col("one_doc")) & (F.col("text_key") == F.col("one_key")))
+    return met.groupBy("fp").agg(F.any_value("text").alias("text"))  # rows of one doc_id and one text
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, words: int, as_sets: bool) -> DataFrame:
-    """(fp, kept): whole sets or texts of the classes ``wanted`` (fp, min_doc), and of some others: a scan behind a fixed-size filter."""
-    part, bit = F.floor(F.col("b") / 32768), F.col("b") % 32768
-    bits = wanted.select(_bucket("min_doc").alias("b")).groupBy(part.alias("part")).agg(F.bitmap_construct_agg(bit).alias("bits"))
-    flags = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits.collect():  # FILTER_BITS bits at most
-        flags[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    rows = docs.select("doc_id", "text", _bucket("doc_id").alias("b"))
-    kind = "array<long>" if as_sets else "string"
-    found = rows.mapInArrow(lambda it: _wanted(it, words, flags, as_sets), f"fp long, kept {kind}")
-    return found.groupBy("fp").agg(F.any_value("kept").alias("kept"))  # equal sets of rows with one doc_id
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.RecordBatch]:
-    """Postings (token, fp, n, place) of each class's prefix in the global order: short lists before long, each by hash."""
+def _heads(batches: Iterator[pa.RecordBatch], p: int, q: int) -> Iterator[pa.RecordBatch]:
+    """(fp, n, head): each class's first shingles in the global order, its prefix and up to as many more as were emitted."""
     for batch in batches:
-        fps, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        tokens, long = batch.column(2), batch.column(3)
-        out = []
-        for i, n in enumerate(sizes.tolist()):
+        tokens, long, out = batch.column(2), batch.column(3), []
+        for i, n in enumerate(batch.column(1).to_pylist()):
             own = tokens[i].values.to_numpy().view(np.uint64)
+            known = len(own) == n  # else the long lists' shingles after the last short one are not all in hand
             if long[i].is_valid:
                 heavy = np.sort(long[i].values.to_numpy().view(np.uint64))
-                own = np.concatenate([own[~np.isin(own, heavy, assume_unique=True)], heavy])
-            out.append(own[: prefix_length(n, p, q)])
-        counts = np.array([len(x) for x in out])
-        if not counts.sum():
-            continue
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(out).view(np.int64)),
-                pa.array(np.repeat(fps, counts)),
-                pa.array(np.repeat(sizes, counts)),
-                pa.array(np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)),
-            ],
-            names=["token", "fp", "n", "place"],
-        )
-
-
-def divide_skip(query: np.ndarray, sets: list[np.ndarray], needed: list[int]) -> list[bool]:
-    """Whether each set shares as many items as needed with the query; all are sorted and without repeats.
-
-    The sets are the records of an inverted index. Of the query's lists the longest are set aside; the short
-    ones are merged by a heap, and records that occur often enough there are looked up in the long ones.
-    """
-    items, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    inside = np.searchsorted(query, items)
-    hit = inside < len(query)
-    hit[hit] = query[inside[hit]] == items[hit]
-    which, owners = inside[hit], owners[hit]
-    order = np.argsort(which, kind="stable")
-    which, owners = which[order], owners[order]
-    cuts = np.flatnonzero(np.diff(which, prepend=-1, append=-1)) if len(which) else np.zeros(1, np.int64)
-    lists = sorted((owners[a:b].tolist() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)), key=len)
-    least = min(needed)
-    longest = len(lists[-1]) if lists else 0
-    aside = min(max(least - 1, 0), int(least / (PROBE_WEIGHT * math.log2(longest + 1) + 1)), len(lists))
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    found = [False] * len(sets)
-    record, times = -1, 0
-
-    def close() -> None:
-        if record >= 0 and times + aside >= needed[record]:
-            total = times
-            for k, x in enumerate(long):
-                if total >= needed[record] or total + aside - k < needed[record]:
-                    break
-                at = bisect_left(x, record)
-                total += at < len(x) and x[at] == record
-            found[record] = total >= needed[record]
-
-    for r in heapq.merge(*short):
-        if r == record:
-            times += 1
-        else:
-            close()
-            record, times = r, 1
-    close()
-    return found
-
-
-def _links(batches: Iterator[pa.RecordBatch], words: int, p: int, q: int) -> Iterator[pa.RecordBatch]:
+                own = np.concatenate([own[~np.isin(own, heavy, assume_unique=True)], heavy[: len(heavy) * known]])
+            k = prefix_length(n, p, q)
+            out.append(own[: k + int(_extra(k))])
+        counts = np.cumsum([0, *map(len, out)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(counts), pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["fp", "n", "head"])
+
+
+def overlaps(query: np.ndarray, sets: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Items that each of the sets, laid end to end, shares with the query; all are sorted and without repeats."""
+    place = np.searchsorted(query, sets)
+    place[place == len(query)] = 0
+    return K.sums(query[place] == sets if len(query) else np.zeros(len(sets), bool), offs)
+
+
+def _links(batches: Iterator[pa.RecordBatch], words: int, p: int, q: int, key: bytes) -> Iterator[pa.RecordBatch]:
+    """Of rows (fpa, fpb, text of a, text of b) the links (a, b). The query of a run of equal fpb is hashed once."""
     for batch in batches:
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else np.zeros(1, np.int64)
-        query_of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        queries = [sets[x:y] for _, sets, offs in shingle_sets(batch.column(2).take(pa.array(cuts[:-1])), words) for x, y in zip(offs[:-1], offs[1:], strict=True)]
         keep = np.zeros(len(a), bool)
-        for first, sets, offs in shingle_sets(batch.column(3), words):
-            end = first + len(offs) - 1
-            for k in range(query_of[first], query_of[end - 1] + 1):
-                x, y = max(first, int(cuts[k])), min(end, int(cuts[k + 1]))
-                others = [sets[offs[i - first] : offs[i - first + 1]] for i in range(x, y)]
-                keep[x:y] = divide_skip(queries[k], others, [least_overlap(len(queries[k]), len(s), p, q) for s in others])
+        cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else np.zeros(1, np.int64)
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            _, query, _ = next(shingle_sets(batch.column(3).slice(x, 1), words, key))
+            for first, sets, offs in shingle_sets(batch.column(2).slice(x, y - x), words, key):
+                n = np.diff(offs)
+                keep[x + first : x + first + len(n)] = (p + q) * overlaps(query, sets, offs) >= p * (len(query) + n)
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
@@ -211,82 +157,118 @@ def class_links(docs: DataFrame, words: int, p: int, q: int, every: bool = True)
     """Rows (doc_id, n, fp, text_key: xxhash64 of the text) of all documents, and links (a, b) between the keys of different linking classes, each once.
 
     Without ``every`` pairs of classes that other links connect already are not looked at: their components are the same.
+    Keys ``fp`` are drawn anew in every call.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    spark, key = docs.sparkSession, os.urandom(16)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    wide, wide_at = written(keyed.mapInArrow(lambda it: _emit(it, words, p, q), f"doc_id {kind}, n long, fp long, text_key long, tokens array<long>"), "shingles")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    wide, wide_at = written(docs.mapInArrow(lambda it: _emit(it, words, p, q, key), f"doc_id {kind}, n long, fp long, text_key long, tokens array<long>"), "shingles")
     rows, _ = written(wide.select("doc_id", "n", "fp", "text_key"), "documents")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one")
     several = wide.where(F.col("n") >= fewest(p, q)).groupBy("fp")
-    emitted, emitted_at = written(
-        several.agg(F.min("doc_id").alias("min_doc"), F.min("n").alias("n"), F.any_value("tokens").alias("tokens"), F.lit(False).alias("whole")), "classes"
-    )
+    emitted, emitted_at = written(several.agg(one, F.min("n").alias("n"), F.any_value("tokens").alias("tokens"), F.lit(False).alias("whole")), "classes")
     discard(spark, wide_at)
     need = F.col("n") - F.ceil(F.col("n") * p / q) + 1
-    heavy, counted = spark.createDataFrame([], "token long"), emitted
+    heavy, counted, heavy_ats = spark.createDataFrame([], "token long"), emitted, []
     while True:
         # Counted among smallest hashes once, and among whole sets each time: a list is long if either says so.
         lists = counted.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("lists"))
         heavy, heavy_at = written(lists.where(F.col("lists") >= LONG_LIST).select("token").union(heavy).distinct(), "long-lists")
+        heavy_ats.append(heavy_at)
         postings = emitted.select("fp", F.explode("tokens").alias("token"))
         long, long_at = written(postings.join(heavy, "token").groupBy("fp").agg(F.collect_list("token").alias("long")), "long-of")
-        short_of = emitted.where(~F.col("whole")).join(long, "fp").where(F.size("tokens") - F.size("long") < need).select("fp", "min_doc")
+        short_of = emitted.where(~F.col("whole")).join(long, "fp").where(F.size("tokens") - F.size("long") < need).select("fp", "one")
         short_of, short_at = written(short_of, "more-wanted")
         if short_of.isEmpty():
             break
-        sets = _fetch(docs, short_of, words, True).withColumnRenamed("kept", "every").join(short_of.select("fp"), "fp")
+        sets = _texts(docs, short_of).mapInArrow(lambda it: _whole(it, words, key), "fp long, every array<long>")
         more = emitted.join(sets, "fp", "left")
-        more = more.select("fp", "min_doc", "n", F.coalesce("every", "tokens").alias("tokens"), (F.col("whole") | F.col("every").isNotNull()).alias("whole"))
+        more = more.select("fp", "one", "n", F.coalesce("every", "tokens").alias("tokens"), (F.col("whole") | F.col("every").isNotNull()).alias("whole"))
         old = (emitted_at, long_at, short_at)
         emitted, emitted_at = written(more, "emitted")
         counted = emitted.where("whole")
         for at in old:
             discard(spark, at)
-    prefixes = emitted.join(long, "fp", "left").select("fp", "n", "tokens", "long")
-    places, places_at = written(prefixes.mapInArrow(lambda it: _prefixes(it, p, q), "token long, fp long, n long, place long"), "prefixes")
+    ordered = emitted.join(long, "fp", "left").select("fp", "n", "tokens", "long")
+    heads, heads_at = written(ordered.mapInArrow(lambda it: _heads(it, p, q), "fp long, n long, head array<long>"), "heads")
+    classes, classes_at = written(emitted.select("fp", "one"), "class-rows")
+    for at in (emitted_at, long_at, short_at, *heavy_ats):
+        discard(spark, at)
+    places = heads.select("fp", "n", F.posexplode(F.slice("head", F.lit(1), need.cast("int"))).alias("place", "token"))
     # Each list's class of the earliest place is its centre: of near copies, the one with the fewest shingles of its own.
     centre = F.min(F.struct("place", "fp", "n")).alias("centre")
     lists = places.groupBy("token").agg(centre, F.count("*").alias("classes")).where("classes > 1").drop("classes")
     met, met_at = written(places.join(lists, "token"), "postings")
-    discard(spark, places_at)
-    head = met.select("fp", "n", "place", F.col("centre.fp").alias("fpb"), F.col("centre.n").alias("nb"), F.col("centre.place").alias("placeb"))
-    stars = head.toDF("fpa", "na", "placea", "fpb", "nb", "placeb").where((F.col("fpa") != F.col("fpb")) & _may_link(p, q))
-    verified = lambda pairs: _verified(docs, emitted, pairs, words, p, q)
-    links = verified(stars.select(F.least("fpa", "fpb").alias("fpa"), F.greatest("fpa", "fpb").alias("fpb")).distinct())
+    stars = met.select("fp", "n", "place", F.col("centre.fp").alias("fpb"), F.col("centre.n").alias("nb"), F.col("centre.place").alias("placeb"))
+    stars = stars.toDF("fpa", "na", "placea", "fpb", "nb", "placeb").where((F.col("fpa") != F.col("fpb")) & _may_link(p, q))
+    verified = lambda pairs: _verified(docs, classes, _merged(pairs, heads, p, q), words, p, q, key)
+    links = verified(stars.select("fpa", "fpb").distinct())
     # What the centres have not joined: classes of one list in different components.
-    found = components(links).select(F.col("node").alias("fp"), "component")
-    marked = met.drop("centre").join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    found = components(links)
+    marked = met.drop("centre").join(found, F.col("fp") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "fp"))
     if not every:
         split = marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
         marked = marked.join(split, "token")
-    x, y = (marked.select("token", *(F.col(c).alias(c + s) for c in ("fp", "n", "place", "component"))) for s in "ab")
-    apart = F.lit(True) if every else F.col("componenta") != F.col("componentb")
-    rest = x.join(y, (x.token == y.token) & (F.col("fpa") < F.col("fpb")) & apart & _may_link(p, q))
-    more = verified(rest.select("fpa", "fpb").distinct())
-    for at in (met_at, emitted_at, long_at, short_at, heavy_at):
+    marked, marked_at = written(marked, "marked-postings")
+    more = verified(_met_in_cells(marked, every, p, q))
+    for at in (met_at, marked_at, heads_at, classes_at):
         discard(spark, at)
-    return rows, more if every else links.union(more)
+    if not every:
+        return rows, links.union(more)
+    return rows, more
+
+
+def _met_in_cells(marked: DataFrame, every: bool, p: int, q: int) -> DataFrame:
+    """Pairs (fpa, fpb) of one list that pass the length and position filters and lie in different components, unless ``every`` is wanted.
+
+    The filters look at sizes and places only, so a list's cells of one size and place meet first: classes are met for
+    those pairs of cells alone that pass, however long the list.
+    """
+    cell = ["n", "place"]
+    cells = marked.groupBy("token", *cell).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    x, y = (cells.select("token", *(F.col(c).alias(c + s) for c in (*cell, "low", "high"))) for s in "ab")
+    ordered = F.struct("na", "placea") <= F.struct("nb", "placeb")
+    apart = F.lit(True) if every else ~((F.col("lowa") == F.col("higha")) & (F.col("lowb") == F.col("highb")) & (F.col("lowa") == F.col("lowb")))
+    pairs = x.join(y, "token").where(ordered & apart & _may_link(p, q)).select("token", "na", "placea", "nb", "placeb")
+    a, b = (marked.select("token", *(F.col(c).alias(c + s) for c in ("fp", *cell, "component"))) for s in "ab")
+    met = pairs.join(a, ["token", "na", "placea"]).join(b, ["token", "nb", "placeb"])
+    same_cell = (F.col("na") == F.col("nb")) & (F.col("placea") == F.col("placeb"))
+    met = met.where((F.col("fpa") < F.col("fpb")) | (~same_cell & (F.col("fpa") != F.col("fpb"))))
+    met = met if every else met.where("componenta <> componentb")
+    return met.select(F.least("fpa", "fpb").alias("fpa"), F.greatest("fpa", "fpb").alias("fpb")).distinct()
 
 
 def _may_link(p: int, q: int):
-    """Length and position filters of columns na, placea, nb, placeb."""
+    """Length and position filters of columns na, placea, nb, placeb, for the first shingle that two classes share."""
     bound = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
     return (q * F.least("na", "nb") >= p * F.greatest("na", "nb")) & ((p + q) * bound >= p * (F.col("na") + F.col("nb")))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, p: int, q: int) -> DataFrame:
+def _merged(pairs: DataFrame, heads: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (fpa, fpb) whose occurrences in the lists of both heads reach the required overlap less the lists set aside.
+
+    Of two sets that share T shingles, take the one whose head ends first in the global order: what is shared within its
+    head lies in the other's head too, and past it there are n - |head| at most.
+    """
+    a, b = (heads.select(*(F.col(c).alias(c + s) for c in ("fp", "n", "head"))) for s in "ab")
+    aside = F.greatest(F.col("na") - F.size("heada"), F.col("nb") - F.size("headb"))
+    shared = F.size(F.array_intersect("heada", "headb"))
+    met = pairs.join(a, "fpa").join(b, "fpb")
+    return met.where((p + q) * (shared + aside) >= p * (F.col("na") + F.col("nb"))).select("fpa", "fpb")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, p: int, q: int, key: bytes) -> DataFrame:
     """Those of the pairs (fpa, fpb) that link, as (a, b)."""
     spark = docs.sparkSession
     pairs, pairs_at = written(pairs, "pairs")
     nodes = pairs.select(F.explode(F.array("fpa", "fpb")).alias("fp")).distinct()
-    wanted, wanted_at = written(classes.select("fp", "min_doc").join(nodes, "fp", "left_semi"), "wanted")
-    texts = _fetch(docs, wanted, words, False)
-    right = pairs.join(texts.select(F.col("fp").alias("fpb"), F.col("kept").alias("tb")), "fpb")
-    both = right.join(texts.select(F.col("fp").alias("fpa"), F.col("kept").alias("ta")), "fpa").select("fpa", "fpb", "ta", "tb")
-    links, _ = written(both.mapInArrow(lambda it: _links(it, words, p, q), "a long, b long"), "links")
-    discard(spark, pairs_at)
-    discard(spark, wanted_at)
+    wanted, wanted_at = written(classes.join(nodes, "fp", "left_semi"), "wanted")
+    texts, texts_at = written(_texts(docs, wanted), "texts")
+    left = pairs.join(texts.select(F.col("fp").alias("fpa"), F.col("text").alias("ta")), "fpa")
+    both = left.join(texts.select(F.col("fp").alias("fpb"), F.col("text").alias("tb")), "fpb").select("fpa", "fpb", "ta", "tb")
+    links, _ = written(both.mapInArrow(lambda it: _links(it, words, p, q, key), "a long, b long"), "links")
+    for at in (pairs_at, wanted_at, texts_at):
+        discard(spark, at)
     return links
 
 
@@ -327,8 +309,10 @@ def jaccard_components(docs: DataFrame, words: int = 3, p: int = 9, q: int = 10)
     """(doc_id, n_shingles, component_id) of every row: size of its set, and the smallest doc_id that links reach from it.
 
     Null and empty texts have empty sets and are components of their own. Equal sets link whatever their order
-    and repeats. A doc_id of several rows stands for each of them. Sets are of 64-bit hashes: two different
-    shingles, or the sets of two classes, are taken for one with probability near 2**-64. Other columns are left out.
+    and repeats. A doc_id of several rows stands for each of them; null ones name no component before others do. Texts of any
+    length are taken whole, an empty table gives an empty one. Sets are of 64-bit hashes under a key drawn anew in every
+    call: two different shingles, or the sets of two classes, are taken for one with probability near 2**-64. Other
+    columns are left out, whatever their names.
     """
     rows, links = class_links(docs, words, p, q, every=False)
     found = components(links)

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from edgewright.llm import catalog, mixing, near, rollup, sharding
+from edgewright.llm import kernels as K
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,15 +82,37 @@ def test_jaccard_of_nothing(spark):
     assert near.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_divide_skip():
+def test_probed_overlaps():
     import numpy as np
 
     rng = random.Random(4)
     for _ in range(200):
-        query = np.array(sorted(rng.sample(range(60), rng.randint(1, 40))), np.uint64)
-        sets = [np.array(sorted(rng.sample(range(60), rng.randint(1, 40))), np.uint64) for _ in range(rng.randint(1, 12))]
-        needed = [rng.randint(1, 20) for _ in sets]
-        assert near.divide_skip(query, sets, needed) == [len(np.intersect1d(query, s)) >= n for s, n in zip(sets, needed, strict=True)]
+        query = np.array(sorted(rng.sample(range(60), rng.randint(0, 40))), np.uint64)
+        sets = [np.array(sorted(rng.sample(range(60), rng.randint(0, 40))), np.uint64) for _ in range(rng.randint(1, 12))]
+        offs = np.cumsum([0, *map(len, sets)])
+        assert near.overlaps(query, np.concatenate(sets), offs).tolist() == [len(np.intersect1d(query, x)) for x in sets]
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_jaccard_tells_words_of_equal_polynomial_hashes_apart(spark):
+    own = " ".join(f"w{k}" for k in range(40))
+    rows = [(i, f"{w} {own}") for i, w in enumerate((thue_morse(2048), thue_morse(2048, "b", "a"), thue_morse(2048)))]
+    docs = spark.createDataFrame([(i, t[:2050]) for i, t in rows], "doc_id long, text string")
+    assert sorted(map(tuple, near.jaccard_components(docs, 3).collect())) == brute_components([(i, t[:2050]) for i, t in rows], 3, 9, 10)
+
+
+def test_jaccard_of_a_text_beyond_a_chunk_and_null_ids(spark):
+    rng = random.Random(2)
+    long = " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(160_000))
+    assert len(long) > K.CHUNK_BYTES
+    rows = [(1, long), (2, long + " tail"), (3, long[: len(long) // 2]), (4, "a b c d e f g h i j k l m")]
+    docs = spark.createDataFrame([*rows, (None, long + " more"), (None, "x y z")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.jaccard_components(docs).collect() if r.doc_id}
+    assert {d: c for d, (_, c) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert got[1][0] == len(shingles(long, 3))
 
 
 def brute_targets(sizes, weights, share, most):
