@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewright.llm import bpe_codec, catalog, mixing, near, quality, toxicity
-from edgewright.llm.shared import written
+from edgewright.llm.shared import intermediates, new_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the base rules and the compression bands, fitted on the labelled rows of all documents, keep."""
     bands = quality.fit_bands(catalog.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.compression_bands(docs, keep=docs.columns, bands=bands).where("kept").select(*docs.columns)
+    return quality.passing(docs, bands=bands)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier, fitted on the labelled rows of all documents, does not call toxic."""
     model = toxicity.fit(catalog.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.clean(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +60,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents; each result is written to the shared folder and read again."""
     docs = catalog.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with intermediates(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
