@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewright import schemas
@@ -10,6 +10,16 @@ from edgewright import schemas
 _AUTHORITY = r"(?s)^([A-Za-z0-9+.\-]+)://([^/]*)(.*)$"
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns whose expressions are evaluated once a row, however often later ones use them.
+
+    Exploding an array of one keeps the optimizer from copying a long expression into each place that names it.
+    """
+    packed = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("__once")
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*kept, packed).select(*kept, *(F.col("__once")[n].alias(n) for n in columns))
+
+
 def null() -> Column:
     return F.lit(None).cast("string")
 

@@ -42,11 +42,11 @@ def canonicalise(obs: DataFrame, declared: bool, kind: str = "path_kind", value:
     rows = obs.withColumn("raw_path", F.when(template, raw).otherwise(F.col(value)))
     rows = rows.withColumn("__regex", F.coalesce(regex, F.lit(False))).withColumn("__refused", F.coalesce(refused, F.lit(True)))
     rows = rows.withColumn("__text", F.when(~F.col("__refused"), F.when(template, text).otherwise(F.col(value))))
-    rows = rows.withColumn("__rest", P.after_authority(F.col("__text"))).withColumn("__path", P.plain_path(F.col("__rest")))
+    rows = P.once(rows, __text=F.col("__text"), __rest=P.after_authority(F.col("__text")), __path=P.plain_path(P.after_authority(F.col("__text"))))
     sources = F.transform(F.filter(parts, lambda p: p["kind"] != "text"), lambda p: p["source"])
     classify = P.classify_segment if declared else P.static_segment
     pieces = F.transform(P.segments(F.col("__path")), classify)
-    rows = rows.withColumn("segments", F.when(template, _fill(pieces, sources)).otherwise(pieces))
+    rows = P.once(rows, segments=F.coalesce(F.when(template, _fill(pieces, sources)).otherwise(pieces), F.array().cast(_NO_SEGMENTS)))
     note = lambda on, name: F.when(on, F.lit(name))
     notes = [
         note(template & ~F.col("__refused"), "template-substitution-unresolved"),
@@ -67,7 +67,6 @@ def canonicalise(obs: DataFrame, declared: bool, kind: str = "path_kind", value:
             "query": P.query(F.col("__rest")),
             "fragment": P.fragment(F.col("__rest")),
             "notes": F.array_compact(F.array(*notes)),
-            "segments": F.coalesce("segments", F.array().cast(_NO_SEGMENTS)),
         }
     )
     return rows.drop("__regex", "__refused", "__text", "__rest", "__path")

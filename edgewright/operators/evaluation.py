@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from edgewright.operators.graph import with_ids
 
 TP, FP, UNVERIFIABLE = "TRUE_POSITIVE", "FALSE_POSITIVE", "UNVERIFIABLE"
 #: Verified records from which a group's figures are called adequate.
@@ -116,15 +119,22 @@ def holdout(*key: Column, parts: int = 4) -> Column:
 
 
 def stride_sample(rows: DataFrame, target: int, order: list[str], keys: list[str] | None = None) -> DataFrame:
-    """``target`` rows of each key evenly spaced in order: those at int(j * n / target).
+    """``target`` rows of each key evenly spaced in order: those at int(j * (n / target)) for each j, in floating point as labellers count.
 
-    Place i is taken iff some j < target has int(j n / target) = i, tested without listing them.
+    Rows are numbered over range partitions and from their key's first number, so no key meets in one task. Ties of keys and order must not occur.
     """
     keys = keys or []
-    own = Window.partitionBy(*keys)
-    ranked = rows.withColumn("__i", F.row_number().over(own.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(own))
-    j = F.floor((F.col("__i") * target + F.col("__n") - 1) / F.col("__n"))
-    taken = (F.col("__n") <= target) | ((j < target) & (F.floor(j * F.col("__n") / target) == F.col("__i")))
+    numbered = with_ids(rows, *keys, *order, name="__at")
+    if keys:
+        own = numbered.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+        ranked = numbered.join(own, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    else:
+        ranked = numbered.withColumns({"__first": F.lit(0), "__n": F.lit(rows.count())})
+    ranked = ranked.select(*rows.columns, (F.col("__at") - F.col("__first")).alias("__i"), "__n")
+    stride = F.col("__n") / F.lit(float(target))
+    near = F.floor(F.col("__i") / stride)
+    hit = lambda d: (near + d).between(0, target - 1) & (F.floor((near + d) * stride) == F.col("__i"))
+    taken = (F.col("__n") <= target) | hit(-1) | hit(0) | hit(1)
     return ranked.where(taken).drop("__i", "__n")
 
 
@@ -134,9 +144,22 @@ def set_difference(declared: DataFrame, scored: DataFrame) -> DataFrame:
     return left.unionByName(scored.select(*declared.columns).subtract(declared).withColumn("side", F.lit("scored-only")))
 
 
-def records_digest(records: DataFrame, columns: list[str]) -> DataFrame:
-    """Number of records and SHA-256 of their sorted rows' digests; rows are hashed before they meet, 64 bytes each."""
-    row = F.sha2(F.to_json(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns))), 256)
-    halves = [F.conv(F.substring(row, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)") for k in range(8)]
-    sums = [F.sum(h).alias(f"h{k}") for k, h in enumerate(halves)]
-    return records.agg(F.count("*").alias("records"), *sums).select("records", F.sha2(F.concat_ws("|", *(f"h{k}" for k in range(8))), 256).alias("digest"))
+def records_digest(records: DataFrame, columns: list[str], order: list[str], most: int = 1_000_000) -> DataFrame:
+    """Number of records and SHA-256 of the JSON list of their ``columns``, compact, in the given order.
+
+    A digest of one text needs all of it in one place, so records beyond ``most`` are an error and not cut. Columns are text or numbers.
+    """
+    if records.count() > most:
+        raise ValueError(f"more than {most} records cannot be digested as one text")
+    row = F.concat(F.lit("["), F.concat_ws(",", *(_json(F.col(c), records.schema[c].dataType) for c in columns)), F.lit("]"))
+    listed = records.select(F.struct(*order, row.alias("__row")).alias("r"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["__row"]), ",")
+    return listed.agg(F.count("*").alias("records"), F.sha2(F.concat(F.lit("["), body, F.lit("]")), 256).alias("digest"))
+
+
+def _json(value: Column, kind: T.DataType) -> Column:
+    """A value as compact JSON: null, a number as it prints, or text in quotes with what JSON needs escaped."""
+    if not isinstance(kind, T.StringType):
+        return F.coalesce(value.cast("string"), F.lit("null"))
+    text = F.to_json(F.struct(F.coalesce(value, F.lit("")).alias("x")))
+    return F.when(value.isNull(), "null").otherwise(F.substring(text, F.lit(6), F.length(text) - 6))

@@ -52,6 +52,14 @@ def statements(lines: DataFrame, starts: Column) -> DataFrame:
     return found.select("file", "language", "x.*")
 
 
+def _outside(lines: DataFrame) -> DataFrame:
+    """Lines with ``outside``: whether no bracket is open where they begin, so that ``a=1`` is no keyword argument."""
+    bare = F.regexp_replace(F.regexp_replace("code", r"""(['"])(?:\\.|(?!\1).)*\1""", ""), "#.*$", "")
+    step = F.regexp_count(bare, F.lit(r"[(\[{]")) - F.regexp_count(bare, F.lit(r"[)\]}]"))
+    before = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.withColumn("__step", step).withColumn("outside", F.coalesce(F.sum("__step").over(before), F.lit(0)) <= 0).drop("__step")
+
+
 def _joined(lines: DataFrame, starts: str) -> DataFrame:
     """Statements whose first line matches, as lines: comments of several lines' code go, line ends become blanks."""
     rows = statements(lines, F.col("code").rlike(starts))
@@ -73,13 +81,14 @@ def _inside(code: Column, language: Column) -> Column:
 
 def imports(lines: DataFrame) -> DataFrame:
     """(file, line, specifier, imported, local): one row for each bound name; ``*`` for namespaces and wildcards, null names for side effects."""
-    plain = r"^\s*import\s+([\w.]+)(?:\s+as\s+(\w+))?\s*$"
+    one = r"[\w.]+(?:\s+as\s+\w+)?"
+    plain, named_as = rf"^\s*import\s+({one}(?:\s*,\s*{one})*)\s*(?:#.*)?$", r"^([\w.]+)(?:\s+as\s+(\w+))?"
     names = r"^\s*from\s+(\.*[\w.]*)\s+import\s*\(?\s*([^#()]+?)\s*\)?\s*(?:#.*)?$"
     lines = _joined(lines, r"^\s*(?:import|export|from)\b")
     py = _python(lines)
-    whole = py.where(F.col("code").rlike(plain)).select(
-        "file", "line", _get(plain, 1).alias("specifier"), F.lit("*").alias("imported"), F.coalesce(_get(plain, 2), _get(plain, 1)).alias("local")
-    )
+    whole = py.where(F.col("code").rlike(plain)).select("file", "line", F.explode(F.split(_get(plain, 1), r"\s*,\s*")).alias("item"))
+    specifier = _get(named_as, 1, "item")
+    whole = whole.select("file", "line", specifier.alias("specifier"), F.lit("*").alias("imported"), F.coalesce(_get(named_as, 2, "item"), specifier).alias("local"))
     each = F.explode(F.split(_get(names, 2), r"\s*,\s*")).alias("item")
     some = py.where(F.col("code").rlike(names)).select("file", "line", _get(names, 1).alias("specifier"), each).where("item <> ''")
     alias = r"^(\w+|\*)(?:\s+as\s+(\w+))?"
@@ -121,12 +130,12 @@ def symbols(lines: DataFrame) -> DataFrame:
         rows = _python(lines) if language == "python" else _typescript(lines)
         if language == "python":
             heads = _joined(rows, r"^\s*class\b").select("file", "line", F.col("code").alias("head"))
-            rows = rows.join(heads, ["file", "line"], "left")
+            rows = _outside(rows).join(heads, ["file", "line"], "left")
         else:
-            rows = rows.withColumn("head", F.col("code"))
+            rows = rows.withColumns({"head": F.col("code"), "outside": F.lit(True)})
         kind, name, indent = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int")
         for k, p in reversed(found):
-            hit = F.col("code").rlike(p)
+            hit = F.col("code").rlike(p) & (F.col("outside") if k == "variable" else F.lit(True))
             kind, name, indent = F.when(hit, k).otherwise(kind), F.when(hit, _get(p, 2)).otherwise(name), F.when(hit, F.length(F.regexp_extract("code", p, 1))).otherwise(indent)
         bases = F.filter(F.split(F.coalesce(_get(r"^\s*class\s+\w+\s*\(\s*([^)]*?)[\s,]*\)", 1, "head"), F.lit("")), r"\s*,\s*"), lambda b: (b != "") & ~F.contains(b, F.lit("=")))
         rows = rows.select("file", "line", kind.alias("kind"), name.alias("name"), indent.alias("indent"), bases.alias("bases"), F.col("code").rlike(r"^\s*export\b").alias("exported"))
@@ -134,6 +143,55 @@ def symbols(lines: DataFrame) -> DataFrame:
     return out.where("name is not null")
 
 
+def with_exports(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """Symbols with ``exported`` also true where a later statement exports them by name: ``export { a }``, ``export default a``, ``__all__``.
+
+    Only symbols of the module's own scope can be meant; ``export { a } from`` names another module's.
+    """
+    rows = _joined(lines, r"^\s*(?:export\s*(?:type\s*)?\{|export\s+default\b|__all__\s*\+?=)")
+    braces, default, listed = r"^\s*export\s*(?:type\s*)?\{([^}]*)\}\s*;?\s*(?://.*)?$", rf"^\s*export\s+default\s+({_NAME})\s*;?\s*$", r"^\s*__all__\s*\+?=\s*[\[(]([^\])]*)"
+    ts, py = _typescript(rows), _python(rows)
+    each = F.explode(F.split(F.trim(_get(braces, 1)), r"\s*,\s*")).alias("name")
+    named = ts.where(F.col("code").rlike(braces)).select("file", each).select("file", F.regexp_extract("name", r"^(?:type\s+)?([\w$]+)", 1).alias("name"))
+    single = ts.select("file", _get(default, 1).alias("name")).where("name is not null")
+    public = py.select("file", F.explode(F.regexp_extract_all(F.coalesce(_get(listed, 1), F.lit("")), F.lit(r"""['"](\w+)['"]"""), F.lit(1))).alias("name"))
+    later = named.unionByName(single).unionByName(public).distinct().withColumn("__later", F.lit(True))
+    joined = found.join(later, ["file", "name"], "left")
+    return joined.withColumn("exported", F.col("exported") | (F.coalesce("__later", F.lit(False)) & (F.col("indent") == 0))).select(*found.columns)
+
+
+def config_requests(lines: DataFrame) -> DataFrame:
+    """Requests stated as TypeScript objects with ``url`` or ``endpoint`` (a path-like literal or template) and, it may be, ``method``.
+
+    (file, language, line, method, url_kind, url_value, url_parts), of the line the object opens on. A ``path`` property is none.
+    """
+    value = r"""(?:'[^'\n]*'|"[^"\n]*"|`[^`]*`)"""
+    plain = rf"(?:{value}|\$\{{[^}}]*\}}|[^{{}}'\"`])"
+    whole = rf"(?s)\{{({plain}*?\b(?:url|endpoint)['\"]?\s*:\s*{value}{plain}*)\}}"
+    rows = statements(_typescript(lines), F.col("code").rlike(r"\{\s*$|\{.*\b(?:url|endpoint)\b"))
+    each = rows.withColumn("body", F.explode(F.regexp_extract_all("whole", F.lit(whole), F.lit(1))))
+    first = F.regexp_extract("body", r"^\s*([^\n]*)", 1)
+    each = each.where(F.contains("code", first))  # an inner statement's own line tells the object
+    url = F.concat(F.regexp_extract("body", rf"(?s)\b(?:url|endpoint)['\"]?\s*:\s*({value})", 1), F.lit(")"))
+    kind, literal, parts = _url(url)
+    each = each.withColumns({"url_kind": kind, "url_value": literal, "url_parts": parts, "method": F.upper(_get(r"\bmethod['\"]?\s*:\s*['\"](\w+)['\"]", 1, "body"))})
+    head = F.coalesce("url_value", F.get("url_parts", F.lit(0))["value"])
+    like = F.coalesce(F.startswith(head, F.lit("/")) | head.rlike("^https?://"), F.lit(False))
+    return each.where(like & (F.col("url_kind") != "dynamic")).select("file", "language", "line", "method", "url_kind", "url_value", "url_parts").distinct()
+
+
+def build_aliases(lines: DataFrame) -> DataFrame:
+    """(dir, alias, target) of ``resolve: { alias: { name: "folder" } }`` in TypeScript; values that are no literals are left out."""
+    text = _typescript(lines).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "code"))), lambda x: x["code"]), "\n").alias("text"))
+    body = F.regexp_extract("text", r"(?s)\bresolve['\"]?\s*:\s*\{.*?\balias['\"]?\s*:\s*\{([^}]*)\}", 1)
+    pair = r"""(?:'([^'\n]+)'|"([^"\n]+)"|([\w$]+))\s*:\s*(?:'([^'\n]*)'|"([^"\n]*)")"""
+    each = F.arrays_zip(*(F.regexp_extract_all(body, F.lit(pair), F.lit(k)).alias(f"g{k}") for k in range(1, 6)))
+    found = text.select("file", F.explode(each).alias("x"))
+    target = F.regexp_replace(F.concat("x.g4", "x.g5"), r"^\./", "")
+    directory = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
+    return found.select(directory.alias("dir"), F.concat("x.g1", "x.g2", "x.g3").alias("alias"), F.when(directory == "", target).otherwise(F.concat_ws("/", directory, target)).alias("target"))
+
+
 def tables(classes: DataFrame, lines: DataFrame) -> DataFrame:
     """Add ``table`` to the Python classes of spans(): the literal ``__tablename__``, or ``db_table`` of ``Meta``, of the innermost class
     around it (of the class that holds Meta); null where none is stated."""
@@ -239,7 +297,7 @@ def calls(lines: DataFrame) -> DataFrame:
     pattern = rf"(?<![\w$.])((?:new\s+)?{_NAME}(?:\.{_NAME})*)\s*\("
     skip = F.col("code").rlike(r"^\s*(@|//|#|def |async def |class |function |export (default )?(async )?function )")
     found = lines.where(~skip).select("file", "line", F.posexplode(F.regexp_extract_all("code", F.lit(pattern), F.lit(1))).alias("seq", "callee"))
-    found = found.where(~F.col("callee").isin("if", "for", "while", "switch", "return", "print", "catch", "elif", "and", "or", "not", "in"))
+    found = found.where(~F.col("callee").isin("if", "for", "while", "switch", "return", "print", "catch", "import", "elif", "and", "or", "not", "in"))
     path = F.split(F.regexp_replace("callee", r"^new\s+", ""), r"\.")
     return found.withColumns({"root": F.get(path, F.lit(0)), "path": path, "property": F.when(F.size(path) > 1, F.element_at(path, -1))})
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgewright.operators.rounds import kept
+
 IDENTITY = ["kind", "name", "file"]
 
 
@@ -98,13 +100,12 @@ def trace(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame
 def reachable(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """Nodes within so many hops of ``starts`` (node), starts included, each once with its distance.
 
-    Only the frontier is joined in each hop; lineage grows by one join a hop, so hops are to stay few.
+    Only the frontier is joined in each hop; its rows are kept in the checkpoint folder, so plans do not grow.
     """
-    links = edges.select("source", "target").distinct()
-    found = starts.select("node").distinct().withColumn("distance", F.lit(0))
-    frontier = found
+    links = kept(edges.select("source", "target").distinct())
+    found = frontier = kept(starts.select("node").distinct().withColumn("distance", F.lit(0)))
     for hop in range(1, hops + 1):
         ahead = frontier.join(links, frontier["node"] == links["source"]).select(F.col("target").alias("node")).distinct()
-        frontier = ahead.join(found, "node", "left_anti").withColumn("distance", F.lit(hop))
+        frontier = kept(ahead.join(found, "node", "left_anti").withColumn("distance", F.lit(hop)))
         found = found.unionByName(frontier)
     return found

@@ -41,10 +41,21 @@ def unmatched(declared: DataFrame, produced: DataFrame) -> DataFrame:
     return produced.join(declared.select("file", "line").distinct(), ["file", "line"], "left_anti")
 
 
+def is_parameter(segment: Column) -> Column:
+    """Whether the source leaves a segment's value open: it starts with < or :, or holds a { anywhere."""
+    return F.startswith(segment, F.lit("<")) | F.startswith(segment, F.lit(":")) | F.contains(segment, F.lit("{"))
+
+
+def request_path(url: Column) -> Column:
+    """The path that a request names: without fragment, query, scheme and host."""
+    return F.when(P.authority(url).isNotNull() & (P.plain_path(P.after_authority(url)) == ""), "/").otherwise(P.plain_path(P.after_authority(url)))
+
+
 def canonical_key(path: Column) -> Column:
-    """A served path with its variables erased, for an independent comparison by equality."""
-    parts = F.transform(P.segments(P.plain_path(path)), lambda s: F.when(s.rlike(r"^(\{.*\}|<.*>|:.+|\$\{.*\}|\d+)$"), "{}").otherwise(s))
-    return F.concat(F.lit("/"), F.array_join(parts, "/"))
+    """A path with its open segments erased, for an independent comparison by equality; a trailing slash stays."""
+    parts = F.transform(P.segments(request_path(path)), lambda s: F.when(is_parameter(s), "{*}").otherwise(s))
+    slash = F.when(F.endswith(path, F.lit("/")) & (F.length(path) > 1), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(parts, "/"), slash)
 
 
 def request_recall(truth: DataFrame, produced: DataFrame) -> DataFrame:
@@ -56,10 +67,11 @@ def request_recall(truth: DataFrame, produced: DataFrame) -> DataFrame:
 
 
 def paths_agree(client: Column, route: Column) -> Column:
-    """agree, disagree or undecided for two lists of segments: variables agree with anything, an unknown one decides nothing."""
-    variable = lambda s: s.rlike(r"^(\{.*\}|<.*>|:.+)$")
-    unknown = lambda s: F.contains(s, F.lit("${"))
-    each = F.zip_with(client, route, lambda c, r: F.when(variable(r) & ~unknown(c), 1).when(unknown(c), F.when(variable(r), 1).otherwise(0)).when(c == r, 1).otherwise(-1))
+    """agree, disagree or undecided for two lists of segments.
+
+    A route's parameter takes any segment; an open segment of the client against a literal decides nothing; two literals must be equal.
+    """
+    each = F.zip_with(client, route, lambda c, r: F.when(is_parameter(r), 1).when(is_parameter(c), 0).when(c == r, 1).otherwise(-1))
     return (
         F.when(F.size(client) != F.size(route), "disagree").when(F.exists(each, lambda x: x == -1), "disagree").when(F.exists(each, lambda x: x == 0), "undecided").otherwise("agree")
     )
@@ -73,10 +85,10 @@ def accessed_by(found: DataFrame) -> DataFrame:
 
 
 def refusals_near(points: DataFrame, refused: DataFrame, k: int = 3) -> DataFrame:
-    """For each point (file, point_id) the first k refusals (file, line, reason) of its file by line."""
-    met = points.select("file", "point_id").join(refused.select("file", "line", "reason"), "file")
-    place = F.row_number().over(Window.partitionBy("file", "point_id").orderBy("line", "reason"))
-    return met.withColumn("place", place).where(F.col("place") <= k)
+    """For each point (file, point_id) the first k refusals (file, line, reason) of its file by line: a file's are picked once for all its points."""
+    place = F.row_number().over(Window.partitionBy("file").orderBy("line", "reason"))
+    first = refused.select("file", "line", "reason").withColumn("place", place).where(F.col("place") <= k)
+    return points.select("file", "point_id").join(first, "file")
 
 
 def as_json(edges: DataFrame) -> DataFrame:

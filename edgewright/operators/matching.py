@@ -31,12 +31,19 @@ def _pair(c: Column, r: Column) -> Column:
 def candidates(clients: DataFrame, routes: DataFrame) -> DataFrame:
     """Every possible pair of a supported client and an admitted route, with reasons, confidence and whether it tells routes apart.
 
-    Equal lengths meet on (length, first segment): a static first segment probes its own value and the variables, any other
-    client probes all of its length. Routes ending in a wildcard are few; they meet every client at least as long.
+    One equi-join on a key of length and first segment: a client whose first segment is static probes its value and the
+    variables, any other probes all routes of its length. Routes ending in a wildcard are keyed without a length, which
+    the join's residue tests. A client's segments are made once, a route's once too.
     """
     c = clients.where(unsupported_reason().isNull()).select(
         "client_id", F.col("segments").alias("cs"), F.col("methods").alias("cm"), F.col("trailing_slash").alias("ct"), F.size("segments").alias("n")
     )
+    head = F.get(F.col("cs"), F.lit(0))
+    probe = lambda size: F.array(F.concat(size, F.lit("="), head["value"]), F.concat(size, F.lit("*")))
+    length = F.col("n").cast("string")
+    loose = F.array(F.concat(length, F.lit("?")), F.lit("w?"))
+    sure = F.coalesce(head["kind"] == "static", F.lit(False))
+    c = c.withColumn("key", F.explode(F.when(sure, F.concat(probe(length), probe(F.lit("w")))).otherwise(loose)))
     r = routes.where("status <> 'unsupported'").select(
         "route_id", F.col("segments").alias("rs"), F.col("methods").alias("rm"), F.col("trailing_slash").alias("rt"), F.size("segments").alias("m"), "handler"
     )
@@ -45,26 +52,22 @@ def candidates(clients: DataFrame, routes: DataFrame) -> DataFrame:
     tail = F.coalesce(F.get("rs", F.col("m") - 1)["kind"] == "wildcard", F.lit(False))
     r = r.where(~early).withColumn("wild", tail)
     first = F.get(F.col("rs"), F.lit(0))
-    plain = r.where("not wild").withColumn("key", F.when(first["kind"] == "static", F.concat(F.lit("="), first["value"])).otherwise("*"))
-    head = F.get(F.col("cs"), F.lit(0))
-    sure = F.coalesce(head["kind"] == "static", F.lit(False))
-    keyed = c.where(sure).withColumn("key", F.explode(F.array(F.concat(F.lit("="), head["value"]), F.lit("*"))))
-    met = keyed.join(plain, (keyed["n"] == plain["m"]) & (keyed["key"] == plain["key"])).drop("key")
-    loose = c.where(~sure)
-    met = met.unionByName(loose.join(plain.drop("key"), loose["n"] == plain["m"]))
-    longer = c.join(r.where("wild"), F.col("n") >= F.col("m"))
-    met = met.unionByName(longer)
-
-    fixed = F.col("m") - F.col("wild").cast("int")
-    met = met.where(P.methods_compatible(F.col("cm"), F.col("rm"))).withColumn("fixed", fixed)
+    size = F.when(F.col("wild"), "w").otherwise(F.col("m").cast("string"))
+    own = F.when(first["kind"] == "static", F.concat(size, F.lit("="), first["value"])).otherwise(F.concat(size, F.lit("*")))
+    r = r.withColumn("key", F.explode(F.array(own, F.concat(size, F.lit("?")))))
+    fits = (c["key"] == r["key"]) & (F.col("n") >= F.col("m")) & P.methods_compatible(F.col("cm"), F.col("rm"))
+    met = c.join(r, fits).drop("key")
+
+    met = met.withColumn("fixed", F.col("m") - F.col("wild").cast("int"))
     agree = F.zip_with(F.slice("cs", F.lit(1), F.col("fixed")), F.slice("rs", F.lit(1), F.col("fixed")), _pair)
-    met = met.withColumn("agree", agree).where(F.forall("agree", lambda x: x.isNotNull()))
+    met = P.once(met, agree=agree).where(F.forall("agree", lambda x: x.isNotNull()))
     count = lambda kind: F.size(F.filter("agree", lambda x: x == kind))
-    static = count("static")
+    met = P.once(met, static=count("static"), loose=F.exists("agree", lambda x: F.startswith(x, F.lit("unknown"))))
+    static = F.col("static")
     path = (
         F.when(F.col("wild"), "wildcard-suffix")
         .when(static == F.col("m"), "exact-static")
-        .when(F.exists("agree", lambda x: F.startswith(x, F.lit("unknown"))), "variable-aligned")
+        .when(F.col("loose"), "variable-aligned")
         .otherwise("parameter-bound")
     )
     method = (
@@ -105,13 +108,15 @@ def ranked(pairs: DataFrame) -> DataFrame:
 
 def decisions(clients: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row for each client: status, the best candidate, and why an unsupported one is refused."""
-    first = ranked(pairs).where("rank = 1")
+    best = F.struct((-F.col("confidence")).alias("order"), "route", "route_id", "handler", "path", "method", "discriminating", "reasons")
+    own = pairs.groupBy("client_id").agg(F.min(best).alias("b"), F.collect_list("confidence").alias("all"))  # a client's routes are few
+    near = F.filter("all", lambda x: F.abs(x + F.col("b.order")) < F.lit(schemas.FLOAT_EPSILON).cast("float"))
     status = (
-        F.when(~F.col("discriminating") | (F.col("tied") > 1), "ambiguous")
-        .when((F.col("path") == "exact-static") & (F.col("method") == "exact"), "exact")
+        F.when(~F.col("b.discriminating") | (F.size(near) > 1), "ambiguous")
+        .when((F.col("b.path") == "exact-static") & (F.col("b.method") == "exact"), "exact")
         .otherwise("strong")
     )
-    first = first.select("client_id", status.alias("status"), "route_id", "route", "handler", "confidence", "reasons")
+    first = own.select("client_id", status.alias("status"), "b.route_id", "b.route", "b.handler", (-F.col("b.order")).alias("confidence"), "b.reasons")
     all_clients = clients.select("client_id", unsupported_reason().alias("unsupported_reason"))
     joined = all_clients.join(first, "client_id", "left")
     return joined.withColumn("status", F.when(F.col("unsupported_reason").isNotNull(), "unsupported").otherwise(F.coalesce("status", F.lit("no-match"))))

@@ -140,10 +140,30 @@ def compose_prefixes(routers: DataFrame, mounts: DataFrame) -> DataFrame:
     return rows.unionByName(lost.select("router", "status", "prefix", "chain"))
 
 
+def project_prefixes(routers: DataFrame, inclusions: DataFrame, bound: DataFrame, distinct: bool = False) -> DataFrame:
+    """(file, name, status, prefix, chain) of routers (file, name, prefix, prefix_unresolved) through inclusions (file, child, parent, prefix, prefix_unresolved).
+
+    A router is known by its file and name. A name at an inclusion is the file's own router, else the one of that name in
+    the file its import leads to (``bound``: file, name, status, declared_in); an inclusion of any other name says nothing.
+    ``distinct`` counts equal mounts once, as labellers do.
+    """
+    known = routers.select("file", "name").distinct()
+    lead = bound.where("status = 'declared'").select(F.col("file").alias("at"), "name", F.col("declared_in").alias("file")).join(known, ["file", "name"])
+    here = known.select(F.col("file").alias("at"), "name", "file", F.lit(0).alias("order")).unionByName(lead.select("at", "name", "file", F.lit(1).alias("order")))
+    means = here.groupBy("at", "name").agg(F.min(F.struct("order", "file")).alias("m"))
+    key = lambda file, name: F.concat(file, F.lit("#"), name)
+    side = lambda s: means.select(F.col("at").alias("file"), F.col("name").alias(s), key(F.col("m.file"), F.col("name")).alias(f"{s}_id"))
+    met = inclusions.join(side("child"), ["file", "child"]).join(side("parent"), ["file", "parent"])
+    mounts = met.select(F.col("child_id").alias("child"), F.col("parent_id").alias("parent"), "prefix", "prefix_unresolved")
+    ids = routers.select(key(F.col("file"), F.col("name")).alias("router"), "prefix", "prefix_unresolved", "file", "name")
+    composed = compose_prefixes(ids, mounts.distinct() if distinct else mounts)
+    return ids.select("router", "file", "name").join(composed, "router").drop("router")
+
+
 def composed_routes(routes: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Routes (receiver, path_value) with the known prefix of their receiver set before; any other route keeps its path."""
-    known = prefixes.where("status = 'known' and prefix <> ''").select(F.col("router").alias("receiver"), F.col("prefix").alias("__prefix"))
-    joined = routes.join(known, "receiver", "left")
+    """Routes (file, receiver, path_value) with the known prefix of their file's receiver set before; any other route keeps its path."""
+    known = prefixes.where("status = 'known' and prefix <> ''").select("file", F.col("name").alias("receiver"), F.col("prefix").alias("__prefix"))
+    joined = routes.join(known, ["file", "receiver"], "left")
     path = F.when(F.col("__prefix").isNotNull(), P.join_paths(F.col("__prefix"), F.col("path_value"))).otherwise(F.col("path_value"))
     return joined.withColumn("path_value", path).drop("__prefix").select(*routes.columns)
 

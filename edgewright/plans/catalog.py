@@ -406,7 +406,7 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STRIDE = """x as (select doc_id, kind, row_number() over ({part} order by doc_id) - 1 as i, count(*) over ({part}) as n from r),
-  j as (select unnest(range(0, 25)) as j) select distinct doc_id, kind from x, j where n <= 25 or i = (j * n) // 25"""
+  j as (select unnest(range(0, 25)) as j) select distinct doc_id, kind from x, j where n <= 25 or i = cast(floor(j * (n / 25.0::double)) as bigint)"""
 
 
 @query(_REC + _STRIDE.format(part=""))

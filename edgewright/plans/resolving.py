@@ -141,22 +141,27 @@ def name_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orm.models(spark.sql("select cast(p_partkey as string) as file, p_name as name, p_size as line, array('Base') as bases, p_type as table from part"))[1]
 
 
-_CALLS = "select 'f' || (o_custkey % 60) as file, cast(o_orderkey as int) as line, case when o_orderkey % 4 = 0 then null else 'fn' || (o_orderkey % 9) end as enclosing, 'M' || (o_orderkey % 50) as root, case o_orderstatus when 'F' then 'filter' when 'O' then 'save' end as property from orders"
+_CALLS = """select 'f' || (o_custkey % 60) as file, cast(o_orderkey as int) as line, case when o_orderkey % 4 = 0 then null else 'fn' || (o_orderkey % 9) end as enclosing,
+  'M' || (o_orderkey % 50) as root, case when o_orderstatus = 'F' then 'objects.filter' when o_orderstatus = 'P' then '' when o_orderkey % 3 = 0 then 'objects.create'
+  when o_orderkey % 3 = 1 then 'objects.save' else 'get' end as rest, o_orderkey % 4 as way from orders"""
+#: A name of a model leads to models.py through three of four files' imports; in the others nothing binds it, or it leads elsewhere.
+_BOUND = """select distinct 'f' || (o_custkey % 60) as file, 'M' || (o_orderkey % 50) as name, case when o_custkey % 60 % 5 = 1 then 'ambiguous' else 'declared' end as status,
+  case when o_custkey % 60 % 5 = 2 then 'views.py' when o_custkey % 60 % 5 <> 1 then 'models.py' end as declared_in from orders where o_custkey % 60 % 5 <> 3"""
 _ACCESS = f"""with c as ({_CALLS}), v as (select distinct 'f' || (s_suppkey % 60) as file, 'M' || s_nationkey as root from supplier), k as (select 'M' || n_nationkey as root from nation),
-  a as (select c.*, case when property = 'filter' then 'read' when property is null then 'construct' end as access from c join k on c.root = k.root
-        where not exists (select 1 from v where v.file = c.file and v.root = c.root)) """
+  a as (select c.*, case rest when 'objects.filter' then 'query' when '' then 'persist' when 'objects.create' then 'persist' end as access from c join k on c.root = k.root
+        where cast(substr(c.file, 2) as int) % 5 not in (1, 2) and not exists (select 1 from v where v.file = c.file and v.root = c.root)) """
 
 
 def _accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, "orders", "supplier", "nation")
-    calls = spark.sql(f"select *, case when property is null then array(root) else array(root, property) end as path from ({_CALLS})")
+    calls = spark.sql(f"select *, split(case when rest = '' then root else concat(root, '.', rest) end, '[.]') as path from ({_CALLS})")
     known = spark.sql("select 'M' || n_nationkey as name, 'models.py' as file from nation")
-    return orm.accesses(calls, known, spark.sql("select 'f' || (s_suppkey % 60) as file, 'M' || s_nationkey as name from supplier"))
+    return orm.accesses(calls, known, spark.sql("select 'f' || (s_suppkey % 60) as file, 'M' || s_nationkey as name from supplier"), spark.sql(_BOUND))
 
 
 @query(_ACCESS + "select file, line, root, access from a where access is not null")
 def anti_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accesses of models, but for files that shadow the model's name."""
+    """Accesses of models, but for files that shadow the model's name or whose imports lead elsewhere."""
     return _accesses(spark, sf_dir).select("file", "line", "root", "access")
 
 
@@ -186,3 +191,72 @@ def requester_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, "customer", "nation")
     calls = spark.sql("select 'n' || n_nationkey as caller, 'r' || n_regionkey as callee from nation union all select 'c' || c_custkey, 'n' || c_nationkey from customer")
     return orm.reaching(calls, spark.sql("select 'r1' as name"))
+
+
+@query(
+    """select 'f' || n_nationkey || '.py' as file, 'router' as name, case when n_nationkey % 4 = 3 then 'unresolved: included with a prefix that is not a literal' when n_nationkey % 4 = 2 then 'ambiguous' else 'known' end as status,
+    case when n_nationkey % 4 = 0 then '/api' || '/v' || n_regionkey || '/n' || n_nationkey when n_nationkey % 4 = 1 then '/n' || n_nationkey end as prefix from nation
+  union all select 'main.py', 'app', 'known', '/api'"""
+)
+def router_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation's file declares a ``router`` of its own, which main.py's or its package's app may include by import; names alone would mix them up."""
+    views(spark, sf_dir, "nation")
+    routers = spark.sql("select 'f' || n_nationkey || '.py' as file, 'router' as name, '/n' || n_nationkey as prefix, false as prefix_unresolved from nation union all select 'main.py', 'app', '/api', false")
+    mounts = spark.sql(
+        """select 'p' || n_nationkey || '.py' as file, 'router' as child, 'app' as parent, case when n_nationkey % 4 < 3 then '/v' || n_regionkey end as prefix, n_nationkey % 4 = 3 as prefix_unresolved
+        from nation where n_nationkey % 4 <> 1
+        union all select 'p' || n_nationkey || '.py', 'router', 'app', '/again', false from nation where n_nationkey % 4 = 2
+        union all select 'p' || n_nationkey || '.py', 'stranger', 'app', '/no', false from nation"""
+    )
+    bound = spark.sql(
+        """select 'p' || n_nationkey || '.py' as file, 'router' as name, 'declared' as status, 'f' || n_nationkey || '.py' as declared_in from nation
+        union all select 'p' || n_nationkey || '.py', 'app', 'declared', 'main.py' from nation"""
+    )
+    return resolution.project_prefixes(routers, mounts, bound).select("file", "name", "status", "prefix")
+
+
+_CLASSES = """select 'm' || n_nationkey || '.py' as file, 'C' || n_nationkey as name, case when n_nationkey % 3 = 0 then 'sqlalchemy' when n_nationkey % 3 = 1 then 'django' else 'model' end as flavour, 10 as start, 30 as end from nation"""
+
+
+@query(
+    """select 'C' || n_nationkey as name, case when n_nationkey % 3 < 2 and n_regionkey < 3 then 't' || n_nationkey end as "table",
+  case when n_nationkey % 3 = 2 then 'table not resolved: the ORM this class belongs to is not determined'
+       when n_regionkey < 3 then case when n_nationkey % 3 = 0 then '__tablename__' else 'db_table' end || ' = "t' || n_nationkey || '"'
+       when n_regionkey = 3 then 'table not resolved: ' || case when n_nationkey % 3 = 0 then '__tablename__' else 'db_table' end || ' is not a string literal'
+       when n_nationkey % 3 = 0 then 'table not resolved: no __tablename__' else 'table not resolved: no Meta.db_table; the default needs the app label' end as table_reason from nation"""
+)
+def table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that classes state: in themselves or in a nested Meta, as a literal or not, or not at all; another class's Meta is no answer."""
+    views(spark, sf_dir, "nation")
+    classes = spark.sql(_CLASSES)
+    symbols = spark.sql(
+        """select 'm' || n_nationkey || '.py' as file, 'variable' as kind, case when n_nationkey % 3 = 0 then '__tablename__' else 'db_table' end as name,
+               case when n_nationkey % 3 = 1 then 'Meta' else 'C' || n_nationkey end as enclosing, 12 as start, 12 as end from nation where n_regionkey < 4
+        union all select 'm' || n_nationkey || '.py', 'class', 'Meta', 'C' || n_nationkey, 11, 13 from nation
+        union all select 'm' || n_nationkey || '.py', 'variable', 'db_table', 'Meta', 52, 52 from nation
+        union all select 'm' || n_nationkey || '.py', 'class', 'Meta', 'Other', 51, 53 from nation"""
+    )
+    strings = spark.sql(
+        """select 'm' || n_nationkey || '.py' as file, 12 as line, 0 as seq, 't' || n_nationkey as value from nation where n_regionkey < 3
+        union all select 'm' || n_nationkey || '.py', 52, 0, 'other' from nation"""
+    )
+    return orm.declared_tables(classes, symbols, strings).select("name", "table", "table_reason")
+
+
+@query("select 'M' || p_partkey as model, 't' || (p_partkey % 50) as \"table\", p_size as line from part where p_partkey % 4 <> 0")
+def model_table_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge from each model to the table it states."""
+    views(spark, sf_dir, "part")
+    known = spark.sql("select 'm.py' as file, 'M' || p_partkey as name, p_size as line, case when p_partkey % 4 <> 0 then 't' || (p_partkey % 50) end as table from part")
+    return orm.table_edges(known).select("model", "table", "line")
+
+
+@query(
+    """select p_partkey as id, case p_partkey % 5 when 0 then 'django' when 1 then 'sqlalchemy' when 2 then 'sqlalchemy' when 3 then 'model' end as flavour from part"""
+)
+def base_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ORM that a class's bases tell, by the order of evidence."""
+    views(spark, sf_dir, "part")
+    bases = "case p_partkey % 5 when 0 then array('Mixin', 'models.Model') when 1 then array('Base') when 2 then array('db.Model', 'Model') when 3 then array('Model') else array('object') end"
+    rows = spark.sql(f"select p_partkey as id, {bases} as bases from part")
+    return rows.select("id", orm.model_base(rows["bases"]).alias("flavour"))

@@ -62,23 +62,43 @@ def false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that were found, by erased path."""
     views(spark, sf_dir, "customer", "supplier")
-    truth = spark.sql("select 'get' as method, '/n' || c_nationkey || '/' || c_custkey || '?q' as path from customer")
+    truth = spark.sql("select 'get' as method, '/n' || c_nationkey || '/:' || c_custkey || '?q' as path from customer")
     return groundtruth.request_recall(truth, spark.sql("select 'GET' as method, '/n' || s_nationkey || '/{id}' as path from supplier where s_acctbal > 5000"))
 
 
 @query(
-    """select c_custkey, case when c_custkey % 4 = 3 then 'disagree' when c_custkey % 4 = 2 then 'undecided' when c_nationkey = 7 or c_custkey % 4 = 1 then 'agree' else 'disagree' end as outcome from customer"""
+    """select c_custkey, case c_custkey % 6 when 0 then case when c_nationkey = 7 then 'agree' else 'disagree' end when 1 then 'agree' when 2 then 'undecided'
+  when 3 then 'disagree' when 4 then 'undecided' else 'disagree' end as outcome from customer"""
 )
 def path_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labeller's own comparison: agree, disagree or undecided."""
+    """The labeller's own comparison: a route's parameter takes anything, an open segment against a literal decides nothing."""
     views(spark, sf_dir, "customer")
     rows = spark.sql(
-        """select c_custkey, case c_custkey % 4 when 3 then array('a') when 2 then array(concat('$', '{x}'), '1') else array('n' || c_nationkey, '1') end as c,
-        case when c_custkey % 4 = 1 then array('{nation}', ':id') else array('n7', '<int:id>') end as r from customer"""
+        """select c_custkey, case c_custkey % 6 when 0 then array('n' || c_nationkey, '1') when 1 then array('{nation}', '1') when 2 then array(concat('$', '{x}'), '1')
+          when 3 then array('n7') when 4 then array('n7', '{id}') else array('12', '34') end as c,
+        case c_custkey % 6 when 1 then array(':nation', '{n}.json') when 4 then array('n7', 'orders') when 5 then array('12', '56') else array('n7', '<int:id>') end as r from customer"""
     )
     return rows.select("c_custkey", groundtruth.paths_agree(F.col("c"), F.col("r")).alias("outcome"))
 
 
+@query(
+    """select c_custkey, case c_custkey % 4 when 0 then '/n/12/{*}/' when 1 then '/a/{*}' when 2 then '/' else '/x/{*}' end as erased from customer"""
+)
+def labeller_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths as the labeller erases them: digits are values, anything with a brace, < or : is open."""
+    views(spark, sf_dir, "customer")
+    path = """case c_custkey % 4 when 0 then '/n/12/<int:id>/' when 1 then 'https://h.example/a/{n}.json?q=1#f' when 2 then 'https://h.example' else concat('/x/v$', '{y}') end"""
+    rows = spark.sql(f"select c_custkey, {path} as path from customer")
+    return rows.select("c_custkey", groundtruth.canonical_key(F.col("path")).alias("erased"))
+
+
+@query("""select count(*) as records, sha256('[' || string_agg('[' || n_nationkey || ',"' || n_name || '",' || (n_regionkey / 4.0::double) || ']', ',' order by n_nationkey) || ']') as digest from nation""")
+def records_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of labelled records as compact JSON."""
+    views(spark, sf_dir, "nation")
+    return evaluation.records_digest(spark.sql("select n_nationkey as id, n_name as name, cast(n_regionkey / 4 as double) as confidence from nation"), ["id", "name", "confidence"], ["id"])
+
+
 @query(
     _ACCESS
     + """, e as (select file, enclosing, root as model, min(line) as line from a where access is not null and enclosing is not null group by file, enclosing, root)

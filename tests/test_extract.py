@@ -173,10 +173,10 @@ def test_source_to_match(spark):
     """Client call in TypeScript to handler in Python, through the composed router prefix."""
     lines = files.lines(repo(spark))
     declared, included = extract.routers(lines)
-    mounts = included.select("child", "parent", "prefix", "prefix_unresolved")
-    routers = declared.select(F.col("name").alias("router"), "prefix", "prefix_unresolved").union(spark.createDataFrame([("main", None, False)], "r string, p string, u boolean"))
-    prefixes = resolution.compose_prefixes(routers, mounts)
-    assert {r.router: (r.status, r.prefix) for r in prefixes.collect()}["router"] == ("known", "/v1/api")
+    routers = declared.union(spark.createDataFrame([("main.py", 0, "main", None, False)], declared.schema))
+    bound = spark.createDataFrame([("api/app.py", "main", "declared", "main.py")], "file string, name string, status string, declared_in string")
+    prefixes = resolution.project_prefixes(routers, included, bound)
+    assert {r.name: (r.status, r.prefix) for r in prefixes.collect()}["router"] == ("known", "/v1/api")
     routes = resolution.composed_routes(extract.routes(lines).withColumn("route_id", F.xxhash64("file", "line")), prefixes)
     clients = canonical.canonical_clients(extract.http_calls(lines).withColumn("client_id", F.xxhash64("file", "line")))
     results = matching.decisions(clients, matching.candidates(clients, canonical.canonical_routes(routes)))
