@@ -238,3 +238,8 @@ def environment_variable(source: Column) -> Column:
 def quoted_literal(source: Column) -> Column:
     s = F.trim(source)
     return F.when(s.rlike(r"""(?s)^(['"`])((?!\1).)*\1$"""), F.substring(s, F.lit(2), F.length(s) - 2))
+
+
+def plain_identifier(source: Column) -> Column:
+    """Whether an expression is one name."""
+    return F.trim(source).rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*$")

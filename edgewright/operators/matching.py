@@ -122,5 +122,33 @@ def decisions(clients: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("unsupported_reason").isNotNull(), "unsupported").otherwise(F.coalesce("status", F.lit("no-match"))))
 
 
+def evidence(pairs: DataFrame, clients: DataFrame, routes: DataFrame) -> DataFrame:
+    """Add ``evidence`` to candidates: what matched what, where, and the reasons as a sentence; repeated reasons are told together."""
+    shown = lambda: F.concat(P.show_methods(F.col("methods")), F.lit(" "), P.display(F.col("segments"), F.col("trailing_slash"), F.col("scheme"), F.col("authority")))
+    c = clients.select("client_id", shown().alias("__client"))
+    r = routes.select("route_id", shown().alias("__route"), F.concat("file", F.lit(":"), F.col("line").cast("string")).alias("__at"))
+    rows = pairs.join(c, "client_id").join(r, "route_id")
+    places = lambda kind: F.transform(F.filter("reasons", lambda x: F.substring_index(x, "@", 1) == kind), lambda x: F.substring_index(x, "@", -1))
+    has = lambda kind: F.array_contains("reasons", kind)
+    several = lambda kind, text: F.when(F.size(places(kind)) > 0, F.concat(F.lit(text[0]), F.array_join(places(kind), ", "), F.lit(text[1])))
+    statics = F.size(places("static-segments-agree"))
+    told = [
+        F.when(has("method-exact"), "exact HTTP method")
+        .when(F.col("method") == "client-unknown", "client declared no method")
+        .when(F.col("method") == "server-unknown", "route declared no method")
+        .otherwise("neither side declared a method"),
+        F.when(has("static-path-exact"), "every path segment static and equal"),
+        several("wildcard-consumed-suffix", ("route wildcard consumed ", " trailing segment(s)")),
+        F.when(has("no-discriminating-static-segment"), "no shared static segment"),
+        F.when(has("trailing-slash-differs"), "trailing slash differs"),
+        F.when(statics > 0, F.concat(statics.cast("string"), F.lit(" static segment(s) equal"))),
+        several("parameter-bound-to-literal", ("declared parameter(s) at position(s) ", " bound to concrete values")),
+        several("client-value-unknown", ("client value(s) at position(s) ", " not determined")),
+        several("unknown-value-against-literal", ("client value(s) at position(s) ", " compared against literal segment(s), unverified")),
+    ]
+    head = F.concat("__client", F.lit(" matched "), "__route", F.lit(" at "), "__at", F.coalesce(F.concat(F.lit(" ("), "handler", F.lit(")")), F.lit("")))
+    return rows.withColumn("evidence", F.concat_ws("; ", head, *told)).drop("__client", "__route", "__at")
+
+
 def accepted(results: DataFrame) -> DataFrame:
     return results.where(F.col("status").isin("exact", "strong"))
