@@ -504,22 +504,42 @@ def _groups(column: pa.Array, limit: int = K.CHUNK_BYTES) -> Iterator[tuple[int,
         yield first, held
 
 
+#: What reading a broken or foreign movie raises.
+_BROKEN = (ArithmeticError, AssertionError, LookupError, ValueError, struct.error)
+
+
+def _analysed(media: list[bytes | None]) -> list[tuple[tuple | None, str | None]]:
+    """What analyse finds in each movie, or why nothing can be found. A broken movie spoils no other."""
+    known = [m for m in media if m is not None]
+    try:
+        found = iter([(f, None) for f in analyse(known)])
+    except _BROKEN:
+        found = iter([_alone(m) for m in known])
+    return [(None, "no media") if m is None else next(found) for m in media]
+
+
+def _alone(movie: bytes) -> tuple[tuple | None, str | None]:
+    try:
+        return analyse([movie])[0], None
+    except _BROKEN as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_pylist()
         for first, media in _groups(batch.column(1)):
             rows = {k: [] for k in ("doc_id", "clip", "first_frame", "last_frame", "start_s", "end_s")}
-            known = [(i, m) for i, m in enumerate(media, first) if m is not None]
-            for (i, _), (_, found, seconds, _) in zip(known, analyse([m for _, m in known]), strict=True):
-                for c, (a, b) in enumerate(found):
-                    for k, v in zip(rows, (ids[i], c, a, b, a * seconds, (b + 1) * seconds), strict=True):
+            for i, (movie, _) in enumerate(_analysed(media), first):
+                for c, (a, b) in enumerate(movie[1] if movie else ()):
+                    for k, v in zip(rows, (ids[i], c, a, b, a * movie[2], (b + 1) * movie[2]), strict=True):
                         rows[k].append(v)
             kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
 
 def clips(movies: DataFrame) -> DataFrame:
-    """Timed clip rows (doc_id, clip, first_frame, last_frame, start_s, end_s) of rows (doc_id, media); null media have none."""
+    """Timed clip rows (doc_id, clip, first_frame, last_frame, start_s, end_s) of rows (doc_id, media); null and broken media have none."""
     kind = movies.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, clip long, first_frame long, last_frame long, start_s double, end_s double"
     return movies.select("doc_id", "media").mapInArrow(_clips, schema)
@@ -528,29 +548,35 @@ def clips(movies: DataFrame) -> DataFrame:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, media in _groups(batch.column(2)):
-            found = analyse(media)
-            feature = [f"frames={n};clips=" + "|".join(f"{a}-{b}@{a * s:.2f}-{(b + 1) * s:.2f}" for a, b in cut) for _, cut, s, n in found]
-            kept = [f[0] for f in found]
+            found = _analysed(media)
+            feature = [f and f"frames={f[3]};clips=" + "|".join(f"{a}-{b}@{a * f[2]:.2f}-{(b + 1) * f[2]:.2f}" for a, b in f[1]) for f, _ in found]
+            kept = [f and f[0] for f, _ in found]
+            of = lambda make, values: [None if v is None else make(v) for v in values]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, len(media)),
                     batch.column(1).slice(first, len(media)),
-                    pa.array([len(k) for k in kept], pa.int64()),
-                    pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-                    pa.array([zlib.crc32(k[-64:]) for k in kept], pa.int64()),
-                    pa.array([len(m) for m in media], pa.int64()),
-                    pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
+                    pa.array(of(len, kept), pa.int64()),
+                    pa.array(of(lambda k: hashlib.sha256(k).hexdigest(), kept), pa.string()),
+                    pa.array(of(lambda k: zlib.crc32(k[-64:]), kept), pa.int64()),
+                    pa.array(of(len, media), pa.int64()),
+                    pa.array(of(lambda m: hashlib.sha256(m).hexdigest(), media), pa.string()),
                     pa.array(feature, pa.string()),
+                    pa.array([e for _, e in found], pa.string()),
                 ],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"],
             )
 
 
 def media_digests(movies: DataFrame) -> DataFrame:
-    """Read back each movie of store_as_avi: digests of the kept bytes and of the stored form, and its clips as text."""
+    """Read back each movie of store_as_avi: digests of the kept bytes and of the stored form, and its clips as text.
+
+    Null, torn and foreign media keep their row: what cannot be told is null and ``error`` says why. Repeated rows repeat, an empty
+    table gives an empty one, other columns are left out.
+    """
     kind = movies.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-        "media_bytes long, media_sha256 string, feature string"
+        "media_bytes long, media_sha256 string, feature string, error string"
     )
     return movies.select("doc_id", "n_bytes", "media").mapInArrow(_digests, schema)
