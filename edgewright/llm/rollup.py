@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import sentencepiece
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import ArrowUDFType
+
+from edgewright.llm import bpe
+from edgewright.llm import kernels as K
 
 KEYS = ["source", "lang", "tokenizer"]
 SCHEMA = T.StructType(
-    [*(T.StructField(k, T.StringType()) for k in KEYS), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("batch", T.StringType())]
+    [*(T.StructField(k, T.StringType()) for k in KEYS), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType())]
 )
 
 
@@ -16,7 +27,8 @@ def signed(deltas: DataFrame) -> DataFrame:
     """Signed changes of rows (source, lang, tokenizer, change, tokens, old_tokens).
 
     ``insert`` adds a document and its tokens, ``delete`` takes both away, ``revise`` replaces old_tokens by tokens.
-    Null counts are 0; null keys are groups of their own; any other change is an error, never dropped.
+    Null counts are 0; null keys are groups of their own; any other change is an error, never dropped. Repeated rows count
+    each; an empty table sums to nothing; other columns are left out, whatever their names.
     """
     new, old = (F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("tokens", "old_tokens"))
     change = F.col("change")
@@ -28,29 +40,111 @@ def signed(deltas: DataFrame) -> DataFrame:
 
 
 class TokenRollup:
-    """Totals in a folder: a partition of pre-aggregated signed sums for each committed batch.
+    """Totals in a folder, kept up to date by signed batches.
 
-    A batch is committed by replacing its partition, so committing it again, after a lost job or on purpose, changes
-    nothing. A batch's rows are summed before they are shuffled: a source with a third of all rows costs one row a task.
+    Each commit adds a batch's sums to the totals of the present version, writes them as a new table, and publishes it
+    by renaming a small file that names the table and the batches in it. A reader sees one version or the next, never a
+    part; a job that dies before the rename leaves the present version in force. A batch that is in the totals already is not
+    added again. A batch's rows are summed before they are shuffled: a source with a third of all rows costs one row a task.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self._spark, self._path = spark, path
+        self._spark, self._path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._at = jvm.org.apache.hadoop.fs.Path
+        self._files = self._at(self._path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _version(self) -> tuple[int, str | None, list[str]]:
+        """Number, totals table and batches of the version in force; 0 before the first commit."""
+        folder = self._at(f"{self._path}/versions")
+        names = [f.getPath().getName() for f in self._files.listStatus(folder)] if self._files.exists(folder) else []
+        newest = max((int(n) for n in names if n.isdigit()), default=0)
+        if not newest:
+            return 0, None, []
+        stream = self._files.open(self._at(f"{self._path}/versions/{newest}"))
+        try:
+            held = json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+        return newest, held["totals"], held["batches"]
+
+    def _publish(self, number: int, table: str, batches: list[str]) -> None:
+        draft, final = self._at(f"{self._path}/drafts/{uuid.uuid4().hex}"), self._at(f"{self._path}/versions/{number}")
+        self._files.mkdirs(final.getParent())
+        stream = self._files.create(draft, False)
+        stream.write(bytearray(json.dumps({"totals": table, "batches": batches}).encode()))
+        stream.close()
+        if self._files.exists(final) or not self._files.rename(draft, final):
+            raise RuntimeError(f"another writer committed version {number}; commit the batch again")
+
+    def commit(self, batch: str, deltas: DataFrame) -> bool:
+        """Add a batch to the totals; False, and no work, if it is in them already."""
+        number, table, batches = self._version()
+        if batch in batches:
+            return False
+        sums = _summed(signed(deltas))
+        if table is not None:
+            sums = _summed(self._read(table).unionByName(sums))
+        made = f"totals-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self._path}/{made}")
+        self._publish(number + 1, made, [*batches, batch])
+        return True
 
-    def commit(self, batch: str, deltas: DataFrame) -> None:
-        sums = signed(deltas).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(f"{self._path}/batch={batch}")
+    def _read(self, table: str) -> DataFrame:
+        return self._spark.read.schema(SCHEMA).parquet(f"{self._path}/{table}")
 
-    def batches(self) -> DataFrame:
-        """The committed sums of every batch; a rollup without a batch is an error of Spark's reader."""
-        return self._spark.read.schema(SCHEMA).option("basePath", self._path).parquet(self._path)
+    def batches(self) -> list[str]:
+        """Names of the batches in the totals, in order of commit."""
+        return self._version()[2]
 
     def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens) over all batches; groups whose documents are all gone are left out."""
-        sums = self.batches().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
-
-    def compact(self, into: TokenRollup, batch: str) -> None:
-        """The totals as one batch of another rollup, to which later batches are committed."""
-        rows = self.totals()
-        rows.write.mode("overwrite").parquet(f"{into._path}/batch={batch}")
+        """(source, lang, tokenizer, n_docs, n_tokens) of the version in force, as they lie; none before the first commit.
+
+        Groups whose documents are all gone are left out.
+        """
+        table = self._version()[1]
+        if table is None:
+            return self._spark.createDataFrame([], SCHEMA)
+        return self._read(table).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+
+    def tidy(self) -> None:
+        """Delete the totals tables of earlier versions, once nothing reads them."""
+        table = self._version()[1]
+        for f in self._files.listStatus(self._at(self._path)):
+            name = f.getPath().getName()
+            if name.startswith("totals-") and name != table:
+                self._files.delete(f.getPath(), True)
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def _bpe_counts(batches: Iterator[pa.Array], path: str) -> Iterator[pa.Array]:
+    encode = bpe.encoder(path, trie=False)
+    for column in batches:
+        parts = []
+        for _, _, buf, offs in K.chunks(column):
+            slots, first = encode(buf, offs)
+            parts.append(K.sums(encode.cache.lengths[slots], first))
+        yield pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64))
+
+
+_pieces: dict[str, sentencepiece.SentencePieceProcessor] = {}
+
+
+def _piece_counts(batches: Iterator[pa.Array], path: str) -> Iterator[pa.Array]:
+    if path not in _pieces:
+        _pieces[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    for column in batches:
+        yield pa.array([len(_pieces[path].encode(t.as_py())) if t.is_valid else 0 for t in column], pa.int64())
+
+
+def token_count(text: Column, tokenizer: str) -> Column:
+    """Tokens of a whole text (null: 0) by a tokenizer file, without special tokens: ``.json`` byte-level BPE or ``.model`` of sentencepiece."""
+    count = _bpe_counts if tokenizer.endswith(".json") else _piece_counts
+
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return count(batches, tokenizer)
+
+    return F.arrow_udf(counted, "long", ArrowUDFType.SCALAR_ITER)(text)

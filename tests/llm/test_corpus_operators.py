@@ -185,17 +185,40 @@ def test_shards_fewer_rows_than_shards(spark):
 def test_token_rollup(spark, tmp_path):
     total = rollup.TokenRollup(spark, str(tmp_path / "totals"))
     schema = "source string, lang string, tokenizer string, change string, tokens long, old_tokens long, more string"
+    assert total.totals().count() == 0 and total.batches() == []
     first = spark.createDataFrame([("a", "en", "t", "insert", 5, None, ""), ("a", "en", "t", "insert", 7, None, ""), (None, "en", "t", "insert", None, None, "")], schema)
-    total.commit("1", first)
-    total.commit("1", first)
+    assert total.commit("1", first) and not total.commit("1", first)
     total.commit("2", spark.createDataFrame([("a", "en", "t", "delete", 5, None, ""), ("a", "en", "t", "revise", 9, 7, "")], schema))
+    total.commit("none", spark.createDataFrame([], schema))
     want = {("a", "en", "t", 1, 9), (None, "en", "t", 1, 0)}
     assert set(map(tuple, total.totals().collect())) == want
-    other = rollup.TokenRollup(spark, str(tmp_path / "compact"))
-    total.compact(other, "2")
-    assert set(map(tuple, other.totals().collect())) == want
+    total.tidy()
+    assert set(map(tuple, rollup.TokenRollup(spark, str(tmp_path / "totals")).totals().collect())) == want
     with pytest.raises(Exception, match="unknown change"):
         total.commit("3", spark.createDataFrame([("a", "en", "t", "move", 1, None, "")], schema))
+    assert total.batches() == ["1", "2", "none"] and set(map(tuple, total.totals().collect())) == want
+
+
+def test_rollup_query_equals_brute_force(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    byte, piece = Tokenizer.from_file(catalog.TOKENIZER), sentencepiece.SentencePieceProcessor(model_file=catalog.COUNTED["piece-bpe-32k"])
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    want = Counter()
+    for r in catalog.documents(spark, sf).collect():
+        t0, t1 = len(byte.encode(r.text or "", add_special_tokens=False).ids), len(piece.encode(r.text or ""))
+        low, toxic = (r.doc_id in labels and labels[r.doc_id].quality == 0), (r.doc_id in labels and labels[r.doc_id].toxic == 1)
+        want[r.source, r.lang, "byte-bpe-50k", "d"] += 0 if low else 1
+        want[r.source, r.lang, "byte-bpe-50k", "t"] += 0 if low else t1 if toxic else t0
+        want[r.source, r.lang, "piece-bpe-32k", "d"] += 1
+        want[r.source, r.lang, "piece-bpe-32k", "t"] += t1
+    got = Counter()
+    for r in catalog.op10_token_rollup(spark, sf).collect():
+        got[r.source, r.lang, r.tokenizer, "d"] += r.n_docs
+        got[r.source, r.lang, r.tokenizer, "t"] += r.n_tokens
+    assert +got == +want
 
 
 def test_pipeline_stages(spark):

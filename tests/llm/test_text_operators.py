@@ -215,3 +215,42 @@ def test_clashing_names_are_refused(spark):
     with pytest.raises(ValueError):
         quality.compression_bands(docs, keep=["doc_id", "kept"])
     assert quality.compression_bands(docs).count() == 1
+
+
+def test_torn_and_null_media_keep_their_rows(spark):
+    rows = media.store_as_avi(spark.createDataFrame([(1, "abc " * 200), (2, "x")], "doc_id long, text string")).collect()
+    broken = [(3, 1, None), (4, 1, bytearray(b"")), (5, 1, bytearray(rows[0].media[: len(rows[0].media) // 2])), (6, 1, bytearray(b"RIFFnoise"))]
+    movies = spark.createDataFrame([tuple(r) for r in rows] + broken, "doc_id long, n_bytes long, media binary").coalesce(1)
+    got = {r.doc_id: r for r in media.media_digests(movies).collect()}
+    assert got[1].error is None and got[1].payload_bytes == 832 and got[2].payload_bytes == 64
+    assert got[3].error == "no media" and got[3].media_bytes is None
+    assert all(got[i].error and got[i].payload_sha256 is None and got[i].feature is None for i in (4, 5, 6))
+    assert {r.doc_id for r in media.clips(movies.select("doc_id", "media")).collect()} <= {1, 2}
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_and_lines_of_equal_polynomial_hashes(spark, n):
+    one, other = thue_morse(n), thue_morse(n, "b", "a")
+    docs = spark.createDataFrame([(1, f"{one}\n{other}\n{one}"), (2, other), (3, one)], "doc_id long, text string")
+    counts = {r.doc_id: r.n_dup_lines for r in quality.compression_bands(docs).collect()}
+    assert counts == {1: 1, 2: 0, 3: 0}
+    library = Tokenizer.from_file(catalog.TOKENIZER)
+    want = {d: library.encode(t, add_special_tokens=False).ids for d, t in docs.collect()}
+    assert {r.doc_id: r.ids for r in bpe_codec.encode_ids(docs, catalog.TOKENIZER).collect()} == want
+
+
+def test_texts_beyond_a_chunk(spark):
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{k}" for k in rng.integers(0, 5000, 250_000))
+    assert len(text) > kernels.CHUNK_BYTES
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    row = {r.doc_id: r for r in quality.compression_bands(docs).collect()}
+    assert row[1].n_words == 250_000 and row[1].n_chunks == -(-len(text) // quality.CHUNK) and row[2].base_failed
+    library = Tokenizer.from_file(catalog.TOKENIZER)
+    got = {r.doc_id: r.n_tokens for r in bpe_codec.encode_decode(docs, catalog.TOKENIZER).collect()}
+    assert got == {1: len(library.encode(text, add_special_tokens=False).ids), 2: 0}
+    assert [r.score for r in toxicity.score(docs, toxicity.train(["a b"], [0], 0.1)).collect()] == [0.1, 0.1]
