@@ -205,8 +205,8 @@ def tables(classes: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def spans(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Add ``end`` to functions and classes: the line before the next code at their indentation or less; TypeScript closes with its brace line."""
-    blocks = found.where("kind in ('function', 'class')").withColumnRenamed("line", "start")
+    """Add ``end`` to functions, classes and methods: the line before the next code at their indentation or less; TypeScript closes with its brace line."""
+    blocks = found.where("kind in ('function', 'class', 'method')").withColumnRenamed("line", "start")
     code = lines.where(~F.col("code").rlike(r"^\s*(#.*|//.*)?$")).select("file", F.col("line").alias("at"), "language", F.length(F.regexp_extract("code", r"^(\s*)", 1)).alias("depth"), F.col("code").rlike(r"^\s*[})\]]").alias("closes"), F.col("code").rlike(r"^\s*[)\]].*[{:]\s*$").alias("heads"))
     # A line that closes a header's brackets ends no block: `):` and the like in Python, `) {` in TypeScript.
     code = code.where("not heads")
@@ -218,6 +218,28 @@ def spans(found: DataFrame, lines: DataFrame) -> DataFrame:
     return joined.withColumn("end", end).drop("c", "last")
 
 
+def scoped_symbols(lines: DataFrame) -> DataFrame:
+    """symbols() with methods, ``enclosing`` (the innermost function, class or method around each, or null) and ``is_async``.
+
+    A Python function directly in a class is a method; a TypeScript one opens its body on the line of its name. Variables
+    inside any of them are left out, but for those of a Python class body.
+    """
+    modifiers = r"(?:(?:public|private|protected|static|async|override|get|set)\s+)*"
+    method = rf"^(\s+){modifiers}\*?\s*({_NAME})\s*(?:<[^>]*>)?\([^();]*\)\s*(?::[^{{;=]+)?\{{"
+    found = symbols(lines)
+    more = _typescript(lines).withColumns({"kind": F.lit("method"), "name": _get(method, 2), "indent": F.length(F.regexp_extract("code", method, 1)), "bases": F.array().cast("array<string>"), "exported": F.lit(False)})
+    more = more.where(F.col("name").isNotNull() & ~F.col("name").isin("if", "for", "while", "switch", "catch", "with", "function", "return"))
+    rows = found.unionByName(more.select(*found.columns)).join(lines.select("file", "line", "language", "code"), ["file", "line"])
+    around = spans(rows.drop("language", "code"), lines).select("file", F.col("start").alias("from"), F.col("end").alias("to"), F.col("name").alias("enclosing"), F.col("kind").alias("around"))
+    met = rows.select("file", "line").distinct().join(around, "file").where((F.col("line") > F.col("from")) & (F.col("line") <= F.col("to")))
+    inner = met.groupBy("file", "line").agg(F.max(F.struct("from", "enclosing", "around")).alias("x"))
+    rows = rows.join(inner, ["file", "line"], "left").withColumns({"enclosing": F.col("x.enclosing"), "is_async": F.col("code").rlike(r"^\s*(?:[a-z]+\s+)*async\s")})
+    local = F.col("enclosing").isNotNull() & ((F.col("language") != "python") | (F.col("x.around") != "class"))
+    rows = rows.where(~((F.col("kind") == "variable") & local))
+    inside = (F.col("kind") == "function") & (F.col("language") == "python") & F.coalesce(F.col("x.around") == "class", F.lit(False))
+    return rows.withColumn("kind", F.when(inside, "method").otherwise(F.col("kind"))).select(*found.columns, "enclosing", "is_async")
+
+
 def _url(code: Column) -> tuple[Column, Column, Column]:
     """Kind, literal value and template parts of the first argument in ``code``."""
     literal = r"""^\s*[rbuRBU]*(['"])((?:(?!\1).)*)\1\s*[,)]"""
@@ -302,6 +324,56 @@ def calls(lines: DataFrame) -> DataFrame:
     return found.withColumns({"root": F.get(path, F.lit(0)), "path": path, "property": F.when(F.size(path) > 1, F.element_at(path, -1))})
 
 
+def _argument_count(inside: Column, language: Column) -> Column:
+    """Arguments of a call whose code behind the opening bracket, up to the closing one, is ``inside``."""
+    quoted = r"""\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`"""
+    tokens = lambda comment: F.regexp_extract_all(inside, F.lit(rf"(?s)({quoted}|{comment}|[()\[\]{{}},]|[^\"'`()\[\]{{}},/#\s]++|\S)"), F.lit(1))
+    found = F.when(language == "python", tokens(r"#[^\n]*+")).otherwise(tokens(r"//[^\n]*+|/[*].*?[*]/"))
+    found = F.filter(found, lambda t: ~t.rlike(r"^(?://|/[*]|#)"))
+    turn = lambda t: F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0)
+    begin = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("inside"))
+
+    def step(s: Column, t: Column) -> Column:
+        ends = (s["depth"] == 1) & t.isin(",", ")")
+        n = s["n"] + (ends & s["inside"]).cast("int")
+        return F.when(s["depth"] < 1, s).otherwise(F.struct((s["depth"] + turn(t)).alias("depth"), n.alias("n"), (~ends & (s["inside"] | (t != ","))).alias("inside")))
+
+    return F.aggregate(found, begin, step, lambda s: s["n"])
+
+
+def call_sites(lines: DataFrame) -> DataFrame:
+    """(file, line, seq, callee, is_new, argument_count): calls by plain name or unbroken chain of names, over several lines too.
+
+    A callee must stand on the call's first line; arguments may go on to the closing bracket. Declarations and decorators are none.
+    """
+    call = rf"(?<![\w$.])(?<!\bnew\s)(new\s+)?({_NAME}(?:\s*\.\s*{_NAME})*)\s*(?:<[\w\s,.\[\]]*>)?\("
+    skip = F.col("code").rlike(r"^\s*(@|//|#|def |async def |class |function |export (default )?(async )?function )")
+    rows = statements(lines, F.col("code").rlike(call) & ~skip)
+    names = ("after", "fresh", "callee", "argument")
+    each = F.arrays_zip(*(F.regexp_extract_all("whole", F.lit(rf"(?s)(?=({call}(.*)))"), F.lit(k)).alias(n) for k, n in enumerate(names, 1)))
+    rows = rows.select("file", "language", "line", "code", "whole", F.posexplode(each).alias("seq", "x")).where(F.length("x.after") > F.length("whole") - F.length("code"))
+    rows = rows.withColumn("callee", F.regexp_replace("x.callee", r"\s+", ""))
+    rows = rows.where(~F.col("callee").isin("if", "for", "while", "switch", "return", "print", "catch", "import", "elif", "and", "or", "not", "in", "new", "function", "await", "typeof"))
+    rows = rows.withColumn("inside", _inside(F.col("x.argument"), F.col("language")))
+    # What opens a body behind its brackets declares a method.
+    body = (F.col("language") != "python") & F.substring("x.argument", F.length("inside") + 1, F.length("x.argument")).rlike(r"^\s*(?::[^{;=()]+)?\{")
+    rows, count = rows.where(~body), _argument_count(F.col("inside"), F.col("language"))
+    fresh = (F.col("x.fresh") != "") & (F.col("language") != "python")
+    return rows.select("file", "line", "seq", "callee", fresh.alias("is_new"), count.alias("argument_count"))
+
+
+def concatenations(lines: DataFrame) -> DataFrame:
+    """(file, line, seq, parts): chains of ``+`` on a line with a string literal among their operands; parts (kind, value) in order."""
+    text = r"""(?:[rbuRBU]{0,2}(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))"""
+    operand = rf"""(?:{text}|[fF](?:\"[^\"]*\"|'[^']*')|`[^`]*`|[\w$]+(?:\.[\w$]+)*(?:\([^()]*\)|\[[^\[\]]*\])*)"""
+    chain = rf"{operand}(?:\s*(?<!\+)\+(?![+=])\s*{operand})*"
+    found = lines.where(~F.col("code").rlike(r"^\s*(#|//)")).select("file", "line", F.posexplode(F.regexp_extract_all("code", F.lit(chain), F.lit(0))).alias("seq", "chain"))
+    literal = lambda p: p.rlike(rf"^{text}$")
+    part = lambda p: F.struct(F.when(literal(p), "literal").otherwise("expression").alias("kind"), F.when(literal(p), F.regexp_replace(p, r"""^[rbuRBU]*['"]|['"]$""", "")).otherwise(p).alias("value"))
+    rows = found.withColumn("parts", F.transform(F.regexp_extract_all("chain", F.lit(operand), F.lit(0)), part))
+    return rows.where((F.size("parts") > 1) & F.exists("parts", lambda p: p["kind"] == "literal")).select("file", "line", "seq", "parts")
+
+
 def strings(lines: DataFrame) -> DataFrame:
     """(file, line, seq, value) of the plain string literals of each line."""
     found = F.posexplode(F.regexp_extract_all("code", F.lit(r"""(['"])((?:(?!\1).)*)\1"""), F.lit(2))).alias("seq", "value")
@@ -314,3 +386,24 @@ def diagnostics(lines: DataFrame) -> DataFrame:
     count = lambda c: F.length(bare) - F.length(F.replace(bare, F.lit(c)))
     rows = lines.groupBy("file").agg(*(F.sum(count(a) - count(b)).alias(n) for n, a, b in (("round", "(", ")"), ("square", "[", "]"), ("curly", "{", "}"))))
     return rows.where("round <> 0 or square <> 0 or curly <> 0").select("file", F.lit("unbalanced-brackets").alias("kind"))
+
+
+#: Diagnostics of a file that are told one by one; one more row says that there are others.
+MOST_DIAGNOSTICS = 25
+
+
+def diagnostic_places(lines: DataFrame, most: int = MOST_DIAGNOSTICS) -> DataFrame:
+    """(file, line, kind): lines that close a bracket nothing opened or open one that nothing closes, the first of each file, then ``truncated``."""
+    bare = F.regexp_replace(F.regexp_replace("code", r"""(['"`])(?:\\.|(?!\1).)*\1""", ""), r"(//|#).*$", "")
+    order = Window.partitionBy("file").orderBy("line")
+    rows, kinds = lines, []
+    for opening, closing in ((r"\(", r"\)"), (r"\[", r"\]"), (r"\{", r"\}")):
+        step, depth = (f"__{x}{len(kinds)}" for x in ("step", "depth"))
+        rows = rows.withColumn(step, F.regexp_count(bare, F.lit(opening)) - F.regexp_count(bare, F.lit(closing))).withColumn(depth, F.sum(step).over(order))
+        low = F.least(F.lit(0), F.coalesce(F.min(depth).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        later = F.min(depth).over(order.rowsBetween(0, Window.unboundedFollowing))
+        kinds.append(F.when(F.col(depth) < low, "never-opened").when((F.col(step) > 0) & (later > F.col(depth) - F.col(step)), "never-closed"))
+    kind = F.coalesce(*kinds)
+    found = rows.withColumn("kind", kind).where("kind is not null").withColumn("place", F.row_number().over(order))
+    kept = found.where(F.col("place") <= most + 1).select("file", F.when(F.col("place") <= most, F.col("line")).alias("line"), F.when(F.col("place") <= most, F.col("kind")).otherwise("truncated").alias("kind"))
+    return kept

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.operators import extract, labelling
+from edgewright.operators import extract, labelling, report
+from edgewright.operators.rounds import kept
 from edgewright.plans.catalog import query
 from edgewright.plans.observations import views
-from edgewright.plans.source_text import MARK, PY, TS, facts, source_lines
+from edgewright.plans.source_text import MARK, PY, TS, facts, repository
 from edgewright.sources import files
 
 DOCUMENTED = '''"""Usage:
@@ -41,7 +42,7 @@ def stated(spark: SparkSession, sf_dir: str, schema: str, rows: list[tuple]) ->
 def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the suppliers' files and of one that holds examples in strings and comments."""
     more = stated(spark, sf_dir, "path string, content string", [(DOC, DOCUMENTED)]).withColumn("content", F.col("content").cast("binary"))
-    return source_lines(spark, sf_dir).unionByName(files.lines(files.gate(files.supported(more))))
+    return files.lines(files.gate(files.supported(repository(spark, sf_dir).unionByName(more))), raw=True)
 
 
 _ENUMERATED = [
@@ -151,3 +152,24 @@ _OUTCOMES = {"e17": "confirmed", "e18": "confirmed", "e19": "missing", "e20": "u
 def endpoint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether both ends of each client edge stand where they are said to."""
     return labelling.endpoint_checks(*_graph(spark, sf_dir), read_lines(spark, sf_dir))
+
+
+@query(
+    """select n * 6 as files, n * 4 as files_clean, n as files_with_diagnostics, n as files_failed, n as diagnostics, n * 17 as symbols, n * 4 as routes, n as routes_composed, n * 3 as http_observations, exact, 0 as strong, ambiguous, no_match,
+  0 as unsupported, resolved as dynamic_resolved, partial as dynamic_partial, parts as orm_models, tabled as orm_tables, 25 as orm_ambiguous, n * 9 as nodes, n * 27 as edges, n * 9 as http_call_edges, n * 4 as client_call_edges, n * 13 as orm_edges,
+  n * 9 as cross_language_edges from (select count(*) as n from supplier), (select count(*) filter (o_orderstatus = 'F') as exact, count(*) filter (o_orderstatus = 'O') as ambiguous, count(*) filter (o_orderstatus = 'P') as no_match from orders),
+  (select count(*) filter (c_custkey % 2 = 0) as resolved, count(*) filter (c_custkey % 2 = 1) as partial from customer), (select count(*) as parts, count(*) filter (p_partkey % 3 = 0) as tabled from part)"""
+)
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a whole run."""
+    views(spark, sf_dir, "orders", "customer", "part", "nation")
+    more = stated(spark, sf_dir, "path string, content string", [(DOC, DOCUMENTED)]).withColumn("content", F.col("content").cast("binary"))
+    read = files.gate(files.supported(repository(spark, sf_dir))).unionByName(files.gate(files.supported(more)))
+    lines = kept(files.lines(read))
+    results = spark.sql("select case o_orderstatus when 'F' then 'exact' when 'O' then 'ambiguous' else 'no-match' end as status from orders")
+    folded = spark.sql("select case c_custkey % 2 when 0 then 'resolved' else 'partial' end as status from customer")
+    models = spark.sql(_MODELS).withColumnRenamed("tab", "table")
+    edges, nodes = _graph(spark, sf_dir)
+    routes = extract.routes(lines).withColumn("composed", F.col("receiver") == "router")
+    cross = edges.withColumn("cross", F.col("kind") == "http-call")
+    return report.run_totals(read, extract.diagnostics(lines), extract.symbols(lines), routes, extract.http_calls(lines), results, folded, models, spark.table("nation"), nodes, cross)

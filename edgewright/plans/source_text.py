@@ -222,6 +222,80 @@ def diagnostic_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.diagnostics(source_lines(spark, sf_dir))
 
 
+#: A file of scopes, calls, chains of + and brackets that do not meet.
+MORE = """class Page {
+  private async load(id: number): Promise<void> {
+    const url = '/a/' + id + "/b";
+    await this.api.get(
+      url,
+      { a: [1, 2], b: f(3, 4) },
+    );
+    return new Map<string, number>();
+  }
+  render() { return 1 + 2; }
+}
+export const top = `x` + 'y';
+function outer() {
+  function inner(a, b) {
+  }
+}
+open((
+)
+}
+}
+"""
+MORE_PY = """class A:
+    kind = "x" + y
+    async def run(self):
+        def helper():
+            return go(1, "a, b", [2, 3])
+"""
+
+
+def more_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of files of scopes for every supplier."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"))
+    one = [F.struct(F.replace(F.lit(p), F.lit(MARK), F.col("k")).alias("path"), F.lit(t).cast("binary").alias("content")) for p, t in (("m@@.ts", MORE), ("m@@.py", MORE_PY))]
+    return files.lines(files.gate(files.supported(suppliers.select(F.explode(F.array(*one)).alias("f")).select("f.*"))))
+
+
+_SCOPED = [
+    ("m@@.ts", 1, "class", "Page", None, False), ("m@@.ts", 2, "method", "load", "Page", True), ("m@@.ts", 10, "method", "render", "Page", False), ("m@@.ts", 12, "variable", "top", None, False),
+    ("m@@.ts", 13, "function", "outer", None, False), ("m@@.ts", 14, "function", "inner", "outer", False),
+    ("m@@.py", 1, "class", "A", None, False), ("m@@.py", 2, "variable", "kind", "A", False), ("m@@.py", 3, "method", "run", "A", True), ("m@@.py", 4, "function", "helper", "run", False),
+]
+
+
+@query(facts("file line kind name enclosing is_async", _SCOPED))
+def scoped_symbol_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations with methods and the scope around them."""
+    return extract.scoped_symbols(more_lines(spark, sf_dir)).select("file", "line", "kind", "name", "enclosing", "is_async")
+
+
+_SITES = [
+    ("m@@.ts", 4, "this.api.get", False, 2), ("m@@.ts", 6, "f", False, 2), ("m@@.ts", 8, "Map", True, 0), ("m@@.ts", 17, "open", False, 0), ("m@@.py", 5, "go", False, 3),
+]
+
+
+@query(facts("file line callee is_new argument_count", _SITES))
+def call_site_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with the number of their arguments."""
+    return extract.call_sites(more_lines(spark, sf_dir)).select("file", "line", "callee", "is_new", "argument_count")
+
+
+@query(facts("file line parts", [("m@@.ts", 3, "literal:/a/|expression:id|literal:/b"), ("m@@.ts", 12, "expression:`x`|literal:y"), ("m@@.py", 2, "literal:x|expression:y")]))
+def concatenation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of + with a string among them."""
+    rows = extract.concatenations(more_lines(spark, sf_dir))
+    return rows.select("file", "line", F.array_join(F.transform("parts", lambda p: F.concat(p["kind"], F.lit(":"), p["value"])), "|").alias("parts"))
+
+
+@query(facts("file line kind", [("m@@.ts", 17, "never-closed"), ("m@@.ts", 19, "never-opened"), ("m@@.ts", 20, "never-opened")]))
+def diagnostic_place_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places where brackets do not meet."""
+    return extract.diagnostic_places(more_lines(spark, sf_dir))
+
+
 @query(facts("file name stated", [(PY, "Order", "orders_@@"), (TS, "Page", None)]))
 def stated_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes with the table they state."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewright import schemas
@@ -37,7 +37,19 @@ def from_rows(spark: SparkSession, rows: list[tuple[str, str | bytes]]) -> DataF
     return gate(supported(spark.createDataFrame(made, "path string, content binary")))
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """(file, language, line, code) of complete files, lines from 1."""
+def _without_long_strings(text: Column) -> Column:
+    """Python text whose triple-quoted strings over several lines are empty ones, followed by as many line ends as they had."""
+    one = lambda q: rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}"
+    tokens = F.regexp_extract_all(text, F.lit(rf"""(?s)(\"{{3}}.*?(?:\"{{3}}|\z)|'{{3}}.*?(?:'{{3}}|\z)|#[^\n]*+|{one('"')}|{one("'")}|[^"'#]++|.)"""), F.lit(1))
+    long = lambda t: t.rlike(r"^(?:\"{3}|'{3})") & F.contains(t, F.lit("\n"))
+    return F.array_join(F.transform(tokens, lambda t: F.when(long(t), F.concat(F.lit("''"), F.repeat(F.lit("\n"), F.regexp_count(t, F.lit("\n"))))).otherwise(t)), "")
+
+
+def lines(files: DataFrame, raw: bool = False) -> DataFrame:
+    """(file, language, line, code) of complete files, lines from 1.
+
+    Unless ``raw`` is wanted, Python's strings over several lines are emptied: examples in docstrings declare nothing.
+    """
     ok = files.where("status = 'complete'")
-    return ok.select(F.col("path").alias("file"), "language", F.posexplode(F.split("text", "\r?\n", -1)).alias("line", "code")).withColumn("line", F.col("line") + 1)
+    text = F.col("text") if raw else F.when((F.col("language") == "python") & F.col("text").rlike(r"\"{3}|'{3}"), _without_long_strings(F.col("text"))).otherwise(F.col("text"))
+    return ok.select(F.col("path").alias("file"), "language", F.posexplode(F.split(text, "\r?\n", -1)).alias("line", "code")).withColumn("line", F.col("line") + 1)

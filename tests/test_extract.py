@@ -207,3 +207,20 @@ def test_reach_goes_to_the_fixpoint(spark):
     calls = spark.createDataFrame([(f"f{k + 1}", f"f{k}") for k in range(7)] + [("f0", "f7"), ("x", "y")], "caller string, callee string")
     got = orm.reaching(calls, spark.createDataFrame([("f0",)], "name string")).collect()
     assert sorted(r.name for r in got) == [f"f{k}" for k in range(8)]
+
+
+def test_strings_over_lines_declare_nothing(spark):
+    doc = '"""Usage:\n\n@router.post("/tokens")\n"""\nx = """one"""  # it\'s "plain"\nSQL = \'\'\'\n@app.get("/no")\n\'\'\'; y = 1\n@app.get("/yes")\ndef f():\n    """open\n@app.get("/never")\n'
+    read = files.from_rows(spark, [("d.py", doc)])
+    got = [(r.line, r.code) for r in files.lines(read).orderBy("line").collect()]
+    assert len(got) == doc.count("\n") + 1 == files.lines(read, raw=True).count()
+    assert got[0] == (1, "''") and got[4] == (5, 'x = """one"""  # it\'s "plain"') and got[5] == (6, "SQL = ''") and got[7] == (8, "; y = 1")
+    assert [(r.line, r.path_value, r.handler) for r in extract.routes(files.lines(read)).collect()] == [(9, "/yes", "f")]
+
+
+def test_many_diagnostics_are_cut_and_said(spark):
+    rows = files.lines(files.from_rows(spark, [("a.ts", ")\n" * 40), ("b.ts", ")\n" * 25), ("c.ts", "f(')')\n")]))
+    got = extract.diagnostic_places(rows).collect()
+    assert sorted(r.line for r in got if r.file == "b.ts") == list(range(1, 26))
+    assert [(r.line, r.kind) for r in got if r.file == "a.ts" and r.kind == "truncated"] == [(None, "truncated")] and len([r for r in got if r.file == "a.ts"]) == 26
+    assert not [r for r in got if r.file == "c.ts"]
