@@ -70,7 +70,7 @@ def pareto_mix(
     towards long documents and never above ``most`` (2 at most); the whole part is certain, the rest is the
     probability of one more copy. Rows are ranked by random odds over inclusion odds and taken in that order until the
     source's residual words are reached; up to LAST_PLACES more go to those untaken documents that land nearest the residual.
-    Randomness is a hash of seed, doc_id and text, so reruns agree and equal rows share one decision. Null and empty texts
+    Randomness is a hash of seed, doc_id and text, so reruns agree and equal rows share one decision, by the size of all of them. Null and empty texts
     have size 0; a null source is a source of its own; a source without words has target 0. Only per-source sums
     and one step of keys of each source meet in a task.
     """
@@ -120,7 +120,11 @@ def pareto_mix(
         behind = chance.join(gaps, F.col("source").eqNullSafe(F.col("source_"))).where(~_taken())
         best = F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "hash", "size")).alias("best")
         best = behind.groupBy("source").agg(best, F.first("gap").alias("was")).where(F.col("best.off") < F.abs("was"))
-        best, _ = written(best.select(F.col("source").alias("source_"), F.col("best.hash").alias("one"), F.col("best.size").alias("taken")), "last-places")
+        # Equal rows share one decision: all of them must land nearer together.
+        best, _ = written(best.select(F.col("source").alias("source_"), F.col("best.hash").alias("one"), "was"), "nearest")
+        alike = chance.join(best, (F.col("hash") == F.col("one")) & F.col("source").eqNullSafe(F.col("source_")))
+        alike = alike.groupBy("source_", "one", "was").agg(F.sum("size").alias("taken")).where(F.abs(F.col("taken") - F.col("was")) < F.abs("was"))
+        best, _ = written(alike.select("source_", "one", "taken"), "last-places")
         if best.isEmpty():
             break
         more = choices.join(best, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")

@@ -159,6 +159,17 @@ def test_pareto_mix(spark):
     assert mixed == Counter({i: c for i, c in again.items() if c})
 
 
+def test_repeated_rows_do_not_overshoot_the_target(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(["w"] * rng.choice((100, 101, 103))), "en", "a", 0) for i in range(60)] + [(99, "one two three four five six seven", "en", "a", 0)] * 200
+    docs = spark.createDataFrame(rows, SCHEMA)
+    total = sum(len(r[1].split()) for r in rows)
+    for seed in range(1, 5):
+        got = mixing.copies(*mixing.pareto_mix(docs, seed=seed)).collect()
+        assert len({r.copies for r in got if r.doc_id == 99}) == 1
+        assert sum(r.copies * r.size for r in got) <= 1.5 * total + 103
+
+
 def test_stratified_shards(spark):
     rows, docs = mix_docs(spark)
     docs = docs.unionByName(docs.where("doc_id < 20"))
