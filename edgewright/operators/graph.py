@@ -22,15 +22,16 @@ def node_identity(proposals: DataFrame) -> DataFrame:
 def with_ids(rows: DataFrame, *order: Column | str, name: str = "id") -> DataFrame:
     """Add 0, 1, 2, ... in the given order; ties must not occur.
 
-    Rows are sorted by range, counted by partition, and numbered behind the counts of the partitions before.
+    Rows are sorted by range and written once with their range and their place in it, so that neither pruned columns nor a second plan of the same
+    ranges can deal them differently; the number is the place behind the rows of the ranges before. One shuffle, and one row for each range to join.
     """
-    parts = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    spot = F.monotonically_increasing_id()  # the range in the high bits, the place in the low 33
+    placed = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__spot", spot), "numbered")
+    placed = placed.withColumn("__part", F.shiftright("__spot", 33))
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
-    inside = Window.partitionBy("__part").orderBy(*order)
-    numbered = parts.join(sizes, "__part").withColumn(name, F.col("__ahead") + F.row_number().over(inside) - 1)
-    return numbered.drop("__part", "__ahead")
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    numbered = placed.join(F.broadcast(sizes), "__part").withColumn(name, F.col("__ahead") + F.col("__spot").bitwiseAND((1 << 33) - 1))
+    return numbered.drop("__part", "__ahead", "__spot")
 
 
 def first_edges(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
