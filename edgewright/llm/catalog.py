@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.llm import bpe_codec, licences, lines, media, mixing, near, phrases, quality, rollup, sharding, token_io, toxicity
+from edgewright.llm import bpe_codec, conversations, licences, lines, media, mixing, near, phrases, quality, rollup, sharding, token_io, toxicity
 from edgewright.llm.shared import new_path, written
 
 #: Where the vocabulary file of the BPE queries lies.
@@ -88,6 +88,10 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.totals()
 
 
+def op11_repair_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.kept_digests(documents(spark, sf_dir))
 
@@ -109,9 +113,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_motion_jpeg,
         op9_t_occurrence_join,
         op10_token_rollup,
+        op11_repair_audits,
         op12_line_bitmaps,
         op13_suffix_collocations,
     )
 }
 #: What SQL can say; tests hold the other operators against brute force.
-ORACLES: dict[str, str] = {"op2_license_join": licences.oracle(), "op12_line_bitmaps": lines.oracle(), "op13_suffix_collocations": phrases.oracle()}
+ORACLES: dict[str, str] = {"op2_license_join": licences.oracle(), "op11_repair_audits": conversations.oracle(), "op12_line_bitmaps": lines.oracle(), "op13_suffix_collocations": phrases.oracle()}
