@@ -1,7 +1,8 @@
-"""Facts of TypeScript and Python source, read with column expressions by the line that each construct begins on.
+"""Facts of TypeScript and Python source, read from its token table.
 
-Where brackets stay open at the end of that line, the lines up to their closing are joined to it first. What does not parse
-yields nothing, its neighbours still do: brackets that never close leave the first line alone.
+A statement is a row with its code, tokens a blank apart, strings and templates standing as the numbers of their tokens; an item is what stands between
+two commas of a bracket. Calls, requests, routes and the rest are joins of these by file and token. What does not parse yields nothing, its
+neighbours still do.
 """
 
 from __future__ import annotations
@@ -9,401 +10,353 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgewright import schemas
+
 # Fixed values.
 HTTP_OBJECTS = {"typescript": ("axios", "client", "http", "api"), "python": ("requests", "httpx", "session", "client", "http", "aiohttp")}
-_VERBS = "get|post|put|patch|delete|head|options"
-_NAME = r"[A-Za-z_$][\w$]*"
-
-
-def _get(pattern: str, group: int, code: str | Column = "code") -> Column:
-    found = F.regexp_extract(code, pattern, group)
-    return F.when(found != "", found)
+ROUTE_OBJECTS = ("app", "router", "api", "blueprint", "bp")
+#: Diagnostics of a file that are told one by one; one more row says that there are others.
+MOST_DIAGNOSTICS = 25
 
+_NAME = r"[#\w$]+"
+_TS = "language <> 'python'"
 
-def _python(rows: DataFrame) -> DataFrame:
-    return rows.where("language = 'python'")
 
+def statements(tokens: DataFrame) -> DataFrame:
+    """(file, language, stmt, line, code, values, scopes, in_class, parent, decorator): a row for each statement; ``values`` has its strings by token.
 
-def _typescript(rows: DataFrame) -> DataFrame:
-    return rows.where("language in ('typescript', 'tsx')")
+    The code of a body stands in statements of its own, and so do expressions in templates, which are left out here.
+    """
+    one = F.struct("seq", "text", "kind", "value", "line", "scopes", "in_class", "parent", "decorator")
+    rows = tokens.where("stmt >= 0").groupBy("file", "language", "stmt").agg(F.sort_array(F.collect_list(one)).alias("t"))
+    first = F.get("t", F.lit(0))
+    texts = F.map_from_entries(F.transform(F.filter("t", lambda x: x["kind"] == "string"), lambda x: F.struct(x["seq"].cast("string"), x["value"])))
+    return rows.select("file", "language", "stmt", first["line"].alias("line"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("code"), texts.alias("values"), first["scopes"].alias("scopes"), first["in_class"].alias("in_class"), first["parent"].alias("parent"), first["decorator"].alias("decorator"))
 
 
-def statements(lines: DataFrame, starts: Column) -> DataFrame:
-    """The lines that ``starts`` holds for, with ``whole``: the code up to the line where brackets are no deeper than before it.
+def items(tokens: DataFrame) -> DataFrame:
+    """(file, parent, arg, key, kind, value, parts, texts, n, inner, dotted, called, strings): what stands at each place of a bracket.
 
-    A line ending in a backslash and one followed by ``.name`` go on too. Depth runs by file, outside strings and comments.
+    ``key`` is the name before ``=`` or ``:``; then ``kind`` is literal or template for a single string or template, else dynamic. ``inner`` is the bracket
+    that the value consists of, ``dotted`` the value if it is a chain of names, ``called`` that chain where a call ends it.
     """
-    bare = F.regexp_replace("code", r"""(['"`])(?:\\.|(?!\1).)*\1""", "")
-    bare = F.when(F.col("language") == "python", F.regexp_replace(bare, "#.*$", "")).otherwise(F.regexp_replace(bare, "//.*$|/[*].*?[*]/", ""))
-    order = Window.partitionBy("file").orderBy("line")
-    step = F.regexp_count(bare, F.lit(r"[(\[{]")) - F.regexp_count(bare, F.lit(r"[)\]}]"))
-    more = F.col("code").rlike(r"\\\s*$") | F.coalesce(F.lead(F.col("code").rlike(rf"^\s*\.{_NAME}")).over(order), F.lit(False))
-    rows = lines.withColumns({"step": step, "more": more})
-    rows = rows.withColumn("depth", F.sum("step").over(order)).withColumn("begins", F.coalesce(starts, F.lit(False)))
-    files = rows.groupBy("file", "language").agg(F.sort_array(F.collect_list(F.struct("line", "code", "step", "more", "depth", "begins"))).alias("all"))
-
-    def whole(x: Column, i: Column) -> Column:
-        rest = F.slice("all", i + 1, F.size("all") - i)
-        n = F.array_position(F.transform(rest, lambda y: (y["depth"] <= x["depth"] - x["step"]) & ~y["more"]), True).cast("int")
-        text = F.when(n > 1, F.array_join(F.transform(F.slice("all", i + 1, F.greatest(n, F.lit(1))), lambda y: y["code"]), "\n")).otherwise(x["code"])
-        return F.when(x["begins"], F.struct(x["line"].alias("line"), x["code"].alias("code"), text.alias("whole")))
-
-    found = files.select("file", "language", F.explode(F.filter(F.transform("all", whole), lambda x: x.isNotNull())).alias("x"))
-    return found.select("file", "language", "x.*")
-
-
-def _outside(lines: DataFrame) -> DataFrame:
-    """Lines with ``outside``: whether no bracket is open where they begin, so that ``a=1`` is no keyword argument."""
-    bare = F.regexp_replace(F.regexp_replace("code", r"""(['"])(?:\\.|(?!\1).)*\1""", ""), "#.*$", "")
-    step = F.regexp_count(bare, F.lit(r"[(\[{]")) - F.regexp_count(bare, F.lit(r"[)\]}]"))
-    before = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("__step", step).withColumn("outside", F.coalesce(F.sum("__step").over(before), F.lit(0)) <= 0).drop("__step")
-
-
-def _joined(lines: DataFrame, starts: str) -> DataFrame:
-    """Statements whose first line matches, as lines: comments of several lines' code go, line ends become blanks."""
-    rows = statements(lines, F.col("code").rlike(starts))
-    comment = F.when(F.col("language") == "python", F.regexp_replace("whole", r"(?m)(^|\s)#.*$", "")).otherwise(F.regexp_replace("whole", r"(?m)(^|\s)//.*$|/[*](?s:.*?)[*]/", ""))
-    flat = F.regexp_replace(comment, r"\s*\\?\s*\n\s*", " ")
-    return rows.select("file", "language", "line", F.when(F.contains("whole", F.lit("\n")), flat).otherwise(F.col("code")).alias("code"))
-
-
-def _inside(code: Column, language: Column) -> Column:
-    """``code``, which follows an opening bracket, up to the bracket that closes it; its first line if none does."""
-    quoted = r"""\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`"""
-    tokens = lambda comment: F.regexp_extract_all(code, F.lit(rf"(?s)({quoted}|{comment}|[()\[\]{{}}]|[^\"'`()\[\]{{}}/#]++|.)"), F.lit(1))
-    found = F.when(language == "python", tokens(r"#[^\n]*+")).otherwise(tokens(r"//[^\n]*+|/[*].*?[*]/"))
-    turn = lambda t: F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0)
-    add = lambda s, t: F.when(s["depth"] > 0, F.struct((s["depth"] + turn(t)).alias("depth"), (s["n"] + F.length(t)).alias("n"))).otherwise(s)
-    n = F.aggregate(found, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), add, lambda s: F.when(s["depth"] == 0, s["n"]))
-    return F.coalesce(F.substring(code, F.lit(1), n), F.regexp_extract(code, r"^[^\n]*", 0))
-
-
-def imports(lines: DataFrame) -> DataFrame:
+    one = F.struct("seq", "kind", "text", "value", "parts")
+    rows = tokens.where("arg >= 0").groupBy("file", "language", "parent", "arg").agg(F.sort_array(F.collect_list(one)).alias("t"))
+    t0, t1 = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    keyed = F.coalesce(t0["kind"].isin("name", "string") & (t1["text"] == F.when(F.col("language") == "python", F.when(t0["kind"] == "name", "=").otherwise(":")).otherwise(":")), F.lit(False))
+    rows = rows.withColumns({"key": F.when(keyed, F.coalesce(t0["value"], t0["text"])), "v": F.when(keyed, F.slice("t", 3, F.greatest(F.size("t") - 2, F.lit(0)))).otherwise(F.col("t"))})
+    v0, n, last = F.get("v", F.lit(0)), F.size("v"), F.try_element_at("v", F.lit(-1))
+    chain = F.forall("v", lambda x: (x["kind"] == "name") | x["text"].isin(".", "?."))
+    texts = F.transform("v", lambda x: x["text"])
+    call = (n > 2) & (last["text"] == ")") & F.forall(F.slice("v", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x: (x["kind"] == "name") | x["text"].isin(".", "?."))
+    kind = F.when((n == 1) & (v0["kind"] == "string"), "literal").when((n == 1) & (v0["kind"] == "template"), "template").otherwise("dynamic")
+    return rows.select(
+        "file", "parent", "arg", "key", kind.alias("kind"), F.when(kind == "literal", v0["value"]).alias("value"), F.when(kind == "template", v0["parts"]).alias("parts"), texts.alias("texts"), n.alias("n"),
+        F.when((n == 2) & (v0["kind"] == "open"), v0["seq"]).alias("inner"), F.when(chain & (n > 0), F.array_join(texts, "")).alias("dotted"), F.when(call, F.array_join(F.slice(texts, F.lit(1), F.greatest(n - 2, F.lit(0))), "")).alias("called"),
+        F.when((n > 0) & F.forall("v", lambda x: x["kind"].isin("string", "template")), F.coalesce(v0["value"], F.get(v0["parts"], F.lit(0))["value"])).alias("strings"),
+    )
+
+
+def _arguments(calls: DataFrame, found: DataFrame) -> DataFrame:
+    """Calls that have arguments, with ``args``: their items in order."""
+    fields = ["arg", "key", "kind", "value", "parts", "texts", "n", "inner", "dotted", "called", "strings"]
+    listed = found.groupBy("file", F.col("parent").alias("seq")).agg(F.sort_array(F.collect_list(F.struct("arg", F.struct(*fields[1:]).alias("i")))).alias("args"))
+    return calls.join(listed.withColumn("args", F.transform("args", lambda x: x["i"])), ["file", "seq"])
+
+
+def _calls(tokens: DataFrame) -> DataFrame:
+    """Opening brackets of calls, with their callee as a ``path``; those of Python's decorators and of the heads of functions and classes are none."""
+    rows = tokens.where("callee is not null and not decorator and not header")
+    return rows.select("file", "language", F.col("call_line").alias("line"), "seq", "stmt", "scopes", "parent", "callee", "chained", "fresh", F.split("callee", r"\.").alias("path"))
+
+
+def imports(tokens: DataFrame) -> DataFrame:
     """(file, line, specifier, imported, local): one row for each bound name; ``*`` for namespaces and wildcards, null names for side effects."""
-    one = r"[\w.]+(?:\s+as\s+\w+)?"
-    plain, named_as = rf"^\s*import\s+({one}(?:\s*,\s*{one})*)\s*(?:#.*)?$", r"^([\w.]+)(?:\s+as\s+(\w+))?"
-    names = r"^\s*from\s+(\.*[\w.]*)\s+import\s*\(?\s*([^#()]+?)\s*\)?\s*(?:#.*)?$"
-    lines = _joined(lines, r"^\s*(?:import|export|from)\b")
-    py = _python(lines)
-    whole = py.where(F.col("code").rlike(plain)).select("file", "line", F.explode(F.split(_get(plain, 1), r"\s*,\s*")).alias("item"))
-    specifier = _get(named_as, 1, "item")
-    whole = whole.select("file", "line", specifier.alias("specifier"), F.lit("*").alias("imported"), F.coalesce(_get(named_as, 2, "item"), specifier).alias("local"))
-    each = F.explode(F.split(_get(names, 2), r"\s*,\s*")).alias("item")
-    some = py.where(F.col("code").rlike(names)).select("file", "line", _get(names, 1).alias("specifier"), each).where("item <> ''")
-    alias = r"^(\w+|\*)(?:\s+as\s+(\w+))?"
-    some = some.select("file", "line", "specifier", _get(alias, 1, "item").alias("imported"), F.coalesce(_get(alias, 2, "item"), _get(alias, 1, "item")).alias("local"))
-    ts = _typescript(lines)
-    source = r"""^\s*(?:import|export)\b.*?\bfrom\s+['"]([^'"]+)['"]"""
-    bound = ts.where(F.col("code").rlike(source)).withColumn("specifier", _get(source, 1))
-    braces = F.explode(F.split(_get(r"\{\s*([^}]*?)\s*,?\s*\}", 1), r"\s*,\s*")).alias("item")
-    inner = r"^(?:type\s+)?([\w$]+)(?:\s+as\s+([\w$]+))?"
-    named = bound.select("file", "line", "specifier", braces).where("item <> ''")
-    named = named.select("file", "line", "specifier", _get(inner, 1, "item").alias("imported"), F.coalesce(_get(inner, 2, "item"), _get(inner, 1, "item")).alias("local"))
-    default = _get(rf"^\s*import\s+(?:type\s+)?({_NAME})\s*(?:,|from)", 1)
-    single = bound.withColumn("local", default).where("local is not null and local <> 'type'").select("file", "line", "specifier", F.lit("default").alias("imported"), "local")
-    star = bound.where(F.col("code").rlike(r"\*")).select("file", "line", "specifier", F.lit("*").alias("imported"), F.coalesce(_get(rf"\*\s+as\s+({_NAME})", 1), F.lit("*")).alias("local"))
-    bare = r"""^\s*import\s+['"]([^'"]+)['"]"""
-    none = F.lit(None).cast("string")
-    side = ts.where(F.col("code").rlike(bare)).select("file", "line", _get(bare, 1).alias("specifier"), none.alias("imported"), none.alias("local"))
-    out = whole
-    for more in (some, named, single, star, side):
-        out = out.unionByName(more)
-    return out
-
-
-def symbols(lines: DataFrame) -> DataFrame:
-    """(file, line, kind, name, indent, bases, exported) of declarations."""
-    patterns = {
-        "python": [("class", r"^(\s*)class\s+(\w+)"), ("function", r"^(\s*)(?:async\s+)?def\s+(\w+)"), ("variable", r"^(\s*)(\w+)\s*(?::[^=]+)?=(?!=)")],
-        "typescript": [
-            ("function", rf"^(\s*)(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_NAME})"),
-            ("class", rf"^(\s*)(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({_NAME})"),
-            ("interface", rf"^(\s*)(?:export\s+)?interface\s+({_NAME})"),
-            ("type-alias", rf"^(\s*)(?:export\s+)?type\s+({_NAME})\s*[=<]"),
-            ("enum", rf"^(\s*)(?:export\s+)?(?:const\s+)?enum\s+({_NAME})"),
-            ("variable", rf"^(\s*)(?:export\s+)?(?:const|let|var)\s+({_NAME})"),
-        ],
-    }
-    out = None
-    for language, found in patterns.items():
-        rows = _python(lines) if language == "python" else _typescript(lines)
-        if language == "python":
-            heads = _joined(rows, r"^\s*class\b").select("file", "line", F.col("code").alias("head"))
-            rows = _outside(rows).join(heads, ["file", "line"], "left")
-        else:
-            rows = rows.withColumns({"head": F.col("code"), "outside": F.lit(True)})
-        kind, name, indent = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int")
+    rows = statements(tokens).where(F.col("code").rlike(r"^(?:import|export|from)\b"))
+    none, code = F.lit(None).cast("string"), F.col("code")
+    group = lambda p, k: F.nullif(F.regexp_extract(code, p, k), F.lit(""))
+    each = lambda text: F.explode(F.filter(F.transform(F.split(text, r" ?, ?"), lambda x: F.trim(x)), lambda x: x != "")).alias("item")
+    part = lambda p, k: F.nullif(F.regexp_extract("item", p, k), F.lit(""))
+    py, ts = rows.where("language = 'python'"), rows.where(_TS)
+    whole = py.where(code.rlike("^import ")).select("file", "line", each(F.substring(code, F.lit(8), F.length(code))))
+    named_as = r"^(.+?)(?: as (\w+))?$"
+    specifier = F.replace(part(named_as, 1), F.lit(" "), F.lit(""))
+    out = whole.select("file", "line", specifier.alias("specifier"), F.lit("*").alias("imported"), F.coalesce(part(named_as, 2), specifier).alias("local"))
+    names = r"^from ((?:\. )*[\w .]*?) ?import (?:\( )?(.*?)(?: \))?$"
+    some = py.where(code.rlike(names)).select("file", "line", F.replace(group(names, 1), F.lit(" "), F.lit("")).alias("specifier"), each(group(names, 2)))
+    out = out.unionByName(some.select("file", "line", "specifier", part(named_as, 1).alias("imported"), F.coalesce(part(named_as, 2), part(named_as, 1)).alias("local")))
+    source = r'^(?:import|export) .*\bfrom "(\d+)"'
+    bound = ts.where(code.rlike(source)).withColumn("specifier", F.col("values")[F.regexp_extract(code, source, 1)])
+    inner = r"^(?:type )?([\w$]+)(?: as ([\w$]+))?$"
+    named = bound.select("file", "line", "specifier", each(F.regexp_extract(code, r"\{ (.*?) ?\}", 1)))
+    out = out.unionByName(named.select("file", "line", "specifier", part(inner, 1).alias("imported"), F.coalesce(part(inner, 2), part(inner, 1)).alias("local")))
+    default = group(rf"^import (?:type )?({_NAME}) (?:,|from)", 1)
+    out = out.unionByName(bound.withColumn("local", default).where("local is not null and local <> 'type'").select("file", "line", "specifier", F.lit("default").alias("imported"), "local"))
+    star = bound.where(code.rlike(r"^\w+ (?:type )?(?:[\w$]+ , )?\*")).select("file", "line", "specifier", F.lit("*").alias("imported"), F.coalesce(group(rf"\* as ({_NAME})", 1), F.lit("*")).alias("local"))
+    bare = r'^import "(\d+)"'
+    side = ts.where(code.rlike(bare)).select("file", "line", F.col("values")[F.regexp_extract(code, bare, 1)].alias("specifier"), none.alias("imported"), none.alias("local"))
+    return out.unionByName(star).unionByName(side)
+
+
+_SYMBOLS = {
+    "python": [("class", r"^class (\w+)"), ("function", r"^(?:async )?def (\w+)"), ("variable", r"^(\w+) (?:: .*?)?= ")],
+    "typescript": [
+        ("function", rf"^(?:export )?(?:default )?(?:declare )?(?:async )?function (?:\* )?({_NAME})?"),
+        ("class", rf"^(?:export )?(?:default )?(?:declare )?(?:abstract )?class (?!extends)({_NAME})?"),
+        ("interface", rf"^(?:export )?(?:default )?(?:declare )?interface ({_NAME})"),
+        ("type-alias", rf"^(?:export )?(?:declare )?type ({_NAME}) [=<]"),
+        ("enum", rf"^(?:export )?(?:declare )?(?:const )?enum ({_NAME})"),
+    ],
+}
+_METHOD = rf"^(?:(?:public|private|protected|static|async|override|readonly|get|set|\*) )*({_NAME}) (?:< [^()]* > )?\("
+
+
+def symbols(tokens: DataFrame) -> DataFrame:
+    """(file, language, stmt, line, kind, name, enclosing, is_async, exported, bases) of declarations.
+
+    ``enclosing`` is the innermost function, class or method around. Variables are those of a module, and of a Python class body; TypeScript's arrow functions
+    open no scope, and destructured names are none. A nameless default export is called ``default``.
+    """
+    rows, code = statements(tokens), F.col("code")
+    rows = rows.withColumns({"outer": F.try_element_at("scopes", F.lit(-1)), "local": F.size("scopes") > 0})
+    kind = name = F.lit(None).cast("string")
+    for language, found in _SYMBOLS.items():
+        of = F.col("language") == "python" if language == "python" else F.col("language") != "python"
         for k, p in reversed(found):
-            hit = F.col("code").rlike(p) & (F.col("outside") if k == "variable" else F.lit(True))
-            kind, name, indent = F.when(hit, k).otherwise(kind), F.when(hit, _get(p, 2)).otherwise(name), F.when(hit, F.length(F.regexp_extract("code", p, 1))).otherwise(indent)
-        bases = F.filter(F.split(F.coalesce(_get(r"^\s*class\s+\w+\s*\(\s*([^)]*?)[\s,]*\)", 1, "head"), F.lit("")), r"\s*,\s*"), lambda b: (b != "") & ~F.contains(b, F.lit("=")))
-        rows = rows.select("file", "line", kind.alias("kind"), name.alias("name"), indent.alias("indent"), bases.alias("bases"), F.col("code").rlike(r"^\s*export\b").alias("exported"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.where("name is not null")
-
-
-def with_exports(found: DataFrame, lines: DataFrame) -> DataFrame:
+            hit = of & code.rlike(p) & ((~F.col("local") | F.col("in_class")) if k == "variable" else F.lit(True))
+            given = F.nullif(F.regexp_extract(code, p, 1), F.lit(""))
+            kind, name = F.when(hit, k).otherwise(kind), F.when(hit, F.coalesce(given, F.when(code.rlike("^export default "), "default"))).otherwise(name)
+    method = (F.col("language") != "python") & F.col("in_class") & code.rlike(_METHOD) & code.rlike(r"\} ?$") & ~code.rlike(r"^[^(]*=")
+    kind, name = F.when(method, "method").otherwise(kind), F.when(method, F.regexp_extract(code, _METHOD, 1)).otherwise(name)
+    kind = F.when((kind == "function") & (F.col("language") == "python") & F.col("in_class"), "method").otherwise(kind)
+    listed = F.regexp_extract(code, r"^class \w+ \( (.*?)(?: ,)? \) :", 1)
+    bases = F.filter(F.transform(F.split(listed, " ?, ?"), lambda b: F.replace(b, F.lit(" "), F.lit(""))), lambda b: (b != "") & ~F.contains(b, F.lit("=")))
+    head = ["file", "language", "stmt", "line", "outer"]
+    made = rows.select(*head, kind.alias("kind"), name.alias("name"), code.rlike(r"^(?:\w+ )*?async ").alias("is_async"), code.rlike("^export ").alias("exported"), bases.alias("bases"))
+    made = made.where("name is not null")
+    # Declarators: names behind const, let or var, or behind a comma of that statement's own level.
+    level = Window.partitionBy("file", "stmt", "parent").orderBy("seq")
+    begins = rows.where(_TS).where(code.rlike("^(?:export )?(?:declare )?(?:const|let|var) ") & ~F.col("local") & ~code.rlike("^(?:export )?const enum ")).select(*head, F.col("parent").alias("level"), code.rlike("^export ").alias("exported"))
+    beside = tokens.where(f"stmt >= 0 and {_TS}").withColumns({"ahead": F.lag("text").over(level), "behind": F.lead("text").over(level)})
+    beside = beside.where("kind = 'name' and ahead in ('const', 'let', 'var', ',') and (behind is null or behind in ('=', ':', ',', '!', 'of', 'in'))").select("file", "stmt", F.col("parent").alias("level"), F.col("line").alias("at"), F.col("text").alias("name"))
+    each = begins.join(beside, ["file", "stmt", "level"]).select(*(c for c in head if c != "line"), F.col("at").alias("line"), F.lit("variable").alias("kind"), "name", F.lit(False).alias("is_async"), "exported", F.array().cast("array<string>").alias("bases"))
+    made = made.unionByName(each)
+    scopes = made.where("kind in ('function', 'class', 'method')").select("file", F.col("stmt").alias("outer"), F.col("name").alias("enclosing"))
+    return made.join(scopes, ["file", "outer"], "left").select("file", "language", "stmt", "line", "kind", "name", "enclosing", "is_async", "exported", "bases")
+
+
+def with_exports(found: DataFrame, tokens: DataFrame) -> DataFrame:
     """Symbols with ``exported`` also true where a later statement exports them by name: ``export { a }``, ``export default a``, ``__all__``.
 
     Only symbols of the module's own scope can be meant; ``export { a } from`` names another module's.
     """
-    rows = _joined(lines, r"^\s*(?:export\s*(?:type\s*)?\{|export\s+default\b|__all__\s*\+?=)")
-    braces, default, listed = r"^\s*export\s*(?:type\s*)?\{([^}]*)\}\s*;?\s*(?://.*)?$", rf"^\s*export\s+default\s+({_NAME})\s*;?\s*$", r"^\s*__all__\s*\+?=\s*[\[(]([^\])]*)"
-    ts, py = _typescript(rows), _python(rows)
-    each = F.explode(F.split(F.trim(_get(braces, 1)), r"\s*,\s*")).alias("name")
-    named = ts.where(F.col("code").rlike(braces)).select("file", each).select("file", F.regexp_extract("name", r"^(?:type\s+)?([\w$]+)", 1).alias("name"))
-    single = ts.select("file", _get(default, 1).alias("name")).where("name is not null")
-    public = py.select("file", F.explode(F.regexp_extract_all(F.coalesce(_get(listed, 1), F.lit("")), F.lit(r"""['"](\w+)['"]"""), F.lit(1))).alias("name"))
+    rows, code = statements(tokens), F.col("code")
+    braces, default, listed = r"^export (?:type )?\{ (.*?) ?\}$", rf"^export default ({_NAME})$", r"^__all__ (?:: .*?)?\+?= [\[(] (.*) [\])]$"
+    each = F.explode(F.split(F.regexp_extract(code, braces, 1), r" ?, ?")).alias("name")
+    named = rows.where(_TS).where(code.rlike(braces)).select("file", each).select("file", F.regexp_extract("name", r"^(?:type )?([\w$]+)", 1).alias("name"))
+    single = rows.where(_TS).where(code.rlike(default)).select("file", F.regexp_extract(code, default, 1).alias("name"))
+    public = rows.where("language = 'python'").where(code.rlike(listed)).select("file", F.explode(F.map_values("values")).alias("name"))
     later = named.unionByName(single).unionByName(public).distinct().withColumn("__later", F.lit(True))
     joined = found.join(later, ["file", "name"], "left")
-    return joined.withColumn("exported", F.col("exported") | (F.coalesce("__later", F.lit(False)) & (F.col("indent") == 0))).select(*found.columns)
-
+    return joined.withColumn("exported", F.col("exported") | (F.coalesce("__later", F.lit(False)) & F.col("enclosing").isNull())).select(*found.columns)
 
-def config_requests(lines: DataFrame) -> DataFrame:
-    """Requests stated as TypeScript objects with ``url`` or ``endpoint`` (a path-like literal or template) and, it may be, ``method``.
 
-    (file, language, line, method, url_kind, url_value, url_parts), of the line the object opens on. A ``path`` property is none.
-    """
-    value = r"""(?:'[^'\n]*'|"[^"\n]*"|`[^`]*`)"""
-    plain = rf"(?:{value}|\$\{{[^}}]*\}}|[^{{}}'\"`])"
-    whole = rf"(?s)\{{({plain}*?\b(?:url|endpoint)['\"]?\s*:\s*{value}{plain}*)\}}"
-    rows = statements(_typescript(lines), F.col("code").rlike(r"\{\s*$|\{.*\b(?:url|endpoint)\b"))
-    each = rows.withColumn("body", F.explode(F.regexp_extract_all("whole", F.lit(whole), F.lit(1))))
-    first = F.regexp_extract("body", r"^\s*([^\n]*)", 1)
-    each = each.where(F.contains("code", first))  # an inner statement's own line tells the object
-    url = F.concat(F.regexp_extract("body", rf"(?s)\b(?:url|endpoint)['\"]?\s*:\s*({value})", 1), F.lit(")"))
-    kind, literal, parts = _url(url)
-    each = each.withColumns({"url_kind": kind, "url_value": literal, "url_parts": parts, "method": F.upper(_get(r"\bmethod['\"]?\s*:\s*['\"](\w+)['\"]", 1, "body"))})
-    head = F.coalesce("url_value", F.get("url_parts", F.lit(0))["value"])
-    like = F.coalesce(F.startswith(head, F.lit("/")) | head.rlike("^https?://"), F.lit(False))
-    return each.where(like & (F.col("url_kind") != "dynamic")).select("file", "language", "line", "method", "url_kind", "url_value", "url_parts").distinct()
-
-
-def build_aliases(lines: DataFrame) -> DataFrame:
-    """(dir, alias, target) of ``resolve: { alias: { name: "folder" } }`` in TypeScript; values that are no literals are left out."""
-    text = _typescript(lines).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "code"))), lambda x: x["code"]), "\n").alias("text"))
-    body = F.regexp_extract("text", r"(?s)\bresolve['\"]?\s*:\s*\{.*?\balias['\"]?\s*:\s*\{([^}]*)\}", 1)
-    pair = r"""(?:'([^'\n]+)'|"([^"\n]+)"|([\w$]+))\s*:\s*(?:'([^'\n]*)'|"([^"\n]*)")"""
-    each = F.arrays_zip(*(F.regexp_extract_all(body, F.lit(pair), F.lit(k)).alias(f"g{k}") for k in range(1, 6)))
-    found = text.select("file", F.explode(each).alias("x"))
-    target = F.regexp_replace(F.concat("x.g4", "x.g5"), r"^\./", "")
-    directory = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
-    return found.select(directory.alias("dir"), F.concat("x.g1", "x.g2", "x.g3").alias("alias"), F.when(directory == "", target).otherwise(F.concat_ws("/", directory, target)).alias("target"))
-
-
-def tables(classes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Add ``table`` to the Python classes of spans(): the literal ``__tablename__``, or ``db_table`` of ``Meta``, of the innermost class
-    around it (of the class that holds Meta); null where none is stated."""
-    stated = r"""^\s+(?:__tablename__|db_table)\s*(?::[^=]+)?=\s*[rbuRBU]*(['"])([^'"]+)\1\s*(?:#.*)?$"""
-    found = _python(lines).where(F.col("code").rlike(stated)).select("file", F.col("line").alias("at"), _get(stated, 2).alias("table"))
-    around = classes.where("kind = 'class' and name <> 'Meta'").select("file", "start", "end", "name")
-    held = found.join(around, "file").where((F.col("at") > F.col("start")) & (F.col("at") <= F.col("end")))
-    inner = held.groupBy("file", "at", "table").agg(F.max("start").alias("start"))
-    first = inner.groupBy("file", "start").agg(F.min_by("table", "at").alias("table"))
-    return classes.where("kind = 'class'").drop("table").join(first, ["file", "start"], "left")
-
-
-def spans(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Add ``end`` to functions, classes and methods: the line before the next code at their indentation or less; TypeScript closes with its brace line."""
+def spans(found: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Functions, classes and methods with ``start`` and ``end``, the lines of their first and last token."""
     blocks = found.where("kind in ('function', 'class', 'method')").withColumnRenamed("line", "start")
-    code = lines.where(~F.col("code").rlike(r"^\s*(#.*|//.*)?$")).select("file", F.col("line").alias("at"), "language", F.length(F.regexp_extract("code", r"^(\s*)", 1)).alias("depth"), F.col("code").rlike(r"^\s*[})\]]").alias("closes"), F.col("code").rlike(r"^\s*[)\]].*[{:]\s*$").alias("heads"))
-    # A line that closes a header's brackets ends no block: `):` and the like in Python, `) {` in TypeScript.
-    code = code.where("not heads")
-    after = blocks.join(code, "file").where((F.col("at") > F.col("start")) & (F.col("depth") <= F.col("indent")))
-    close = after.groupBy("file", "start", "name").agg(F.min(F.struct("at", "closes")).alias("c"))
-    last = lines.groupBy("file").agg(F.max("line").alias("last"))
-    joined = blocks.join(close, ["file", "start", "name"], "left").join(last, "file")
-    end = F.when(F.col("c").isNull(), F.col("last")).when(F.col("c.closes"), F.col("c.at")).otherwise(F.col("c.at") - 1)
-    return joined.withColumn("end", end).drop("c", "last")
-
-
-def scoped_symbols(lines: DataFrame) -> DataFrame:
-    """symbols() with methods, ``enclosing`` (the innermost function, class or method around each, or null) and ``is_async``.
-
-    A Python function directly in a class is a method; a TypeScript one opens its body on the line of its name. Variables
-    inside any of them are left out, but for those of a Python class body.
+    own = tokens.select("file", F.explode(F.array_append("scopes", F.col("stmt"))).alias("stmt"), "end_line").groupBy("file", "stmt").agg(F.max("end_line").alias("end"))
+    return blocks.join(own, ["file", "stmt"])
+
+
+def tables(classes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Add ``table`` to the Python classes of spans(): the literal ``__tablename__`` of a class, else ``db_table`` of a class in it; null where none is stated."""
+    rows, code = statements(tokens).where("language = 'python' and in_class"), F.col("code")
+    stated = r'^(?:__tablename__|db_table) (?:: .*?)?= "(\d+)"$'
+    rows = rows.where(code.rlike(stated)).withColumn("table", F.col("values")[F.regexp_extract(code, stated, 1)])
+    holder = F.when(F.startswith(code, F.lit("__tablename__")), F.try_element_at("scopes", F.lit(-1))).otherwise(F.try_element_at("scopes", F.lit(-2)))
+    first = rows.select("file", holder.alias("holder"), F.col("stmt").alias("at"), "table").where("holder is not null").groupBy("file", F.col("holder").alias("stmt")).agg(F.min_by("table", "at").alias("table"))
+    return classes.where("kind = 'class'").drop("table").join(first, ["file", "stmt"], "left")
+
+
+def _objects(found: DataFrame) -> DataFrame:
+    """(file, inner, url, method) of objects by their bracket: the first ``url`` or ``endpoint``, and the value of ``method`` if it is a literal."""
+    value = F.struct("arg", "kind", "value", "parts")
+    url = F.min(F.when(F.col("key").isin("url", "endpoint"), value))
+    method = F.min(F.when(F.col("key") == "method", F.struct("arg", "value")))
+    return found.where("key in ('url', 'endpoint', 'method')").groupBy("file", F.col("parent").alias("inner")).agg(url.alias("url"), method["value"].alias("method"))
+
+
+def _verb(name: Column) -> Column:
+    return F.when(F.upper(name).isin(*schemas.METHODS), F.upper(name))
+
+
+def _like_path(kind: Column, value: Column, parts: Column) -> Column:
+    """Whether a literal, or the text a template begins with, is a path or a URL."""
+    head = F.when(kind == "literal", value).when(kind == "template", F.get(parts, F.lit(0))["value"])
+    return F.coalesce(F.startswith(head, F.lit("/")) | head.rlike("^https?://"), F.lit(False))
+
+
+def http_calls(tokens: DataFrame) -> DataFrame:
+    """(file, language, line, seq, callee, scope, method, url_kind, url_value, url_parts, from_config): client requests.
+
+    ``fetch``, verbs of known HTTP objects, verbs of any object with a path-like first argument, and in TypeScript calls with an object that has a path-like
+    ``url`` or ``endpoint``. A verb of an unknown object whose other arguments may all be handlers declares a route and is no request. ``scope`` is
+    the statement of the function around.
     """
-    modifiers = r"(?:(?:public|private|protected|static|async|override|get|set)\s+)*"
-    method = rf"^(\s+){modifiers}\*?\s*({_NAME})\s*(?:<[^>]*>)?\([^();]*\)\s*(?::[^{{;=]+)?\{{"
-    found = symbols(lines)
-    more = _typescript(lines).withColumns({"kind": F.lit("method"), "name": _get(method, 2), "indent": F.length(F.regexp_extract("code", method, 1)), "bases": F.array().cast("array<string>"), "exported": F.lit(False)})
-    more = more.where(F.col("name").isNotNull() & ~F.col("name").isin("if", "for", "while", "switch", "catch", "with", "function", "return"))
-    rows = found.unionByName(more.select(*found.columns)).join(lines.select("file", "line", "language", "code"), ["file", "line"])
-    around = spans(rows.drop("language", "code"), lines).select("file", F.col("start").alias("from"), F.col("end").alias("to"), F.col("name").alias("enclosing"), F.col("kind").alias("around"))
-    met = rows.select("file", "line").distinct().join(around, "file").where((F.col("line") > F.col("from")) & (F.col("line") <= F.col("to")))
-    inner = met.groupBy("file", "line").agg(F.max(F.struct("from", "enclosing", "around")).alias("x"))
-    rows = rows.join(inner, ["file", "line"], "left").withColumns({"enclosing": F.col("x.enclosing"), "is_async": F.col("code").rlike(r"^\s*(?:[a-z]+\s+)*async\s")})
-    local = F.col("enclosing").isNotNull() & ((F.col("language") != "python") | (F.col("x.around") != "class"))
-    rows = rows.where(~((F.col("kind") == "variable") & local))
-    inside = (F.col("kind") == "function") & (F.col("language") == "python") & F.coalesce(F.col("x.around") == "class", F.lit(False))
-    return rows.withColumn("kind", F.when(inside, "method").otherwise(F.col("kind"))).select(*found.columns, "enclosing", "is_async")
-
-
-def _url(code: Column) -> tuple[Column, Column, Column]:
-    """Kind, literal value and template parts of the first argument in ``code``."""
-    literal = r"""^\s*[rbuRBU]*(['"])((?:(?!\1).)*)\1\s*[,)]"""
-    template, fstring = r"^\s*`([^`]*)`", r"""^\s*[fF]["']([^"']*)["']"""
-    body = F.coalesce(_get(template, 1, code), F.regexp_replace(F.coalesce(_get(fstring, 1, code), F.lit("")), r"\{", r"\${"))
-    pieces = F.regexp_extract_all(body, F.lit(r"(\$\{[^}]*\}|(?:(?!\$\{).)+)"), F.lit(1))
-    part = lambda p: F.struct(
-        F.when(F.startswith(p, F.lit("${")), "expression").otherwise("text").alias("kind"),
-        F.when(~F.startswith(p, F.lit("${")), p).alias("value"),
-        F.when(F.startswith(p, F.lit("${")), F.substring(p, F.lit(3), F.length(p) - 3)).alias("source"),
+    found = items(tokens)
+    rows = _arguments(_calls(tokens).where("not fresh"), found)
+    spread = rows.select("file", "seq", F.posexplode("args").alias("at", "i")).where("i.inner is not null").select("file", "seq", "at", F.col("i.inner").alias("inner"))
+    braces = tokens.where("kind = 'open' and text = '{'").select("file", F.col("seq").alias("inner"))
+    told = spread.join(braces, ["file", "inner"]).join(_objects(found), ["file", "inner"], "left")
+    objects = told.groupBy("file", "seq").agg(F.sort_array(F.collect_list(F.struct("at", "url", "method"))).alias("objects"))
+    rows = rows.join(objects, ["file", "seq"], "left")
+    like = lambda o: _like_path(o["url"]["kind"], o["url"]["value"], o["url"]["parts"])
+    # The first object must say a URL, or no later one is looked at.
+    fit = lambda o, i: like(o) & F.forall(F.slice("objects", F.lit(1), i), lambda x: x["url"].isNotNull())
+    config = F.when(F.col("language") != "python", F.get(F.filter("objects", fit), F.lit(0)))
+    prop, python = F.element_at("path", -1), F.col("language") == "python"
+    first = F.when(python, F.get(F.filter("args", lambda a: a["key"].isNull()), F.lit(0))).otherwise(F.get("args", F.lit(0)))
+    rows = rows.withColumns({"config": config, "first": first, "verb": _verb(prop)})
+    known = F.when(python, F.get("path", F.size("path") - 2).isin(*HTTP_OBJECTS["python"])).otherwise((F.size("path") == 2) & F.col("path")[0].isin(*HTTP_OBJECTS["typescript"]))
+    handler = lambda a: a["called"].isNotNull() | F.array_contains(a["texts"], "=>") | F.coalesce(F.get(a["texts"], F.lit(0)).isin("function", "async"), F.lit(False)) | (a["dotted"].isNotNull() & ~a["dotted"].isin("null", "true", "false", "this"))
+    handlers = ~python & (F.size("args") > 1) & F.forall(F.slice("args", F.lit(2), F.greatest(F.size("args") - 1, F.lit(0))), handler)
+    fetch = ~python & (F.col("callee") == "fetch")
+    member = (F.size("path") > 1) & F.col("verb").isNotNull() & (known | ~handlers) & (known | _like_path(F.col("first.kind"), F.col("first.value"), F.col("first.parts")))
+    asked = F.filter("objects", lambda o: o["at"] == 1)
+    plain = F.col("chained") & F.col("first").isNotNull() & (fetch | member)
+    by_config = F.col("config").isNotNull()
+    method = F.when(by_config, F.coalesce(_verb(F.col("config.method")), F.col("verb"))).when(fetch, _verb(F.get(asked, F.lit(0))["method"])).otherwise(F.col("verb"))
+    pick = lambda field: F.when(by_config, F.col(f"config.url.{field}")).otherwise(F.col(f"first.{field}"))
+    return rows.where(by_config | F.coalesce(plain, F.lit(False))).select(
+        "file", "language", "line", "seq", "callee", F.try_element_at("scopes", F.lit(-1)).alias("scope"), method.alias("method"), pick("kind").alias("url_kind"), pick("value").alias("url_value"), pick("parts").alias("url_parts"), by_config.alias("from_config")
     )
-    templated = code.rlike(template) | code.rlike(fstring)
-    kind = F.when(code.rlike(literal), "literal").when(templated, "template").otherwise("dynamic")
-    return kind, F.when(kind == "literal", F.regexp_extract(code, literal, 2)), F.when(kind == "template", F.transform(pieces, part))
-
-
-def http_calls(lines: DataFrame) -> DataFrame:
-    """Client observations: ``fetch`` and verbs of known HTTP objects, or of any object with a path-like argument."""
-    call = rf"(?:\b({_NAME})\s*\.\s*({_VERBS})|\b(fetch))\s*(?:<[^>]*>)?\("
-    rows = statements(lines, (F.col("code").rlike(call) | (F.col("code").rlike(rf"{_NAME}\s*$") & F.col("more"))) & ~F.col("code").rlike(r"^\s*(@|//|#)"))
-    # Every call that begins on the first line; what follows it is captured by a look ahead, so calls within calls are found too.
-    names = ("after", "object", "verb", "fetch", "argument")
-    each = F.arrays_zip(*(F.regexp_extract_all("whole", F.lit(rf"(?s)(?=({call}(.*)))"), F.lit(k)).alias(n) for k, n in enumerate(names, 1)))
-    rows = rows.withColumn("x", F.explode(each)).where(F.length("x.after") > F.length("whole") - F.length("code"))
-    rows = rows.withColumns({n: F.when(F.col(f"x.{n}") != "", F.col(f"x.{n}")) for n in names[1:4]})
-    lead = F.regexp_replace(F.coalesce("x.argument", F.lit("")), r"^(?:\s*(?://|#)[^\n]*\n)+", "")
-    rows = rows.withColumn("argument", _inside(lead, F.col("language")))
-    kind, value, parts = _url(F.col("argument"))
-    rows = rows.withColumns({"url_kind": kind, "url_value": value, "url_parts": parts})
-    head = F.coalesce("url_value", F.get("url_parts", F.lit(0))["value"])
-    known = F.when(F.col("language") == "python", F.col("object").isin(*HTTP_OBJECTS["python"])).otherwise(F.col("object").isin(*HTTP_OBJECTS["typescript"]))
-    path_like = F.startswith(head, F.lit("/")) | head.rlike("^https?://")
-    handler = F.col("argument").rlike(r"^\s*['\"`][^'\"`]*['\"`]\s*,\s*(?:async\s*)?(?:\(|function\b)") & ~known
-    rows = rows.where(F.coalesce(F.col("fetch").isNotNull() | ((known | path_like) & ~handler), F.lit(False)))
-    method = F.when(F.col("fetch").isNull(), F.upper("verb")).otherwise(F.upper(_get(r"\bmethod['\"]?\s*:\s*['\"](\w+)['\"]", 1, "argument")))
-    return rows.select("file", "language", "line", method.alias("method"), "url_kind", "url_value", "url_parts")
-
-
-def routes(lines: DataFrame) -> DataFrame:
-    """Route observations of Python: verb and ``route`` decorators with their handler, and URL conf entries."""
-    py = _python(lines)
-    decorator = rf"^\s*@(\w+)\.({_VERBS}|route)\((.*)$"
-    order = Window.partitionBy("file").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    # The handler is the next function or class of the file; a window by file, as files are small next to tables.
-    define = _get(r"^\s*(?:async\s+)?(?:def|class)\s+(\w+)", 1)
-    seen = py.select("file", "line", F.first(define, ignorenulls=True).over(order).alias("handler"))
-    rows = _joined(py, decorator).join(seen, ["file", "line"]).withColumns({"receiver": _get(decorator, 1), "verb": _get(decorator, 2)})
-    rows = rows.withColumn("argument", _inside(F.regexp_extract("code", decorator, 3), F.col("language")))
-    kind, value, parts = _url(F.col("argument"))
-    listed = F.regexp_extract_all(F.coalesce(_get(r"methods\s*=\s*[\[(]([^\])]*)[\])]", 1), F.lit("")), F.lit(r"""['"](\w+)['"]"""), F.lit(1))
-    methods = F.when(F.col("verb") == "route", listed).otherwise(F.array("verb"))
-    registrar = F.col("receiver").isin("app", "router", "api", "blueprint", "bp") | F.col("receiver").rlike("_(router|app)$")
-    made = rows.select("file", "language", "line", F.lit("decorator").alias("style"), methods.alias("methods"), kind.alias("path_kind"), value.alias("path_value"), parts.alias("path_parts"), "receiver", "handler", registrar.alias("known"))
-    made = made.where(F.col("known") | F.coalesce(F.startswith("path_value", F.lit("/")), F.lit(False))).drop("known")
-    conf = r"^\s*(?:re_)?path\(\s*(.*)$"
-    entry = _joined(py, conf).withColumn("argument", F.regexp_extract("code", conf, 1))
-    kind, value, parts = _url(F.col("argument"))
-    handler = _get(r"^[^,]*,\s*([\w.]+)", 1, "argument")
-    none = F.array().cast("array<string>")
-    entry = entry.select("file", "language", "line", F.lit("url-conf-entry").alias("style"), none.alias("methods"), kind.alias("path_kind"), value.alias("path_value"), parts.alias("path_parts"), F.lit(None).cast("string").alias("receiver"), handler.alias("handler"))
-    return made.unionByName(entry.where("path_kind <> 'dynamic'"))
-
-
-def routers(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(routers, inclusions): ``x = ...Router(prefix=...)`` and ``x.include_router(y, prefix=...)``; a prefix that is no literal is unresolved."""
-    py = _joined(_python(lines), r"Router\(|\.include_router\(")
-    made, put = r"^\s*(\w+)\s*(?::[^=]+)?=\s*[\w.]*Router\((.*)$", r"^\s*(\w+)\.include_router\(\s*([\w.]+)(.*)$"
-    literal, any_ = r"""prefix\s*=\s*['"]([^'"]*)['"]""", r"prefix\s*="
-    prefix, lost = _get(literal, 1), F.col("code").rlike(any_) & ~F.col("code").rlike(literal)
-    declared = py.where(F.col("code").rlike(made)).select("file", "line", _get(made, 1).alias("name"), prefix.alias("prefix"), lost.alias("prefix_unresolved"))
-    included = py.where(F.col("code").rlike(put)).select("file", "line", _get(put, 1).alias("parent"), _get(put, 2).alias("child"), prefix.alias("prefix"), lost.alias("prefix_unresolved"))
-    return declared, included
-
-
-def calls(lines: DataFrame) -> DataFrame:
-    """(file, line, seq, callee, root, path, property): every dotted call of a line; declarations and decorators are none."""
-    pattern = rf"(?<![\w$.])((?:new\s+)?{_NAME}(?:\.{_NAME})*)\s*\("
-    skip = F.col("code").rlike(r"^\s*(@|//|#|def |async def |class |function |export (default )?(async )?function )")
-    found = lines.where(~skip).select("file", "line", F.posexplode(F.regexp_extract_all("code", F.lit(pattern), F.lit(1))).alias("seq", "callee"))
-    found = found.where(~F.col("callee").isin("if", "for", "while", "switch", "return", "print", "catch", "import", "elif", "and", "or", "not", "in"))
-    path = F.split(F.regexp_replace("callee", r"^new\s+", ""), r"\.")
-    return found.withColumns({"root": F.get(path, F.lit(0)), "path": path, "property": F.when(F.size(path) > 1, F.element_at(path, -1))})
-
-
-def _argument_count(inside: Column, language: Column) -> Column:
-    """Arguments of a call whose code behind the opening bracket, up to the closing one, is ``inside``."""
-    quoted = r"""\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`"""
-    tokens = lambda comment: F.regexp_extract_all(inside, F.lit(rf"(?s)({quoted}|{comment}|[()\[\]{{}},]|[^\"'`()\[\]{{}},/#\s]++|\S)"), F.lit(1))
-    found = F.when(language == "python", tokens(r"#[^\n]*+")).otherwise(tokens(r"//[^\n]*+|/[*].*?[*]/"))
-    found = F.filter(found, lambda t: ~t.rlike(r"^(?://|/[*]|#)"))
-    turn = lambda t: F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0)
-    begin = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("inside"))
-
-    def step(s: Column, t: Column) -> Column:
-        ends = (s["depth"] == 1) & t.isin(",", ")")
-        n = s["n"] + (ends & s["inside"]).cast("int")
-        return F.when(s["depth"] < 1, s).otherwise(F.struct((s["depth"] + turn(t)).alias("depth"), n.alias("n"), (~ends & (s["inside"] | (t != ","))).alias("inside")))
-
-    return F.aggregate(found, begin, step, lambda s: s["n"])
-
-
-def call_sites(lines: DataFrame) -> DataFrame:
-    """(file, line, seq, callee, is_new, argument_count): calls by plain name or unbroken chain of names, over several lines too.
-
-    A callee must stand on the call's first line; arguments may go on to the closing bracket. Declarations and decorators are none.
-    """
-    call = rf"(?<![\w$.])(?<!\bnew\s)(new\s+)?({_NAME}(?:\s*\.\s*{_NAME})*)\s*(?:<[\w\s,.\[\]]*>)?\("
-    skip = F.col("code").rlike(r"^\s*(@|//|#|def |async def |class |function |export (default )?(async )?function )")
-    rows = statements(lines, F.col("code").rlike(call) & ~skip)
-    names = ("after", "fresh", "callee", "argument")
-    each = F.arrays_zip(*(F.regexp_extract_all("whole", F.lit(rf"(?s)(?=({call}(.*)))"), F.lit(k)).alias(n) for k, n in enumerate(names, 1)))
-    rows = rows.select("file", "language", "line", "code", "whole", F.posexplode(each).alias("seq", "x")).where(F.length("x.after") > F.length("whole") - F.length("code"))
-    rows = rows.withColumn("callee", F.regexp_replace("x.callee", r"\s+", ""))
-    rows = rows.where(~F.col("callee").isin("if", "for", "while", "switch", "return", "print", "catch", "import", "elif", "and", "or", "not", "in", "new", "function", "await", "typeof"))
-    rows = rows.withColumn("inside", _inside(F.col("x.argument"), F.col("language")))
-    # What opens a body behind its brackets declares a method.
-    body = (F.col("language") != "python") & F.substring("x.argument", F.length("inside") + 1, F.length("x.argument")).rlike(r"^\s*(?::[^{;=()]+)?\{")
-    rows, count = rows.where(~body), _argument_count(F.col("inside"), F.col("language"))
-    fresh = (F.col("x.fresh") != "") & (F.col("language") != "python")
-    return rows.select("file", "line", "seq", "callee", fresh.alias("is_new"), count.alias("argument_count"))
-
-
-def concatenations(lines: DataFrame) -> DataFrame:
-    """(file, line, seq, parts): chains of ``+`` on a line with a string literal among their operands; parts (kind, value) in order."""
-    text = r"""(?:[rbuRBU]{0,2}(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))"""
-    operand = rf"""(?:{text}|[fF](?:\"[^\"]*\"|'[^']*')|`[^`]*`|[\w$]+(?:\.[\w$]+)*(?:\([^()]*\)|\[[^\[\]]*\])*)"""
-    chain = rf"{operand}(?:\s*(?<!\+)\+(?![+=])\s*{operand})*"
-    found = lines.where(~F.col("code").rlike(r"^\s*(#|//)")).select("file", "line", F.posexplode(F.regexp_extract_all("code", F.lit(chain), F.lit(0))).alias("seq", "chain"))
-    literal = lambda p: p.rlike(rf"^{text}$")
-    part = lambda p: F.struct(F.when(literal(p), "literal").otherwise("expression").alias("kind"), F.when(literal(p), F.regexp_replace(p, r"""^[rbuRBU]*['"]|['"]$""", "")).otherwise(p).alias("value"))
-    rows = found.withColumn("parts", F.transform(F.regexp_extract_all("chain", F.lit(operand), F.lit(0)), part))
-    return rows.where((F.size("parts") > 1) & F.exists("parts", lambda p: p["kind"] == "literal")).select("file", "line", "seq", "parts")
-
-
-def strings(lines: DataFrame) -> DataFrame:
-    """(file, line, seq, value) of the plain string literals of each line."""
-    found = F.posexplode(F.regexp_extract_all("code", F.lit(r"""(['"])((?:(?!\1).)*)\1"""), F.lit(2))).alias("seq", "value")
-    return lines.where(~F.col("code").rlike(r"^\s*(#|//)")).select("file", "line", found)
-
-
-def diagnostics(lines: DataFrame) -> DataFrame:
-    """(file, kind): files whose brackets do not balance outside strings and comments."""
-    bare = F.regexp_replace(F.regexp_replace("code", r"""(['"`])(?:\\.|(?!\1).)*\1""", ""), r"(//|#).*$", "")
-    count = lambda c: F.length(bare) - F.length(F.replace(bare, F.lit(c)))
-    rows = lines.groupBy("file").agg(*(F.sum(count(a) - count(b)).alias(n) for n, a, b in (("round", "(", ")"), ("square", "[", "]"), ("curly", "{", "}"))))
-    return rows.where("round <> 0 or square <> 0 or curly <> 0").select("file", F.lit("unbalanced-brackets").alias("kind"))
 
 
-#: Diagnostics of a file that are told one by one; one more row says that there are others.
-MOST_DIAGNOSTICS = 25
+def config_requests(tokens: DataFrame) -> DataFrame:
+    """The requests of http_calls() that an argument object states."""
+    return http_calls(tokens).where("from_config")
+
+
+def build_aliases(tokens: DataFrame) -> DataFrame:
+    """(dir, alias, target) of ``resolve: { alias: { name: "folder" } }`` in TypeScript; values that are no literals are left out."""
+    found = items(tokens.where(_TS))
+    outer = found.where("key = 'resolve' and inner is not null").select("file", F.col("inner").alias("parent"))
+    alias = found.where("key = 'alias' and inner is not null").join(outer, ["file", "parent"]).select("file", F.col("inner").alias("parent"))
+    pairs = found.where("key is not null and kind = 'literal'").join(alias, ["file", "parent"])
+    target, directory = F.regexp_replace("value", r"^\./", ""), F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
+    return pairs.select(directory.alias("dir"), F.col("key").alias("alias"), F.when(directory == "", target).otherwise(F.concat_ws("/", directory, target)).alias("target"))
+
+
+def _positional(k: int) -> Column:
+    return F.get(F.filter("args", lambda a: a["key"].isNull()), F.lit(k))
 
 
-def diagnostic_places(lines: DataFrame, most: int = MOST_DIAGNOSTICS) -> DataFrame:
-    """(file, line, kind): lines that close a bracket nothing opened or open one that nothing closes, the first of each file, then ``truncated``."""
-    bare = F.regexp_replace(F.regexp_replace("code", r"""(['"`])(?:\\.|(?!\1).)*\1""", ""), r"(//|#).*$", "")
-    order = Window.partitionBy("file").orderBy("line")
-    rows, kinds = lines, []
-    for opening, closing in ((r"\(", r"\)"), (r"\[", r"\]"), (r"\{", r"\}")):
-        step, depth = (f"__{x}{len(kinds)}" for x in ("step", "depth"))
-        rows = rows.withColumn(step, F.regexp_count(bare, F.lit(opening)) - F.regexp_count(bare, F.lit(closing))).withColumn(depth, F.sum(step).over(order))
-        low = F.least(F.lit(0), F.coalesce(F.min(depth).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        later = F.min(depth).over(order.rowsBetween(0, Window.unboundedFollowing))
-        kinds.append(F.when(F.col(depth) < low, "never-opened").when((F.col(step) > 0) & (later > F.col(depth) - F.col(step)), "never-closed"))
-    kind = F.coalesce(*kinds)
-    found = rows.withColumn("kind", kind).where("kind is not null").withColumn("place", F.row_number().over(order))
-    kept = found.where(F.col("place") <= most + 1).select("file", F.when(F.col("place") <= most, F.col("line")).alias("line"), F.when(F.col("place") <= most, F.col("kind")).otherwise("truncated").alias("kind"))
-    return kept
+def _keyword(name: str) -> Column:
+    return F.get(F.filter("args", lambda a: a["key"] == name), F.lit(0))
+
+
+def routes(tokens: DataFrame) -> DataFrame:
+    """(file, language, line, seq, style, methods, path_kind, path_value, path_parts, receiver, handler): Python's route declarations.
+
+    Decorators named for a verb or ``route``, of a known registrar or with a literal that begins with a slash as first positional argument, and URL conf entries with a
+    string for pattern. Joined strings are dynamic. Methods that are none of the verbs go; a list that is not literal says nothing.
+    """
+    py = tokens.where("language = 'python'")
+    found, stmts = items(py), statements(py)
+    order = Window.partitionBy("file").orderBy(F.col("stmt").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    define = F.nullif(F.regexp_extract("code", r"^(?:async )?(?:def|class) (\w+)", 1), F.lit(""))
+    handlers = stmts.select("file", "stmt", "decorator", "code", "parent", F.last(define, ignorenulls=True).over(order).alias("handler")).where("decorator").withColumnRenamed("parent", "level")
+    calls = py.where("callee is not null and decorator and chained").select("file", "language", "line", "seq", "stmt", F.col("parent").alias("level"), "callee")
+    made = _arguments(calls.join(handlers, ["file", "stmt", "level"]), found).withColumns({"first": _positional(0), "listed": _keyword("methods"), "path": F.split("callee", r"\.")})
+    made = made.where(F.col("code").rlike(r"^@ [\w .]+ \(") & (F.size("path") > 1) & F.col("first").isNotNull())
+    verb, base = F.element_at("path", -1), F.col("path")[0]
+    registrar = (F.size("path") == 2) & (base.isin(*ROUTE_OBJECTS) | F.endswith(base, F.lit("_router")) | F.endswith(base, F.lit("_app")))
+    made = made.where((registrar | F.coalesce(F.startswith("first.strings", F.lit("/")), F.lit(False))) & ((verb == "route") | _verb(verb).isNotNull()))
+    listed = found.where("kind = 'literal' and key is null").select("file", F.col("parent").alias("inner"), "arg", _verb(F.col("value")).alias("verb")).where("verb is not null")
+    listed = listed.groupBy("file", "inner").agg(F.transform(F.sort_array(F.collect_list(F.struct("arg", "verb"))), lambda x: x["verb"]).alias("verbs"))
+    made = made.withColumn("inner", F.col("listed.inner")).join(listed, ["file", "inner"], "left")
+    methods = F.when(verb == "route", F.coalesce("verbs", F.array().cast("array<string>"))).otherwise(F.array(_verb(verb)))
+    receiver = F.array_join(F.slice("path", F.lit(1), F.size("path") - 1), ".")
+    made = made.select("file", "language", "line", "seq", F.lit("decorator").alias("style"), methods.alias("methods"), F.col("first.kind").alias("path_kind"), F.col("first.value").alias("path_value"), F.col("first.parts").alias("path_parts"), receiver.alias("receiver"), "handler")
+    entry = _arguments(_calls(py).where("chained").where(F.element_at("path", -1).isin("path", "re_path")), found).withColumns({"first": _positional(0), "second": _positional(1)}).where("first.strings is not null")
+    none = F.lit(None).cast("string")
+    entry = entry.select("file", "language", "line", "seq", F.lit("url-conf-entry").alias("style"), F.array().cast("array<string>").alias("methods"), F.col("first.kind").alias("path_kind"), F.col("first.value").alias("path_value"), F.col("first.parts").alias("path_parts"), none.alias("receiver"), F.coalesce("second.dotted", "second.called").alias("handler"))
+    return made.unionByName(entry)
+
+
+def routers(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(routers, inclusions): ``x = ...Router(prefix=...)`` and ``x.include_router(y, prefix=...)``; a prefix that is no literal is unresolved.
+
+    Routers are variables of a module or class; an included router must be named, not built in place.
+    """
+    py = tokens.where("language = 'python'")
+    found, calls = items(py), _calls(py).where("chained")
+    listed = found.where("key = 'prefix'").select("file", F.col("parent").alias("seq"), "kind", "value", F.lit(True).alias("given")).dropDuplicates(["file", "seq"])
+    prefix = [F.when(F.col("kind") == "literal", F.col("value")).alias("prefix"), F.coalesce(F.col("given") & (F.col("kind") != "literal"), F.lit(False)).alias("prefix_unresolved")]
+    assigned = r"^(\w+) (?:: .*?)?= ([\w .]+?) \( (?:.* )?\)$"
+    stmts = statements(py).where(F.col("code").rlike(assigned) & ((F.size("scopes") == 0) | F.col("in_class")))
+    stmts = stmts.select("file", "stmt", F.col("line").alias("at"), F.col("parent"), F.regexp_extract("code", assigned, 1).alias("name"), F.replace(F.regexp_extract("code", assigned, 2), F.lit(" "), F.lit("")).alias("callee"))
+    made = calls.where(F.endswith(F.element_at("path", -1), F.lit("Router"))).drop("line").join(stmts, ["file", "stmt", "parent", "callee"]).join(listed, ["file", "seq"], "left")
+    declared = made.select("file", F.col("at").alias("line"), "name", *prefix)
+    put = _arguments(calls.where((F.size("path") > 1) & (F.element_at("path", -1) == "include_router")), found).withColumn("child", _positional(0)["dotted"]).where("child is not null").join(listed, ["file", "seq"], "left")
+    parent = F.array_join(F.slice("path", F.lit(1), F.size("path") - 1), ".")
+    return declared, put.select("file", "line", parent.alias("parent"), "child", *prefix)
+
+
+def calls(tokens: DataFrame) -> DataFrame:
+    """(file, line, seq, callee, root, path, property, is_new, argument_count, scope): calls by plain name or unbroken chain of names."""
+    count = items(tokens).groupBy("file", F.col("parent").alias("seq")).agg(F.count("*").alias("argument_count"))
+    rows = _calls(tokens).where("chained").join(count, ["file", "seq"], "left")
+    fresh = F.col("fresh") & (F.col("language") != "python")
+    return rows.select("file", "line", "seq", "callee", F.col("path")[0].alias("root"), "path", F.when(F.size("path") > 1, F.element_at("path", -1)).alias("property"), fresh.alias("is_new"), F.coalesce("argument_count", F.lit(0)).cast("int").alias("argument_count"), F.try_element_at("scopes", F.lit(-1)).alias("scope"))
+
+
+def _chains(tokens: DataFrame) -> DataFrame:
+    """(file, language, line, stmt, from, to, operands): chains of ``+`` with a string among their operands, each operand by its first and last token.
+
+    Operators that bind closer stay within an operand, all others, commas and words end the chain.
+    """
+    level = Window.partitionBy("file", "stmt", "parent", "arg").orderBy("seq")
+    tight = F.col("text").isin(".", "?.", "*", "/", "%", "**", "//", "!", "~")
+    ends = ((F.col("kind") == "op") & ~tight & (F.col("text") != "+")) | F.col("text").isin("return", "in", "of", "if", "else", "for", "and", "or", "not", "is", "await", "yield", "const", "let", "var", "export", "default", "typeof", "new", "as", "lambda", "print")
+    rows = tokens.withColumn("plus", (F.col("text") == "+").cast("int"))
+    rows = rows.withColumns({"chain": F.sum(ends.cast("int")).over(level), "operand": F.sum("plus").over(level)}).where(~ends & (F.col("plus") == 0))
+    one = rows.groupBy("file", "language", "stmt", "parent", "arg", "chain", "operand").agg(F.min("seq").alias("from"), F.max("seq").alias("to"), F.min("line").alias("line"), F.count("*").alias("n"), F.min_by("kind", "seq").alias("kind"))
+    chain = one.groupBy("file", "language", "stmt", "parent", "arg", "chain").agg(F.sort_array(F.collect_list(F.struct("operand", "from", "to", ((F.col("n") == 1) & (F.col("kind") == "string")).alias("text")))).alias("operands"), F.min("line").alias("line"), F.min("from").alias("from"), F.max("to").alias("to"))
+    return chain.where((F.size("operands") > 1) & F.exists("operands", lambda o: o["text"]))
+
+
+def concatenations(tokens: DataFrame) -> DataFrame:
+    """(file, line, seq, parts): chains of ``+`` with a string literal among their operands; parts (kind, value) in order."""
+    found = _chains(tokens)
+    # A chain's tokens are those of its statement between its first and its last.
+    shown = F.when(F.col("kind") == "string", F.concat(F.lit('"'), "value", F.lit('"'))).when(F.col("kind") == "template", F.col("value")).otherwise(F.col("text"))
+    listed = tokens.groupBy("file", "stmt").agg(F.sort_array(F.collect_list(F.struct("seq", shown.alias("shown"), "value"))).alias("t"))
+    rows = found.join(listed, ["file", "stmt"])
+
+    def part(o: Column) -> Column:
+        own = F.filter("t", lambda x: x["seq"].between(o["from"], o["to"]))
+        return F.struct(F.when(o["text"], "literal").otherwise("expression").alias("kind"), F.when(o["text"], F.get(own, F.lit(0))["value"]).otherwise(F.array_join(F.transform(own, lambda x: x["shown"]), "")).alias("value"))
+
+    return rows.select("file", "line", F.col("from").alias("seq"), F.transform("operands", part).alias("parts"))
+
+
+def strings(tokens: DataFrame) -> DataFrame:
+    """(file, line, seq, value) of plain string literals, but for those of imports, decorators, heads of functions and classes, and chains of ``+``, which have facts of their own."""
+    rows = tokens.where("kind = 'string' and not decorator and not header")
+    sources = statements(tokens).where(F.col("code").rlike(r'^import\b|^export .*\bfrom "\d+"')).select("file", "stmt")
+    joined = _chains(tokens).select("file", "stmt", "from", "to")
+    inside = rows.join(joined, ["file", "stmt"]).where(F.col("seq").between(F.col("from"), F.col("to"))).select("file", "seq")
+    return rows.join(sources, ["file", "stmt"], "left_anti").join(inside, ["file", "seq"], "left_anti").select("file", "line", "seq", "value")
+
+
+def diagnostics(tokens: DataFrame) -> DataFrame:
+    """(file, kind): files whose brackets do not meet."""
+    return tokens.where("fault is not null").select("file", F.lit("unbalanced-brackets").alias("kind")).distinct()
+
+
+def diagnostic_places(tokens: DataFrame, most: int = MOST_DIAGNOSTICS) -> DataFrame:
+    """(file, line, kind): brackets that close what nothing opened or are never closed, the first of each file, then ``truncated``."""
+    order = Window.partitionBy("file").orderBy("seq")
+    found = tokens.where("fault is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most + 1)
+    return found.select("file", F.when(F.col("place") <= most, F.col("line")).alias("line"), F.when(F.col("place") <= most, F.col("fault")).otherwise("truncated").alias("kind"))

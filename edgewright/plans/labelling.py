@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgewright.operators import extract, labelling, report
+from edgewright.operators import extract, labelling, report, tokens
 from edgewright.operators.rounds import kept
 from edgewright.plans.catalog import query
 from edgewright.plans.observations import views
@@ -55,15 +55,15 @@ _ENUMERATED = [
 @query(facts("file line kind classification rule", _ENUMERATED))
 def declared_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route declarations that a plain reading finds, and the scope each is in; examples in strings and comments are none."""
-    rows = labelling.enumerated(read_lines(spark, sf_dir).where("language = 'python'"), labelling.ROUTE_PATTERNS)
+    rows = labelling.enumerated(read_lines(spark, sf_dir).where("language = 'python'"), labelling.route_kind)
     callee = F.regexp_extract("text", r"^@?([\w.]+)", 1)
     return rows.select("file", "line", "kind", labelling.route_scope(F.col("kind"), callee).alias("s")).select("file", "line", "kind", "s.*")
 
 
-@query(facts("file line kind", [(TS, 11, "fetch"), (TS, 14, "verb_call"), (TS, 19, "url_property")]))
+@query(facts("file line kind", [(TS, 11, "fetch"), (TS, 14, "verb_call"), (TS, 19, "url_property"), ("web/p@@/calls.ts", 1, "url_property")]))
 def enumerated_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Client calls that a plain reading finds."""
-    return labelling.enumerated(read_lines(spark, sf_dir).where("language = 'typescript'"), labelling.CALL_PATTERNS).select("file", "line", "kind")
+    return labelling.enumerated(read_lines(spark, sf_dir).where("language = 'typescript'"), labelling.call_kind).select("file", "line", "kind")
 
 
 @query(facts("path test", [("a/tests/x@@.py", True), ("a/test_@@.py", True), ("b@@_tests.py", True), ("b@@_test.py", True), ("atests/x@@.py", False), ("a/x_test@@.ts", False), ("testing/@@", True)]))
@@ -138,9 +138,8 @@ def edge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of edges of every kind from the source that they cite."""
     lines = read_lines(spark, sf_dir)
     edges, nodes = _graph(spark, sf_dir)
-    declared = extract.tables(extract.spans(extract.symbols(lines), lines), lines).where("table is not null").select("file", F.col("name").alias("model"), "table")
-    url = F.coalesce("url_value", F.array_join(F.transform("url_parts", lambda p: F.coalesce(p["value"], F.concat(F.lit("{"), p["source"], F.lit("}")))), ""))
-    clients = extract.http_calls(lines).select("file", "line", "method", url.alias("url"))
+    declared = labelling.stated_tables(lines)
+    clients = labelling.stated_requests(lines, edges.where("kind = 'http-call'"))
     served = stated(spark, sf_dir, "file string, line int, method string, path string, refusal string", [(PY, 14, "GET", "/v1/s@@/items/{id}", None), (PY, 20, "GET", "/bulk/{x}", None), (PY, 25, None, None, "prefix is not a literal")])
     return labelling.label_edges(edges, nodes, lines, declared, clients, served)
 
@@ -155,7 +154,7 @@ def endpoint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select n * 6 as files, n * 4 as files_clean, n as files_with_diagnostics, n as files_failed, n as diagnostics, n * 17 as symbols, n * 4 as routes, n as routes_composed, n * 3 as http_observations, exact, 0 as strong, ambiguous, no_match,
+    """select n * 7 as files, n * 5 as files_clean, n as files_with_diagnostics, n as files_failed, n as diagnostics, n * 15 as symbols, n * 4 as routes, n as routes_composed, n * 4 as http_observations, exact, 0 as strong, ambiguous, no_match,
   0 as unsupported, resolved as dynamic_resolved, partial as dynamic_partial, parts as orm_models, tabled as orm_tables, 25 as orm_ambiguous, n * 9 as nodes, n * 27 as edges, n * 9 as http_call_edges, n * 4 as client_call_edges, n * 13 as orm_edges,
   n * 9 as cross_language_edges from (select count(*) as n from supplier), (select count(*) filter (o_orderstatus = 'F') as exact, count(*) filter (o_orderstatus = 'O') as ambiguous, count(*) filter (o_orderstatus = 'P') as no_match from orders),
   (select count(*) filter (c_custkey % 2 = 0) as resolved, count(*) filter (c_custkey % 2 = 1) as partial from customer), (select count(*) as parts, count(*) filter (p_partkey % 3 = 0) as tabled from part)"""
@@ -165,11 +164,11 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, "orders", "customer", "part", "nation")
     more = stated(spark, sf_dir, "path string, content string", [(DOC, DOCUMENTED)]).withColumn("content", F.col("content").cast("binary"))
     read = files.gate(files.supported(repository(spark, sf_dir))).unionByName(files.gate(files.supported(more)))
-    lines = kept(files.lines(read))
+    found = kept(tokens.tokens(read), "tokens")
     results = spark.sql("select case o_orderstatus when 'F' then 'exact' when 'O' then 'ambiguous' else 'no-match' end as status from orders")
     folded = spark.sql("select case c_custkey % 2 when 0 then 'resolved' else 'partial' end as status from customer")
     models = spark.sql(_MODELS).withColumnRenamed("tab", "table")
     edges, nodes = _graph(spark, sf_dir)
-    routes = extract.routes(lines).withColumn("composed", F.col("receiver") == "router")
+    routes = extract.routes(found).withColumn("composed", F.col("receiver") == "router")
     cross = edges.withColumn("cross", F.col("kind") == "http-call")
-    return report.run_totals(read, extract.diagnostics(lines), extract.symbols(lines), routes, extract.http_calls(lines), results, folded, models, spark.table("nation"), nodes, cross)
+    return report.run_totals(read, extract.diagnostics(found), extract.symbols(found), routes, extract.http_calls(found), results, folded, models, spark.table("nation"), nodes, cross)

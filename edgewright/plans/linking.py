@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewright.functions import paths as P
-from edgewright.operators import canonical, extract, linking, matching, report, resolution
+from edgewright.operators import canonical, extract, linking, matching, report, resolution, tokens
+from edgewright.operators.rounds import kept
 from edgewright.plans.catalog import query
 from edgewright.plans.observations import views
 from edgewright.plans.source_text import repository
@@ -120,12 +121,12 @@ def assembled_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("kind", F.col("source.name").alias("source"), F.col("target.name").alias("target"), F.concat_ws(">", "source_kind", "target_kind").alias("kinds"), F.lit(nodes.count()).alias("nodes"))
 
 
-@query("select count(*) * 5 as files, count(*) * 3 as parsed_clean, count(*) as parsed_with_errors, count(*) as failed, count(*) * 2 as diagnostics, count(*) * 14 as imports, count(*) * 3 as http_observations, count(*) * 3 as route_observations from supplier")
+@query("select count(*) * 6 as files, count(*) * 4 as parsed_clean, count(*) as parsed_with_errors, count(*) as failed, count(*) * 2 as diagnostics, count(*) * 14 as imports, count(*) * 4 as http_observations, count(*) * 3 as route_observations from supplier")
 def parse_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of the files that every supplier stands for."""
     read = files.gate(files.supported(repository(spark, sf_dir)))
-    lines = files.lines(read)
-    return linking.parse_totals(read, extract.diagnostics(lines), imports=extract.imports(lines), http_observations=extract.http_calls(lines), route_observations=extract.routes(lines))
+    found = kept(tokens.tokens(read), "tokens")
+    return linking.parse_totals(read, extract.diagnostics(found), imports=extract.imports(found), http_observations=extract.http_calls(found), route_observations=extract.routes(found))
 
 
 _TEMPLATES = """select c_custkey as client_id, 'a.ts' as file, 'typescript' as language, c_custkey as line, cast(null as string) as enclosing, 'GET' as method,

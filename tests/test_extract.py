@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from edgewright.functions import paths as P
-from edgewright.operators import canonical, extract, matching, orm, resolution
+from edgewright.operators import canonical, extract, matching, orm, resolution, tokens
 from edgewright.sources import files
 
 API = """from fastapi import APIRouter as AR, Depends
@@ -63,7 +63,7 @@ def test_read_repository(spark, tmp_path):
 
 
 def test_imports(spark):
-    got = {(r.file, r.specifier, r.imported, r.local) for r in extract.imports(files.lines(repo(spark))).collect()}
+    got = {(r.file, r.specifier, r.imported, r.local) for r in extract.imports(tokens.tokens(repo(spark))).collect()}
     assert {("api/app.py", "fastapi", "APIRouter", "AR"), ("api/app.py", "fastapi", "Depends", "Depends"), ("api/app.py", "os", "*", "os"), ("api/app.py", "db.models", "*", "m")} <= got
     assert {("api/app.py", ".models", "Order", "Order"), ("api/app.py", ".models", "Item", "Thing")} <= got
     assert {("web/load.ts", "react", "useState", "us"), ("web/load.ts", "react", "FC", "FC"), ("web/load.ts", "react", "default", "React")} <= got
@@ -71,18 +71,18 @@ def test_imports(spark):
 
 
 def test_symbols_and_spans(spark):
-    lines = files.lines(repo(spark))
+    lines = tokens.tokens(repo(spark))
     found = extract.symbols(lines)
     got = {(r.kind, r.name, r.exported) for r in found.where("file = 'web/load.ts'").collect()}
     assert {("variable", "BASE", True), ("function", "load", True), ("class", "Page", False)} <= got
     ends = {(r.name): (r.start, r.end) for r in extract.spans(found, lines).where("file = 'web/load.ts'").collect()}
     assert ends["load"] == (6, 11) and ends["Page"] == (12, 14)
     python = {(r.name): (r.start, r.end) for r in extract.spans(found, lines).where("file = 'api/app.py'").collect()}
-    assert python["get_order"] == (10, 12)
+    assert python["get_order"] == (10, 11)
 
 
 def test_http_calls(spark):
-    got = {(r.file, r.line): (r.method, r.url_kind, r.url_value) for r in extract.http_calls(files.lines(repo(spark))).collect()}
+    got = {(r.file, r.line): (r.method, r.url_kind, r.url_value) for r in extract.http_calls(tokens.tokens(repo(spark))).collect()}
     assert got[("web/load.ts", 7)] == ("GET", "template", None)
     assert got[("web/load.ts", 8)] == ("POST", "literal", "/items")
     assert got[("web/load.ts", 10)] == ("GET", "literal", "/things")
@@ -91,16 +91,16 @@ def test_http_calls(spark):
 
 
 def test_routes_and_routers(spark):
-    lines = files.lines(repo(spark))
+    lines = tokens.tokens(repo(spark))
     got = {(r.path_value, tuple(r.methods), r.handler, r.receiver) for r in extract.routes(lines).collect()}
-    assert got == {("/orders/{id}", ("get",), "get_order", "router"), ("/items", ("POST", "put"), "items", "app")}
+    assert got == {("/orders/{id}", ("GET",), "get_order", "router"), ("/items", ("POST", "PUT"), "items", "app")}
     declared, included = extract.routers(lines)
     assert {(r.name, r.prefix, r.prefix_unresolved) for r in declared.collect()} == {("router", "/api", False), ("other", None, True)}
     assert [(r.parent, r.child, r.prefix) for r in included.collect()] == [("main", "router", "/v1")]
 
 
 def test_calls_strings_diagnostics(spark):
-    lines = files.lines(repo(spark))
+    lines = tokens.tokens(repo(spark))
     assert {("Order", "get"), ("Thing", None)} <= {(r.root, r.property) for r in extract.calls(lines).collect()}
     assert "/items" in {r.value for r in extract.strings(lines).collect()}
     assert "broken.ts" in {r.file for r in extract.diagnostics(lines).collect()}
@@ -156,7 +156,7 @@ fetch("/never", {
 
 
 def test_constructs_over_lines(spark):
-    lines = files.lines(files.from_rows(spark, [("l.py", LONG_PY), ("l.ts", LONG_TS)]))
+    lines = tokens.tokens(files.from_rows(spark, [("l.py", LONG_PY), ("l.ts", LONG_TS)]))
     got = {(r.line, r.specifier, r.imported, r.local) for r in extract.imports(lines).collect()}
     assert got == {(1, "a.b", "One", "One"), (1, "a.b", "Two", "Zwei"), (5, "c", "d", "d"), (5, "c", "e", "e"), (1, "./ab", "a", "a"), (1, "./ab", "B", "C")}
     calls = extract.http_calls(lines).collect()
@@ -171,7 +171,7 @@ def test_constructs_over_lines(spark):
 
 def test_source_to_match(spark):
     """Client call in TypeScript to handler in Python, through the composed router prefix."""
-    lines = files.lines(repo(spark))
+    lines = tokens.tokens(repo(spark))
     declared, included = extract.routers(lines)
     routers = declared.union(spark.createDataFrame([("main.py", 0, "main", None, False)], declared.schema))
     bound = spark.createDataFrame([("api/app.py", "main", "declared", "main.py")], "file string, name string, status string, declared_in string")
@@ -186,7 +186,7 @@ def test_source_to_match(spark):
 
 
 def test_orm_models(spark):
-    lines = files.lines(files.from_rows(spark, [("a.py", "class Order(Base):\n    pass\nclass Item(models.Model):\n    pass\n"), ("b.py", "class Item(Base):\n    pass\n")]))
+    lines = tokens.tokens(files.from_rows(spark, [("a.py", "class Order(Base):\n    pass\nclass Item(models.Model):\n    pass\n"), ("b.py", "class Item(Base):\n    pass\n")]))
     classes = extract.symbols(lines).where("kind = 'class'").withColumn("table", F.lit(None).cast("string"))
     known, twice = orm.models(classes)
     assert [(r.name, r.flavour) for r in known.collect()] == [("Order", "sqlalchemy")] and [r.name for r in twice.collect()] == ["Item"]
@@ -215,11 +215,11 @@ def test_strings_over_lines_declare_nothing(spark):
     got = [(r.line, r.code) for r in files.lines(read).orderBy("line").collect()]
     assert len(got) == doc.count("\n") + 1 == files.lines(read, raw=True).count()
     assert got[0] == (1, "''") and got[4] == (5, 'x = """one"""  # it\'s "plain"') and got[5] == (6, "SQL = ''") and got[7] == (8, "; y = 1")
-    assert [(r.line, r.path_value, r.handler) for r in extract.routes(files.lines(read)).collect()] == [(9, "/yes", "f")]
+    assert [(r.line, r.path_value, r.handler) for r in extract.routes(tokens.tokens(read)).collect()] == [(9, "/yes", "f")]
 
 
 def test_many_diagnostics_are_cut_and_said(spark):
-    rows = files.lines(files.from_rows(spark, [("a.ts", ")\n" * 40), ("b.ts", ")\n" * 25), ("c.ts", "f(')')\n")]))
+    rows = tokens.tokens(files.from_rows(spark, [("a.ts", ")\n" * 40), ("b.ts", ")\n" * 25), ("c.ts", "f(')')\n")]))
     got = extract.diagnostic_places(rows).collect()
     assert sorted(r.line for r in got if r.file == "b.ts") == list(range(1, 26))
     assert [(r.line, r.kind) for r in got if r.file == "a.ts" and r.kind == "truncated"] == [(None, "truncated")] and len([r for r in got if r.file == "a.ts"]) == 26
