@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,22 +148,55 @@ def set_difference(declared: DataFrame, scored: DataFrame) -> DataFrame:
     return left.unionByName(scored.select(*declared.columns).subtract(declared).withColumn("side", F.lit("scored-only")))
 
 
-def records_digest(records: DataFrame, columns: list[str], order: list[str], most: int = 1_000_000) -> DataFrame:
-    """Number of records and SHA-256 of the JSON list of their ``columns``, compact, in the given order.
+def records_digest(records: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """Number of records and SHA-256 of the JSON list of their ``columns``, compact, in the given order, as Python's json module prints it.
 
-    A digest of one text needs all of it in one place, so records beyond ``most`` are an error and not cut. Columns are text or numbers.
+    The digest of one text is sequential: records are sorted by range on the cluster and their texts streamed through one task, which holds a batch at a time.
+    Columns are text, numbers or booleans.
     """
-    if records.count() > most:
-        raise ValueError(f"more than {most} records cannot be digested as one text")
-    row = F.concat(F.lit("["), F.concat_ws(",", *(_json(F.col(c), records.schema[c].dataType) for c in columns)), F.lit("]"))
-    listed = records.select(F.struct(*order, row.alias("__row")).alias("r"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["__row"]), ",")
-    return listed.agg(F.count("*").alias("records"), F.sha2(F.concat(F.lit("["), body, F.lit("]")), 256).alias("digest"))
-
-
-def _json(value: Column, kind: T.DataType) -> Column:
-    """A value as compact JSON: null, a number as it prints, or text in quotes with what JSON needs escaped."""
-    if not isinstance(kind, T.StringType):
+    row = F.concat(F.lit("["), F.concat_ws(",", *(json_text(F.col(c), records.schema[c].dataType) for c in columns)), F.lit("]"))
+    listed = records.select(*order, row.alias("__row")).orderBy(*order).select("__row")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, n = hashlib.sha256(b"["), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                sha.update((b"," if n else b"") + text.encode())
+                n += 1
+        sha.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sha.hexdigest()])], names=["records", "digest"])
+
+    return listed.coalesce(1).mapInArrow(digest, "records long, digest string")
+
+
+def json_text(value: Column, kind: T.DataType) -> Column:
+    """A value as Python's json module prints it: null, true, a number, or text in quotes with everything beyond ASCII as \\uXXXX."""
+    if isinstance(kind, T.StringType):
+        unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+        def shown(c: Column) -> Column:
+            n = F.ascii(c)
+            short = F.element_at(F.create_map(*(F.lit(x) for pair in {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}.items() for x in pair)), n)
+            pair = F.concat(unit(F.lit(0xD800) + F.call_function("shiftright", n - 0x10000, F.lit(10))), unit(F.lit(0xDC00) + n.bitwiseAND(0x3FF)))
+            return F.when(short.isNotNull(), short).when((n < 32) | (n.between(128, 0xFFFF)), unit(n)).when(n > 0xFFFF, pair).otherwise(c)
+
+        plain = value.rlike(r'^[ !#-\[\]-\x7F]*$')
+        text = F.when(plain, value).otherwise(F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), shown), ""))
+        return F.when(value.isNull(), "null").otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+    if not isinstance(kind, (T.DoubleType, T.FloatType)):
         return F.coalesce(value.cast("string"), F.lit("null"))
-    text = F.to_json(F.struct(F.coalesce(value, F.lit("")).alias("x")))
-    return F.when(value.isNull(), "null").otherwise(F.substring(text, F.lit(6), F.length(text) - 6))
+    number = value.cast("double")
+    text = F.abs(number).cast("string")
+    part = lambda k: F.regexp_extract(text, r"^(\d+)\.(\d+)(?:E(-?\d+))?$", k)
+    all_ = F.concat(part(1), part(2))
+    lead = F.length(all_) - F.length(F.ltrim(all_, F.lit("0")))
+    digits, zero = F.regexp_replace(F.ltrim(all_, F.lit("0")), "0+$", ""), number == 0
+    e = F.length(part(1)) - 1 + F.when(part(3) != "", part(3).cast("int")).otherwise(0) - lead
+    tail = lambda d, k: F.when(F.length(d) > k, F.substring(d, k + 1, F.length(d))).otherwise("0")
+    whole = F.concat(F.rpad(F.substring(digits, F.lit(1), e + 1), e + 1, F.lit("0")), F.lit("."), tail(digits, e + 1))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    power = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+    science = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(""), F.lit("e"), power)
+    shown = F.when(zero, "0.0").when((e >= 0) & (e < 16), whole).when((e < 0) & (e >= -4), small).otherwise(science)
+    sign = F.when((number < 0) | ((number == 0) & F.startswith(number.cast("string"), F.lit("-"))), "-").otherwise("")
+    return F.when(number.isNull(), "null").when(F.isnan(number), "NaN").when(F.abs(number) == float("inf"), F.concat(sign, F.lit("Infinity"))).otherwise(F.concat(sign, shown))

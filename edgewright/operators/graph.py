@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,15 +81,15 @@ def trace(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame
     ``stop`` is chain-end (no edge leads on), else max-depth, or cycle where the next node is on the path already.
     A recursive query, so its number of paths grows as the graph's does: dense graphs need a small depth.
     """
-    spark = edges.sparkSession
-    edges.select("source", "target").distinct().createOrReplaceTempView("__trace_edges")
-    starts.select("node").distinct().createOrReplaceTempView("__trace_starts")
+    spark, links, begins = edges.sparkSession, *(f"trace_{uuid.uuid4().hex}" for _ in range(2))
+    edges.select("source", "target").distinct().createOrReplaceTempView(links)
+    starts.select("node").distinct().createOrReplaceTempView(begins)
     walked = spark.sql(f"""
       with recursive walk(path, node, depth, cycle) max recursion level {max_depth + 1} as (
-        select array(node), node, 0, false from __trace_starts
+        select array(node), node, 0, false from {begins}
         union all
         select array_append(w.path, e.target), e.target, w.depth + 1, array_contains(w.path, e.target)
-        from walk w join __trace_edges e on w.node = e.source
+        from walk w join {links} e on w.node = e.source
         where not w.cycle and w.depth < {max_depth}
       )
       select path, node, depth, cycle from walk limit all

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.functions import paths as P
+from edgewright.operators.intervals import stabbed
+from edgewright.operators.rounds import kept
 
 #: Fixed bounds: hops through re-exports, inclusions of routers, substitutions of constants.
 HOPS, INCLUSIONS, SUBSTITUTIONS = 4, 12, 8
@@ -14,16 +18,19 @@ HOPS, INCLUSIONS, SUBSTITUTIONS = 4, 12, 8
 def first_contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """For each outer span (file, outer_id, start, end) the inner span of the least ``seq`` within it, with its ``value``.
 
-    Spans meet by file; the first is a partial minimum, not a sort.
+    Where both have a ``start_column`` the inner one's must not be less, on whatever line. Inner spans look for the outer ones around their start in
+    dyadic cells; the first is a partial minimum, not a sort.
     """
-    o = outer.select("file", "outer_id", F.col("start").alias("from"), F.col("end").alias("to"))
-    inside = o.join(inner.select("file", "seq", "start", "end", "value"), "file").where((F.col("start") >= F.col("from")) & (F.col("end") <= F.col("to")))
+    columns = "start_column" in outer.columns and "start_column" in inner.columns
+    o = outer.select("file", "outer_id", F.col("start").alias("from"), F.col("end").alias("to"), *([F.col("start_column").alias("from_column")] if columns else []))
+    inside = stabbed(inner.select("file", "seq", "start", "end", "value", *(["start_column"] if columns else [])), o, ["file"], "start", "from", "to").where(F.col("end") <= F.col("to"))
+    inside = inside.where(F.col("start_column") >= F.col("from_column")) if columns else inside
     return inside.groupBy("file", "outer_id").agg(F.min(F.struct("seq", "value")).alias("v")).select("file", "outer_id", F.col("v.seq").alias("seq"), F.col("v.value").alias("value"))
 
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """For each point (file, point_id, line) the shortest span (file, seq, name, start, end) around it, the first of equals; null without one."""
-    met = points.join(spans.select("file", "seq", "name", "start", "end"), "file").where(F.col("line").between(F.col("start"), F.col("end")))
+    """For each point (file, point_id, line) the shortest span (file, seq, name, start, end) around it, the first of equals; null without one. They meet in dyadic cells."""
+    met = stabbed(points.select("file", "point_id", "line"), spans.select("file", "seq", "name", "start", "end"), ["file"], "line", "start", "end")
     best = met.groupBy("file", "point_id").agg(F.min(F.struct(F.col("end") - F.col("start"), "seq", "name")).alias("b"))
     return points.join(best.select("file", "point_id", F.col("b.name").alias("name")), ["file", "point_id"], "left")
 
@@ -104,7 +111,7 @@ def compose_prefixes(routers: DataFrame, mounts: DataFrame) -> DataFrame:
     Known prefixes run from the outermost router inwards. A prefix that is no literal, a cycle or too deep a chain makes it
     unresolved, several mounts ambiguous; equal mounts count each. Refused routers stay, with the reason.
     """
-    spark = routers.sparkSession
+    spark, view = routers.sparkSession, f"routers_{uuid.uuid4().hex}"
     counted = mounts.groupBy("child").agg(F.count("*").alias("n"), F.min(F.struct("parent", "prefix", "prefix_unresolved")).alias("m"))
     r = routers.select("router", F.coalesce("prefix", F.lit("")).alias("own"), "prefix_unresolved")
     r.join(counted, r["router"] == counted["child"], "left").select(
@@ -115,10 +122,10 @@ def compose_prefixes(routers: DataFrame, mounts: DataFrame) -> DataFrame:
         F.col("m.parent").alias("parent"),
         F.coalesce(F.col("m.prefix"), F.lit("")).alias("at_mount"),
         F.coalesce(F.col("m.prefix_unresolved"), F.lit(False)).alias("mount_lost"),
-    ).createOrReplaceTempView("__routers")
+    ).createOrReplaceTempView(view)
     walked = spark.sql(f"""
       with recursive walk(router, at, prefix, chain, depth, status) max recursion level {INCLUSIONS + 3} as (
-        select router, cast(router as string), cast('' as string), array(cast(router as string)), 0, cast(null as string) from __routers
+        select router, cast(router as string), cast('' as string), array(cast(router as string)), 0, cast(null as string) from {view}
         union all
         select w.router, cast(coalesce(r.parent, r.router) as string), concat(case when r.mounts = 1 then r.at_mount else '' end, r.own, w.prefix),
                case when r.mounts = 1 and not r.own_lost and not r.mount_lost then array_append(w.chain, cast(r.parent as string)) else w.chain end, w.depth + 1,
@@ -127,7 +134,7 @@ def compose_prefixes(routers: DataFrame, mounts: DataFrame) -> DataFrame:
                     when r.mounts > 1 then 'ambiguous'
                     when r.mount_lost then 'unresolved: included with a prefix that is not a literal'
                     when array_contains(w.chain, cast(r.parent as string)) or w.depth >= {INCLUSIONS} then 'unresolved: cycle or too deep' end
-        from walk w join __routers r on w.at = cast(r.router as string)
+        from walk w join {view} r on w.at = cast(r.router as string)
         where w.status is null
       )
       select * from walk where status is not null limit all
@@ -189,3 +196,43 @@ def fold(values: DataFrame, bindings: DataFrame, depth: int = SUBSTITUTIONS) ->
     )
     whole = F.forall("parts", lambda p: p["kind"] == "literal")
     return rows.select("id", "file", F.array_join(shown, "").alias("shown"), F.when(whole, F.array_join(shown, "")).alias("value"))
+
+
+def evaluate(values: DataFrame, bindings: DataFrame, depth: int = SUBSTITUTIONS) -> DataFrame:
+    """(id, file, shown, value, verdict) of values (id, file, parts) whose parts are literal, ref, env or unknown, by bindings (file, name, seq, parts).
+
+    Each name put in its place costs one of ``depth``, in a binding of several parts two; parts beyond are unknown, and all of a binding that begins there. The names on
+    the way to a part are carried, so a name met again is a cycle and ends at once. ``verdict`` is resolved, or the first that holds of cycle, depth, unknown and environment. Rounds end
+    when no name is left; only open parts are joined again.
+    """
+    last = bindings.groupBy("file", F.col("name").alias("text")).agg(F.max(F.struct("seq", "parts")).alias("b")).select("file", "text", F.col("b.parts").alias("bound"))
+    flat = values.select("id", "file", F.posexplode("parts").alias("pos", "p"))
+    state = lambda kind, text, why, used, seen, place: [kind.alias("kind"), text.alias("text"), why.alias("why"), used.cast("int").alias("used"), seen.alias("seen"), place.alias("place")]
+    none, ref = F.lit(None).cast("string"), F.col("p.kind") == "ref"
+    rows = flat.select("id", "file", *state(F.col("p.kind"), F.col("p.text"), F.when(F.col("p.kind") == "unknown", "unknown"), F.lit(0), F.when(ref, F.array("p.text")).otherwise(F.array().cast("array<string>")), F.array("pos")))
+    done = []
+    for _ in range(depth + 1):
+        rows = kept(rows, "parts")
+        done.append(rows.where("kind <> 'ref'"))
+        live = rows.where("kind = 'ref'")
+        if live.isEmpty():
+            break
+        met = live.join(last, ["file", "text"], "left")
+        cost = F.col("used") + F.when(F.size("bound") == 1, 1).otherwise(2)
+        spent = (F.col("used") >= depth) | (cost >= depth)
+        lost = met.where(F.col("bound").isNull()).select("id", "file", *state(F.lit("unknown"), F.col("text"), F.lit("unknown"), F.col("used"), F.col("seen"), F.col("place")))
+        open_ = met.where(F.col("bound").isNotNull()).select("id", "file", "seen", "place", cost.alias("cost"), spent.alias("spent"), F.posexplode("bound").alias("k", "p"))
+        again = ref & F.array_contains("seen", F.col("p.text"))
+        kind = F.when(F.col("spent") | again, "unknown").otherwise(F.col("p.kind"))
+        why = F.when(F.col("spent"), "depth").when(again, "cycle").when(F.col("p.kind") == "unknown", "unknown")
+        seen = F.when(ref, F.array_append("seen", F.col("p.text"))).otherwise(F.col("seen"))
+        more = open_.select("id", "file", *state(kind, F.col("p.text"), why, F.col("cost"), seen, F.array_append("place", F.col("k"))))
+        rows = lost.unionByName(more)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    shown = F.when(F.col("kind") == "literal", F.col("text")).when(F.col("kind") == "env", F.concat(F.lit("{env:"), "text", F.lit("}"))).otherwise("{unknown}")
+    has = lambda w: F.max((F.coalesce("why", F.when(F.col("kind") == "env", "environment")) == w).cast("int")) == 1
+    verdict = F.when(has("cycle"), "cycle").when(has("depth"), "depth").when(has("unknown"), "unknown").when(has("environment"), "environment").otherwise("resolved")
+    told = out.groupBy("id", "file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", shown.alias("shown")))), lambda x: x["shown"]), "").alias("shown"), verdict.alias("verdict"))
+    return told.select("id", "file", "shown", F.when(F.col("verdict") == "resolved", F.col("shown")).alias("value"), "verdict")
