@@ -178,9 +178,9 @@ def json_text(value: Column, kind: T.DataType) -> Column:
             n = F.ascii(c)
             short = F.element_at(F.create_map(*(F.lit(x) for pair in {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}.items() for x in pair)), n)
             pair = F.concat(unit(F.lit(0xD800) + F.call_function("shiftright", n - 0x10000, F.lit(10))), unit(F.lit(0xDC00) + n.bitwiseAND(0x3FF)))
-            return F.when(short.isNotNull(), short).when((n < 32) | (n.between(128, 0xFFFF)), unit(n)).when(n > 0xFFFF, pair).otherwise(c)
+            return F.when(short.isNotNull(), short).when((n < 32) | (n.between(127, 0xFFFF)), unit(n)).when(n > 0xFFFF, pair).otherwise(c)
 
-        plain = value.rlike(r'^[ !#-\[\]-\x7F]*$')
+        plain = value.rlike(r'^[ !#-\[\]-~]*$')
         text = F.when(plain, value).otherwise(F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), shown), ""))
         return F.when(value.isNull(), "null").otherwise(F.concat(F.lit('"'), text, F.lit('"')))
     if not isinstance(kind, (T.DoubleType, T.FloatType)):
