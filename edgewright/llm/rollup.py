@@ -61,12 +61,15 @@ class TokenRollup:
         newest = max((int(n) for n in names if n.isdigit()), default=0)
         if not newest:
             return 0, None, []
-        stream = self._files.open(self._at(f"{self._path}/versions/{newest}"))
+        held = self._held(newest)
+        return newest, held["totals"], held["batches"]
+
+    def _held(self, number: int) -> dict:
+        stream = self._files.open(self._at(f"{self._path}/versions/{number}"))
         try:
-            held = json.loads(bytes(stream.readAllBytes()))
+            return json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
-        return newest, held["totals"], held["batches"]
 
     def _publish(self, number: int, table: str, batches: list[str]) -> None:
         draft, final = self._at(f"{self._path}/drafts/{uuid.uuid4().hex}"), self._at(f"{self._path}/versions/{number}")
@@ -108,12 +111,16 @@ class TokenRollup:
         return self._read(table).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
     def tidy(self) -> None:
-        """Delete the totals tables of earlier versions, once nothing reads them."""
-        table = self._version()[1]
-        for f in self._files.listStatus(self._at(self._path)):
-            name = f.getPath().getName()
-            if name.startswith("totals-") and name != table:
-                self._files.delete(f.getPath(), True)
+        """Delete the totals tables of earlier versions, once nothing reads them.
+
+        Only tables that an earlier version names go: one that a writer has made and not yet published, or that is newer than the version read
+        here, is named by none of those. Tables of writers that died stay. Version files stay too: a slow writer must find its number taken.
+        """
+        number, table, _ = self._version()
+        for older in range(1, number):
+            name = self._held(older)["totals"]
+            if name != table:
+                self._files.delete(self._at(f"{self._path}/{name}"), True)
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -130,6 +137,8 @@ def _bpe_counts(batches: Iterator[pa.Array], path: str) -> Iterator[pa.Array]:
         yield pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64))
 
 
+#: Texts that sentencepiece encodes in one call.
+TEXTS = 64
 _pieces: dict[str, sentencepiece.SentencePieceProcessor] = {}
 
 
@@ -137,11 +146,17 @@ def _piece_counts(batches: Iterator[pa.Array], path: str) -> Iterator[pa.Array]:
     if path not in _pieces:
         _pieces[path] = sentencepiece.SentencePieceProcessor(model_file=path)
     for column in batches:
-        yield pa.array([len(_pieces[path].encode(t.as_py())) if t.is_valid else 0 for t in column], pa.int64())
+        counts: list[int] = []
+        for a in range(0, len(column), TEXTS):
+            counts += map(len, _pieces[path].encode([t or "" for t in column.slice(a, TEXTS).to_pylist()], num_threads=1))
+        yield pa.array(counts, pa.int64())
 
 
 def token_count(text: Column, tokenizer: str) -> Column:
-    """Tokens of a whole text (null: 0) by a tokenizer file, without special tokens: ``.json`` byte-level BPE or ``.model`` of sentencepiece."""
+    """Tokens of a whole text (null: 0) by a tokenizer file, without special tokens: ``.json`` byte-level BPE or ``.model`` of sentencepiece.
+
+    Texts are counted whole, however long; repeated rows are counted each.
+    """
     count = _bpe_counts if tokenizer.endswith(".json") else _piece_counts
 
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -210,6 +210,28 @@ def test_token_rollup(spark, tmp_path):
     assert total.batches() == ["1", "2", "none"] and set(map(tuple, total.totals().collect())) == want
 
 
+def test_tidying_spares_what_is_not_yet_published(spark, tmp_path):
+    schema = "source string, lang string, tokenizer string, change string, tokens long, old_tokens long"
+    one = spark.createDataFrame([("a", "en", "t", "insert", 5, None)], schema)
+    writer, other = (rollup.TokenRollup(spark, str(tmp_path / "totals")) for _ in range(2))
+    writer.commit("1", one)
+    writer.commit("2", one)
+    publish = rollup.TokenRollup._publish
+
+    def between(self, *rest):
+        other.tidy()
+        publish(self, *rest)
+
+    rollup.TokenRollup._publish = between
+    try:
+        assert writer.commit("3", one)
+    finally:
+        rollup.TokenRollup._publish = publish
+    assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "t", 3, 15)]
+    other.tidy()
+    assert len(list((tmp_path / "totals").glob("totals-*"))) == 1 and other.batches() == ["1", "2", "3"]
+
+
 def test_rollup_query_equals_brute_force(spark):
     import sentencepiece
     from tokenizers import Tokenizer
@@ -220,9 +242,10 @@ def test_rollup_query_equals_brute_force(spark):
     want = Counter()
     for r in catalog.documents(spark, sf).collect():
         t0, t1 = len(byte.encode(r.text or "", add_special_tokens=False).ids), len(piece.encode(r.text or ""))
+        t2 = len(byte.encode((r.text or "").lower(), add_special_tokens=False).ids)
         low, toxic = (r.doc_id in labels and labels[r.doc_id].quality == 0), (r.doc_id in labels and labels[r.doc_id].toxic == 1)
         want[r.source, r.lang, "byte-bpe-50k", "d"] += 0 if low else 1
-        want[r.source, r.lang, "byte-bpe-50k", "t"] += 0 if low else t1 if toxic else t0
+        want[r.source, r.lang, "byte-bpe-50k", "t"] += 0 if low else t2 if toxic else t0
         want[r.source, r.lang, "piece-bpe-32k", "d"] += 1
         want[r.source, r.lang, "piece-bpe-32k", "t"] += t1
     got = Counter()
