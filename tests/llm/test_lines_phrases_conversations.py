@@ -253,3 +253,48 @@ def test_scores_are_exact_beyond_64_bits(spark):
 
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
+
+
+# ---- toxicity: the score of a given model
+
+
+def test_toxicity_score_equals_the_bags_by_hand(spark):
+    from edgewright.llm import kernels as K
+    from edgewright.llm import toxicity
+
+    rng = np.random.default_rng(8)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.7, 0.4, -0.2, 0.3)
+    one = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & one
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & one
+        return x ^ (x >> 31)
+
+    def word_score(word):
+        raw = np.frombuffer(word, np.uint8)
+        found = [int(K.Spans(raw, K.FIXED_KEY).hash(np.array([0]), np.array([len(raw)]))[0])]
+        add = lambda piece, kind: found.append((int.from_bytes(piece, "little") + kind * 0x9E3779B97F4A7C15) & one)
+        for n in range(3, 7):
+            for k in range(len(word) - n + 1):
+                add(word[k : k + n], n)
+        for n in range(2, 9):
+            if len(word) >= n:
+                add(word[:n], 16 + n)
+                add(word[-n:], 32 + n)
+        return float(np.mean([model.buckets[mix(x) % toxicity.BUCKETS] for x in found]))
+
+    def by_hand(text):
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower(text or "").encode())
+        if not words:
+            return 1 / (1 + np.exp(-model.empty))
+        s = [word_score(w) for w in words]
+        high = max([(a + b) / 2 for a, b in zip(s, s[1:])] or s)
+        return 1 / (1 + np.exp(-(model.mean * np.mean(s) + model.slope * high + model.offset)))
+
+    texts = ["You are BAD", "a", "", None, "--", "straße Ünïcode x1y2", "the same the same word", "w" * 90 + " long", "one two three four five six seven " * 5]
+    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in toxicity.score(rows, model).collect()}
+    for k, t in enumerate(texts):
+        assert abs(got[k]["score"] - by_hand(t)) < 2e-6 and got[k]["predicted"] == int(by_hand(t) >= 0.5), t
+    assert toxicity.score(rows.limit(0), model).count() == 0
