@@ -197,11 +197,11 @@ def _like_path(kind: Column, value: Column, parts: Column) -> Column:
 
 
 def http_calls(tokens: DataFrame) -> DataFrame:
-    """(file, language, line, seq, callee, scope, method, url_kind, url_value, url_parts, from_config): client requests.
+    """(file, language, line, seq, callee, scope, method, url_kind, url_value, url_parts, from_config, url_source): client requests.
 
     ``fetch``, verbs of known HTTP objects, verbs of any object with a path-like first argument, and in TypeScript calls with an object that has a path-like
     ``url`` or ``endpoint``. A verb of an unknown object whose other arguments may all be handlers declares a route and is no request. ``scope`` is
-    the statement of the function around.
+    the statement of the function around, ``url_source`` the expression of a dynamic URL.
     """
     found = items(tokens)
     rows = _arguments(_calls(tokens).where("not fresh"), found)
@@ -228,7 +228,7 @@ def http_calls(tokens: DataFrame) -> DataFrame:
     method = F.when(by_config, F.coalesce(_verb(F.col("config.method")), F.col("verb"))).when(fetch, _verb(F.get(asked, F.lit(0))["method"])).otherwise(F.col("verb"))
     pick = lambda field: F.when(by_config, F.col(f"config.url.{field}")).otherwise(F.col(f"first.{field}"))
     return rows.where(by_config | F.coalesce(plain, F.lit(False))).select(
-        "file", "language", "line", "seq", "callee", F.try_element_at("scopes", F.lit(-1)).alias("scope"), method.alias("method"), pick("kind").alias("url_kind"), pick("value").alias("url_value"), pick("parts").alias("url_parts"), by_config.alias("from_config")
+        "file", "language", "line", "seq", "callee", F.try_element_at("scopes", F.lit(-1)).alias("scope"), method.alias("method"), pick("kind").alias("url_kind"), pick("value").alias("url_value"), pick("parts").alias("url_parts"), by_config.alias("from_config"), F.when(~by_config & (F.col("first.kind") == "dynamic"), F.coalesce("first.dotted", F.array_join("first.texts", " "))).alias("url_source")
     )
 
 

@@ -199,7 +199,7 @@ def fold(values: DataFrame, bindings: DataFrame, depth: int = SUBSTITUTIONS) ->
 
 
 def evaluate(values: DataFrame, bindings: DataFrame, depth: int = SUBSTITUTIONS) -> DataFrame:
-    """(id, file, shown, value, verdict) of values (id, file, parts) whose parts are literal, ref, env or unknown, by bindings (file, name, seq, parts).
+    """(id, file, shown, value, verdict, parts) of values (id, file, parts) whose parts are literal, ref, env or unknown, by bindings (file, name, seq, parts).
 
     Each name put in its place costs one of ``depth``, in a binding of several parts two; parts beyond are unknown, and all of a binding that begins there. The names on
     the way to a part are carried, so a name met again is a cycle and ends at once. ``verdict`` is resolved, or the first that holds of cycle, depth, unknown and environment. Rounds end
@@ -234,5 +234,7 @@ def evaluate(values: DataFrame, bindings: DataFrame, depth: int = SUBSTITUTIONS)
     shown = F.when(F.col("kind") == "literal", F.col("text")).when(F.col("kind") == "env", F.concat(F.lit("{env:"), "text", F.lit("}"))).otherwise("{unknown}")
     has = lambda w: F.max((F.coalesce("why", F.when(F.col("kind") == "env", "environment")) == w).cast("int")) == 1
     verdict = F.when(has("cycle"), "cycle").when(has("depth"), "depth").when(has("unknown"), "unknown").when(has("environment"), "environment").otherwise("resolved")
-    told = out.groupBy("id", "file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", shown.alias("shown")))), lambda x: x["shown"]), "").alias("shown"), verdict.alias("verdict"))
-    return told.select("id", "file", "shown", F.when(F.col("verdict") == "resolved", F.col("shown")).alias("value"), "verdict")
+    listed = F.sort_array(F.collect_list(F.struct("place", "kind", "text", shown.alias("shown"))))
+    told = out.groupBy("id", "file").agg(listed.alias("all"), verdict.alias("verdict"))
+    text, parts = F.array_join(F.transform("all", lambda x: x["shown"]), ""), F.transform("all", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text")))
+    return told.select("id", "file", text.alias("shown"), F.when(F.col("verdict") == "resolved", text).alias("value"), "verdict", parts.alias("parts"))

@@ -67,7 +67,7 @@ def evaluation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bindings = bound.select(F.lit("f").alias("file"), F.concat(F.lit("n"), F.col("k").cast("string")).alias("name"), F.lit(0).alias("seq"), parts.alias("parts"))
     name = F.concat(F.lit("n"), (F.col("c_custkey") % 27).cast("string"))
     values = spark.table("customer").select(F.col("c_custkey").alias("id"), F.lit("f").alias("file"), F.array(part("literal", F.lit("/c")), part("ref", name)).alias("parts"))
-    return resolution.evaluate(values, bindings).drop("file")
+    return resolution.evaluate(values, bindings).drop("file", "parts")
 
 
 # ---- imports
