@@ -76,17 +76,21 @@ def method_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", method.alias("method"), P.parse_method(method).alias("verb"))
 
 
-_SHAPES = {1: "/orders/{*}", 2: "/orders/{*}", 3: "/customers/{*}/orders", 4: "/customers/{*}/orders/", 5: "/{*}", 6: "/files/{**}"}
-_SHAPES |= {7: "/", 8: "/customers/{*}/orders", 9: "/suppliers/list", 10: "/suppliers/{*}", 11: "/"}
-_STATUS = {7: "unsupported", 11: "unsupported"}
-_VALUES = ", ".join(f"({i}, '{s}', '{_STATUS.get(i, 'exact')}')" for i, s in _SHAPES.items())
+_DECLARED_ROUTES = """select cast(s_suppkey as bigint) as route_id, concat('r', s_suppkey % 3, '.py') as file, 'python' as language, cast(s_suppkey as int) as line,
+  case when s_suppkey % 6 in (1, 2) then 'url-conf-entry' else 'decorator' end as style, array('get') as methods, case when s_suppkey % 6 = 5 then 'dynamic' else 'literal' end as path_kind,
+  case s_suppkey % 6 when 0 then concat('/s', s_suppkey, '/{id}') when 1 then concat('files/', s_suppkey, '/<path:rest>') when 2 then '^x/(y)$' when 3 then concat('/a//', s_suppkey, '/:id/') when 4 then concat('/w/', s_suppkey, '/**') end as path_value,
+  cast(null as array<struct<kind:string,value:string,source:string>>) as path_parts, 'app' as receiver, 'h' as handler from supplier"""
 
 
-@query(f"select * from (values {_VALUES}) t(route_id, shape, status)")
+@query(
+    """select s_suppkey as route_id, case s_suppkey % 6 when 0 then '/s' || s_suppkey || '/{*}' when 1 then '/files/' || s_suppkey || '/{**}' when 3 then '/a/' || s_suppkey || '/{*}/' when 4 then '/w/' || s_suppkey || '/{**}' else '/' end as shape,
+  case when s_suppkey % 6 in (2, 5) then 'unsupported' else 'exact' end as status from supplier"""
+)
 def route_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shape and status of the declared routes, the refused ones too."""
-    rows = canonical.canonical_routes(O.routes(spark))
-    return rows.select(F.col("route_id").cast("int").alias("route_id"), P.shape(F.col("segments"), F.col("trailing_slash")).alias("shape"), "status")
+    """Shape and status of the routes that suppliers declare in five dialects, the refused ones too."""
+    _read(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    rows = canonical.canonical_routes(spark.sql(_DECLARED_ROUTES))
+    return rows.select("route_id", P.shape(F.col("segments"), F.col("trailing_slash")).alias("shape"), "status")
 
 
 _CLIENTS = f"""

@@ -298,3 +298,26 @@ def merged_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = spark.sql("select p_partkey as id, 'M' || p_partkey as model, 'g.py' as file, p_partkey as line, case when p_partkey % 6 = 0 then 't' end as tab, case when p_partkey % 2 = 1 then 'read anew' end as note from part where p_partkey % 3 = 0")
     scope = labelling.model_scope(F.col("model"), F.lit("sqlalchemy"), F.col("tab"), F.when(F.col("tab").isNotNull(), "__tablename__"))
     return scores.merged_truth(spark.sql(_OLD.replace("varchar(9)", "string")), fresh.withColumn("scope", scope))
+
+
+@query(
+    """select 'a' || s_suppkey || '/r.py' as file, 1 as line, case when s_suppkey % 7 = 3 or s_suppkey % 5 = 4 then null else 'GET' end as method,
+  case when s_suppkey % 7 = 3 or s_suppkey % 5 = 4 then null when s_suppkey % 4 = 1 then '/r' || s_suppkey || '/x' else '/hub/v' || s_suppkey || '/r' || s_suppkey || '/x' end as path,
+  case when s_suppkey % 7 = 3 then 'prefix is not a literal' when s_suppkey % 5 = 4 then 'mounted in several places' end as refusal from supplier
+  union all select 'a' || s_suppkey || '/z.py', 2, null, null, '`router` is not a router this project declares' from supplier where s_suppkey % 3 = 0"""
+)
+def served_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Served paths as labellers read them: every supplier has a router of the same name, mounted once, twice alike, twice apart, or on what is no router."""
+    views(spark, sf_dir, "supplier")
+    routers = spark.sql(
+        """select concat('a', s_suppkey, '/r.py') as file, 'router' as name, case when s_suppkey % 7 <> 3 then concat('/r', s_suppkey) end as prefix, s_suppkey % 7 = 3 as prefix_unresolved from supplier
+        union all select 'b/__init__.py', 'hub', '/hub', false from (select max(s_suppkey) from supplier)"""
+    )
+    inclusions = spark.sql(
+        """select concat('a', s_suppkey, '/m.py') as file, case when s_suppkey % 4 = 1 and s_suppkey % 5 <> 4 then 'app' else 'hub' end as parent, 'router' as child, concat('/v', s_suppkey) as prefix, false as prefix_unresolved from supplier
+        union all select concat('a', s_suppkey, '/m.py'), case when s_suppkey % 4 = 1 and s_suppkey % 5 <> 4 then 'app' else 'hub' end, 'router', concat('/v', s_suppkey), false from supplier where s_suppkey % 2 = 0
+        union all select concat('a', s_suppkey, '/m.py'), 'hub', 'router', '/other', false from supplier where s_suppkey % 5 = 4"""
+    )
+    bound = spark.sql("select concat('a', s_suppkey, '/m.py') as file, 'router' as name, concat('a', s_suppkey, '.r') as binding from supplier union all select concat('a', s_suppkey, '/m.py'), 'hub', 'b' from supplier union all select concat('a', s_suppkey, '/z.py'), 'router', '*' from supplier")
+    routes = spark.sql("select concat('a', s_suppkey, '/r.py') as file, 1 as line, 'router' as receiver, 'get' as method, '/x' as path from supplier union all select concat('a', s_suppkey, '/z.py'), 2, 'router', 'get', '/y' from supplier where s_suppkey % 3 = 0")
+    return labelling.served_paths(routes, routers, inclusions, bound)
