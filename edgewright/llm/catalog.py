@@ -67,11 +67,10 @@ COUNTED = {"byte-bpe-50k": TOKENIZER, "piece-bpe-32k": public_tokenizers.path("p
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four batches: all documents counted by the first tokenizer; those labelled of low quality deleted; those labelled
-    toxic revised, their text lower-cased, by the same tokenizer; all documents counted by the second. The second and third are committed twice."""
+    toxic revised to a blanked text, which has no tokens; all documents counted by the second. The second and third are committed twice."""
     counts = [rollup.token_count(F.col("text"), file).alias(f"t{k}") for k, file in enumerate(COUNTED.values())]
-    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    counted, _ = written(docs.select("doc_id", "source", "lang", *counts), "token-counts")
-    revised = docs.join(labels.where("toxic = 1 and quality <> 0").select("doc_id"), "doc_id", "left_semi")
+    counted, _ = written(documents(spark, sf_dir).select("doc_id", "source", "lang", *counts), "token-counts")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     first, second = COUNTED
 
     def deltas(rows: DataFrame, tokenizer: str, change: str, tokens: str, old: str | None = None) -> DataFrame:
@@ -79,13 +78,12 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(change).alias("change"), F.col(tokens).alias("tokens"), before.alias("old_tokens"))
 
     low = counted.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
-    new = revised.select("source", "lang", rollup.token_count(F.col("text"), COUNTED[first]).alias("t0"), rollup.token_count(F.lower("text"), COUNTED[first]).alias("t1"))
-    toxic, _ = written(new, "revised-counts")
+    toxic = counted.join(labels.where("toxic = 1 and quality <> 0").select("doc_id"), "doc_id", "left_semi").withColumn("blank", F.lit(0))
     total = rollup.TokenRollup(spark, new_path(spark, "token-totals"))
     total.commit("0-insert", deltas(counted, first, "insert", "t0"))
     for _ in range(2):
         total.commit("1-delete", deltas(low, first, "delete", "t0"))
-        total.commit("2-revise", deltas(toxic, first, "revise", "t1", "t0"))
+        total.commit("2-revise", deltas(toxic, first, "revise", "blank", "t0"))
     total.commit("3-insert", deltas(counted, second, "insert", "t1"))
     return total.totals()
 

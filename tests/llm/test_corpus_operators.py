@@ -242,10 +242,9 @@ def test_rollup_query_equals_brute_force(spark):
     want = Counter()
     for r in catalog.documents(spark, sf).collect():
         t0, t1 = len(byte.encode(r.text or "", add_special_tokens=False).ids), len(piece.encode(r.text or ""))
-        t2 = len(byte.encode((r.text or "").lower(), add_special_tokens=False).ids)
         low, toxic = (r.doc_id in labels and labels[r.doc_id].quality == 0), (r.doc_id in labels and labels[r.doc_id].toxic == 1)
         want[r.source, r.lang, "byte-bpe-50k", "d"] += 0 if low else 1
-        want[r.source, r.lang, "byte-bpe-50k", "t"] += 0 if low else t2 if toxic else t0
+        want[r.source, r.lang, "byte-bpe-50k", "t"] += 0 if low or toxic else t0
         want[r.source, r.lang, "piece-bpe-32k", "d"] += 1
         want[r.source, r.lang, "piece-bpe-32k", "t"] += t1
     got = Counter()
