@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.operators import graph
-from edgewright.operators.evaluation import records_digest
+from edgewright.operators.evaluation import group_summary, records_digest
 from edgewright.operators.labelling import ACCESS_EVIDENCE
 
 # Fixed values.
@@ -132,3 +132,18 @@ def merged_truth(kept: DataFrame, models: DataFrame) -> DataFrame:
     rest = [c for c in fresh.columns if c not in ("id", "order")]
     first = fresh.unionByName(old).groupBy("id").agg(F.min_by(F.struct(*rest), "order").alias("r"))
     return first.select("id", "r.*")
+
+
+def score_documents(records: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """(keys, json): a result document for each key: its figures, those of its groups by ``by`` in order, and the labels there are.
+
+    Groups are summed before they meet, so a document gathers a row for each group; absent figures are null, not left out.
+    """
+    figures = group_summary(records, keys)
+    groups = group_summary(records, [*keys, by])
+    fields = [c for c in groups.columns if c not in keys]
+    listed = groups.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("groups"))
+    labels = records.groupBy(*keys).agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    whole = figures.join(listed, keys).join(labels, keys)
+    shown = F.struct(*keys, F.struct(*(c for c in figures.columns if c not in keys)).alias("summary"), "groups", "labels")
+    return whole.select(*keys, F.to_json(shown, {"ignoreNullFields": "false"}).alias("json"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgewright.operators import evaluation, labelling, modules, resolution, scores, tracing
-from edgewright.plans.catalog import query
+from edgewright.operators.rounds import shared_folder
+from edgewright.plans import observations
+from edgewright.plans.catalog import _FIG, _NAMES, _REC, _SUM, _VP, query
 from edgewright.plans.observations import views
+from edgewright.sources import files
 
 # ---- spans and points
 
@@ -321,3 +326,14 @@ def served_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound = spark.sql("select concat('a', s_suppkey, '/m.py') as file, 'router' as name, concat('a', s_suppkey, '.r') as binding from supplier union all select concat('a', s_suppkey, '/m.py'), 'hub', 'b' from supplier union all select concat('a', s_suppkey, '/z.py'), 'router', '*' from supplier")
     routes = spark.sql("select concat('a', s_suppkey, '/r.py') as file, 1 as line, 'router' as receiver, 'get' as method, '/x' as path from supplier union all select concat('a', s_suppkey, '/z.py'), 2, 'router', 'get', '/y' from supplier where s_suppkey % 3 = 0")
     return labelling.served_paths(routes, routers, inclusions, bound)
+
+
+@query(_REC + f"g as (select kind, provenance, {_SUM} from r group by kind, provenance), h as (select {_VP} from g) select kind, provenance, {_NAMES}, {_FIG} from h")
+def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result documents by kind of edge, written as JSON to the shared folder, and their groups read back."""
+    made = scores.score_documents(observations.records(spark, sf_dir), ["kind"], "provenance")
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    made.select("json").write.option("maxRecordsPerFile", 1).text(path)  # a document a file
+    group = "provenance string, produced long, true_positive long, false_positive long, unverifiable long, verified long, unverifiable_share double, observed_accuracy double, ci_low double, ci_high double, sample_adequate boolean"
+    shape = "kind string, groups array<struct<" + ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in group.split(", ")).replace("long", "bigint") + ">>"
+    return files.read_documents(spark, path, shape, "groups")

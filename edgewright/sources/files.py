@@ -53,3 +53,12 @@ def lines(files: DataFrame, raw: bool = False) -> DataFrame:
     ok = files.where("status = 'complete'")
     text = F.col("text") if raw else F.when((F.col("language") == "python") & F.col("text").rlike(r"\"{3}|'{3}"), _without_long_strings(F.col("text"))).otherwise(F.col("text"))
     return ok.select(F.col("path").alias("file"), "language", F.posexplode(F.split(text, "\r?\n", -1)).alias("line", "code")).withColumn("line", F.col("line") + 1)
+
+
+def read_documents(spark: SparkSession, path: str, schema: str, listed: str) -> DataFrame:
+    """Rows of JSON documents below a path: the entries of the list ``listed``, each with the document's other columns; documents without the list give none.
+
+    A document may go over lines; one that is torn or of another shape is an error and not passed over.
+    """
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return rows.select(*(c for c in rows.columns if c != listed), F.explode(listed).alias("__one")).select(*(c for c in rows.columns if c != listed), "__one.*")
