@@ -77,6 +77,8 @@ def _parts(batches: Iterator[pa.RecordBatch], longest: int, cells: int, key: byt
             before = np.concatenate([[0], np.cumsum(SEPARATOR[buf])])[starts] + K.owners(first)  # rises at each separator and text
             ids = K.Spans(buf, key).hash(starts, ends)
             for n, places, counts in suffix_intervals(ids, before, longest):
+                if not len(places):  # pieces of single words have no longer phrases
+                    continue
                 words = np.stack([ids[places + k] for k in range(n)])
                 cell = np.zeros(len(places), np.uint64)
                 for w in words:
