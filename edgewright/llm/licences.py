@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from edgewright.llm.shared import written
 
 #: Base phrases and their labels.
-PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Templates in words, with the labels they give.
 TEMPLATES = (
     ("released under the mit license", "mit"),
@@ -41,7 +41,8 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
     Null and empty texts have no words, no labels and score 0. ``score`` is the largest share of a matched template's words
-    in a block, or 1 where a base phrase stands. Repeated rows have equal results; other columns are left out.
+    in a block, or 1 where a base phrase stands. Texts of any length are read whole, in blocks. Repeated rows have equal results; of templates that share
+    as much all labels are given. An empty table gives an empty one; other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
     vocabulary = sorted({w for t, _ in TEMPLATES for w in t.split()})
