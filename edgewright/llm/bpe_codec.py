@@ -39,8 +39,8 @@ def _codec(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 def encode_decode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text, decode the ids, and return a digest of both, one row for each input row.
 
-    A null text counts as empty: no ids, and the digests of the empty string. Repeated rows give repeated
-    results; other columns are left out, whatever their names.
+    A null text counts as empty: no ids, and the digests of the empty string. Texts of any length are encoded whole. Repeated rows give repeated
+    results, an empty table an empty one; other columns are left out, whatever their names.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

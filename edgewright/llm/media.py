@@ -486,7 +486,10 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_as_avi(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): every whole text's UTF-8 bytes (null: none), padded with zeros to a positive multiple of 64, as AVI."""
+    """(doc_id, n_bytes, media): every whole text's UTF-8 bytes (null: none), padded with zeros to a positive multiple of 64, as AVI.
+
+    Texts of any length are stored whole, repeated rows each; an empty table gives an empty one, other columns are left out, whatever their names.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(_store, f"doc_id {kind}, n_bytes long, media binary")

@@ -71,8 +71,8 @@ def pareto_mix(
     probability of one more copy. Rows are ranked by random odds over inclusion odds and taken in that order until the
     source's residual words are reached; up to LAST_PLACES more go to those untaken documents that land nearest the residual.
     Randomness is a hash of seed, doc_id and text, so reruns agree and equal rows share one decision, by the size of all of them. Null and empty texts
-    have size 0; a null source is a source of its own; a source without words has target 0. Only per-source sums
-    and one step of keys of each source meet in a task.
+    have size 0; a null source is a source of its own; a source without words has target 0. Texts of any length are read only for their size; an empty
+    table gives an empty one; other columns are left out, whatever their names. Only per-source sums and one step of keys of each source meet in a task.
     """
     if not 0 < most <= 2 or share > most:
         raise ValueError("a document can be taken twice at most")

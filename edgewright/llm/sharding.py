@@ -32,7 +32,8 @@ def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 6) -> DataF
     Rows of a source are shuffled by a seeded hash and ranked; rank over the source's count, moved by a phase of the
     source so that small sources spread, orders all rows, and equal cuts of that order are the shards. The hash covers
     doc_id and text: equal texts fall anywhere, repeated rows are told apart by nothing and take neighbouring places.
-    A null source is a source of its own; null texts count no bytes. ``grown_shard`` is null under this law.
+    A null source is a source of its own; null texts count no bytes. ``grown_shard`` is null under this law. Texts of any length are read only for their
+    size and checksum; an empty table gives an empty one; other columns are left out, whatever their names.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(

@@ -51,8 +51,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id"
     """Encode every text (null: empty), append END_ID, and write an ORC table in ascending order of document id.
 
     File k holds the k-th range of ids; ``part`` is k and ``place`` the number of ids before a document in its
-    file, so a document's global start needs only the files' totals. Equal document ids are ordered by
-    text, null ids come first; equal rows stay rows of their own. Extra columns are left out.
+    file, so a document's global start needs only the files' totals. Equal document ids are ordered by the hash of their
+    text, null ids come first; equal rows stay rows of their own. Texts of any length are encoded whole, an empty table gives a table without rows.
+    Extra columns are left out, whatever their names.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     order = ["doc_id", F.xxhash64("text")]

@@ -34,7 +34,7 @@ _GAP[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]]
 
 
 def held_out(doc_id: Column) -> Column:
-    """Whether a document's label must not be learnt from."""
+    """Whether a document's label must not be learnt from; null for a null doc_id, which no label can belong to."""
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
