@@ -145,7 +145,7 @@ def test_flat_frame_decodes_to_its_grey():
 
 
 def test_license_scan(spark, texts):
-    more = ["Released under the MIT License.", "the mit license the MIT-license", "Apache License, Version 2 and cc-by-nc", "x " * 30 + "Licensed under CC BY-NC 4.0. " + "y " * 30]
+    more = ["Released under the MIT License.", "under the mit license, Under the MIT-license; the mit license", "Apache License, Version 2 and cc-by-nc", "x " * 30 + "Licensed under CC BY-NC 4.0. " + "y " * 30]
     more.append("This work is licensed under the GNU General Public License, version 3.")
     every = [*texts, *more]
     got = {r.doc_id: r for r in licences.scan_licenses(frame(spark, every)).collect()}
