@@ -96,6 +96,8 @@ def resolve_names(names: DataFrame, imports: DataFrame, declared: DataFrame, fil
         seen = kept(moved.unionByName(behind).join(own, ["at", "as"], "left"), "seen")
         ended.append(seen.where("line is not null").select("file", "name", F.lit("declared").alias("status"), F.col("at").alias("declared_in"), "line", none("string").alias("module"), none("string").alias("reason"), "route", "star"))
         front = seen.where("line is null").drop("line")
+        if front.isEmpty():
+            break
     ended.append(fails(front, F.col("at"), F.lit(f"re-export chain exceeded {hops} hops")))
     out = ended[0]
     for rows in ended[1:]:
