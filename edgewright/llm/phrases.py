@@ -22,6 +22,8 @@ GAP = SEPARATOR.copy()
 GAP[[0x20, 0x09]] = True
 #: Bytes of text of one language that share a suffix array, unless a single text is longer; about so many bytes fall to one cell of the merge.
 SHARD_BYTES, CELL_BYTES = 8 << 20, 4 << 20
+#: Cells of a shard that are given on together.
+CELLS = 8
 UNKNOWN = "und"
 
 _PARTS = "cell int, lang string, n int, keys array<bigint>, counts array<int>, words array<string>"
@@ -41,7 +43,9 @@ def suffix_intervals(ids: np.ndarray, piece: np.ndarray, longest: int) -> Iterat
         return
     shift = np.concatenate([[0], np.cumsum(piece[1:] != piece[:-1])])
     at = np.arange(m) + shift  # a terminator stands between pieces
-    text = np.zeros(m + int(shift[-1]) + 2 * longest, dtype=np.int64)
+    last = int(shift[-1])
+    del shift
+    text = np.zeros(m + last + 2 * longest, dtype=np.int64)
     text[at] = np.unique(ids, return_inverse=True)[1] + 1
     rank, width = text, 1
     while width < longest:
@@ -49,6 +53,7 @@ def suffix_intervals(ids: np.ndarray, piece: np.ndarray, longest: int) -> Iterat
         rank, width = np.unique(rank * (int(rank.max()) + 1) + ahead, return_inverse=True)[1].astype(np.int64), 2 * width
     suffixes = np.argsort(rank[at], kind="stable")
     places = at[suffixes]
+    del rank, at
     common, shared, room = np.zeros(m, np.int64), np.ones(m - 1, dtype=bool), np.zeros(m, np.int64)
     inside = np.ones(m, dtype=bool)
     for k in range(longest):
@@ -94,7 +99,7 @@ def _parts(batches: Iterator[pa.RecordBatch], longest: int, cells: int, key: byt
                     offsets = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int32)
                     data = K.ragged(buf, s, e - s)
                     texts = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.StringArray.from_buffers(len(s), pa.py_buffer(offsets), pa.py_buffer(data)))
-                yield pa.RecordBatch.from_arrays(
+                made = pa.RecordBatch.from_arrays(
                     [
                         pa.array(found.astype(np.int32)),
                         pa.array([lang] * len(found), pa.string()),
@@ -105,6 +110,11 @@ def _parts(batches: Iterator[pa.RecordBatch], longest: int, cells: int, key: byt
                     ],
                     names=["cell", "lang", "n", "keys", "counts", "words"],
                 )
+                del words, cell, order, flat, texts
+                for a in range(0, made.num_rows, CELLS):  # a few cells at a time cross to the JVM
+                    yield made.slice(a, CELLS)
+            del made, ids, before, starts, ends
+            K.give_back()  # several workers share an executor's memory
 
     waiting = 0
     for batch in batches:
@@ -152,6 +162,7 @@ def _merged(table: pa.Table, least: int) -> pa.Table:
             flat = np.ascontiguousarray(keys[:, begin].T).reshape(-1)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1, dtype=np.int32) * n), pa.array(flat))
             out.append(pa.table([pa.array([lang] * len(begin), pa.string()), pa.array(np.full(len(begin), n, np.int32)), listed, pa.array(f), words], names=["lang", "n", "key", "f", "word"]))
+    K.give_back()
     return pa.concat_tables(out)
 
 
