@@ -42,7 +42,8 @@ def stated(spark: SparkSession, sf_dir: str, schema: str, rows: list[tuple]) ->
 def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the suppliers' files and of one that holds examples in strings and comments."""
     more = stated(spark, sf_dir, "path string, content string", [(DOC, DOCUMENTED)]).withColumn("content", F.col("content").cast("binary"))
-    return files.lines(files.gate(files.supported(repository(spark, sf_dir).unionByName(more))), raw=True)
+    read = files.supported(repository(spark, sf_dir).unionByName(more)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return kept(files.lines(files.gate(read), raw=True), "lines")
 
 
 _ENUMERATED = [
@@ -164,7 +165,7 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, "orders", "customer", "part", "nation")
     more = stated(spark, sf_dir, "path string, content string", [(DOC, DOCUMENTED)]).withColumn("content", F.col("content").cast("binary"))
     read = files.gate(files.supported(repository(spark, sf_dir))).unionByName(files.gate(files.supported(more)))
-    found = kept(tokens.tokens(read), "tokens")
+    found = tokens.tokens(read)
     results = spark.sql("select case o_orderstatus when 'F' then 'exact' when 'O' then 'ambiguous' else 'no-match' end as status from orders")
     folded = spark.sql("select case c_custkey % 2 when 0 then 'resolved' else 'partial' end as status from customer")
     models = spark.sql(_MODELS).withColumnRenamed("tab", "table")
