@@ -62,7 +62,7 @@ def analyse(files: DataFrame, aliases: DataFrame | None = None) -> Run:
     Refusals stay in ``results``. A node of one kind, name and file is one. Edges: a request to the route that serves it, a call towards a function that requests, a model to its table,
     a function to the model it uses. Tables that several steps read are written once to the shared folder.
     """
-    found = kept(tokens.tokens(files), "tokens")
+    found = tokens.tokens(files)
     symbols = kept(extract.with_exports(extract.symbols(found), found), "symbols")
     imports = kept(extract.imports(found).withColumn("seq", F.col("line")), "imports")
     aliases = kept(extract.build_aliases(found), "aliases") if aliases is None else aliases

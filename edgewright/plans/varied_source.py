@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewright.operators import extract, tokens
-from edgewright.operators.rounds import kept
 from edgewright.plans.catalog import query
 from edgewright.plans.source_text import MARK
 from edgewright.sources import files
@@ -154,7 +153,7 @@ def varied_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(varied("requests", "callee method url_kind url_value enclosing"))
 def varied_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests by call or by configuration object, with the function around; registrations of handlers are none."""
-    found = kept(varied_tokens(spark, sf_dir), "tokens")
+    found = varied_tokens(spark, sf_dir)
     around = extract.symbols(found).where("kind in ('function', 'class', 'method')").select("file", F.col("stmt").alias("scope"), F.col("name").alias("enclosing"))
     return extract.http_calls(found).join(around, ["file", "scope"], "left").select("file", "line", "callee", "method", "url_kind", "url_value", "enclosing")
 
