@@ -9,6 +9,20 @@ from edgewright import schemas
 from edgewright.functions import paths as P
 
 
+#: Clients that one task ranks and decides.
+MOST_CLIENTS = 100_000
+
+
+def dealt(clients: DataFrame) -> DataFrame:
+    """Client observations dealt out by client_id, into more partitions the more there are.
+
+    Where routes are few enough to be sent to all tasks, candidates, ranks, decisions and evidence keep this dealing: observations are shuffled once, before
+    they grow by segments, candidates and reasons, and what a task holds does not grow with the table. Counting reads no text.
+    """
+    least = int(clients.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return clients.repartition(max(least, -(-clients.count() // MOST_CLIENTS)), "client_id")
+
+
 def unsupported_reason() -> Column:
     """Why a canonical client is not matched at all, in the order of the checks; null if it is."""
     return (
@@ -118,7 +132,7 @@ def decisions(clients: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     first = own.select("client_id", status.alias("status"), "b.route_id", "b.route", "b.handler", (-F.col("b.order")).alias("confidence"), "b.reasons")
     all_clients = clients.select("client_id", unsupported_reason().alias("unsupported_reason"))
-    joined = all_clients.join(first, "client_id", "left")
+    joined = all_clients.join(first.hint("merge"), "client_id", "left")  # both grow with the clients
     return joined.withColumn("status", F.when(F.col("unsupported_reason").isNotNull(), "unsupported").otherwise(F.coalesce("status", F.lit("no-match"))))
 
 
@@ -127,7 +141,7 @@ def evidence(pairs: DataFrame, clients: DataFrame, routes: DataFrame) -> DataFra
     shown = lambda: F.concat(P.show_methods(F.col("methods")), F.lit(" "), P.display(F.col("segments"), F.col("trailing_slash"), F.col("scheme"), F.col("authority")))
     c = clients.select("client_id", shown().alias("__client"))
     r = routes.select("route_id", shown().alias("__route"), F.concat("file", F.lit(":"), F.col("line").cast("string")).alias("__at"))
-    rows = pairs.join(c, "client_id").join(r, "route_id")
+    rows = pairs.join(c.hint("merge"), "client_id").join(r, "route_id")
     places = lambda kind: F.transform(F.filter("reasons", lambda x: F.substring_index(x, "@", 1) == kind), lambda x: F.substring_index(x, "@", -1))
     has = lambda kind: F.array_contains("reasons", kind)
     several = lambda kind, text: F.when(F.size(places(kind)) > 0, F.concat(F.lit(text[0]), F.array_join(places(kind), ", "), F.lit(text[1])))

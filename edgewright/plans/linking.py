@@ -194,6 +194,6 @@ def evidence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence that explains each order client's first candidate."""
     from edgewright.plans import observations as O
 
-    c, r = canonical.canonical_clients(O.clients(spark, sf_dir).where("file = 'orders.ts'")), canonical.canonical_routes(O.routes(spark))
+    c, r = canonical.canonical_clients(matching.dealt(O.clients(spark, sf_dir).where("file = 'orders.ts'"))), F.broadcast(canonical.canonical_routes(O.routes(spark)))
     first = matching.ranked(matching.candidates(c, r)).where("rank = 1")
     return matching.evidence(first, c, r).select("client_id", "evidence")
