@@ -340,3 +340,10 @@ def encoder(path: str, trie: bool, derive=None) -> Encoder:
         _encoders.clear()
         _encoders[key] = Encoder(path, trie, derive)
     return _encoders[key]
+
+
+def forget() -> None:
+    """Drop the encoder that an earlier stage left in this worker, before a stage that needs the memory."""
+    if _encoders:
+        _encoders.clear()
+        K.give_back()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
+from edgewright.llm import bpe
 from edgewright.llm import kernels as K
 
 #: (UTF-8 bytes from, lowest and highest ratio of plain to compressed size that is accepted) where no labelled
@@ -29,9 +29,9 @@ BANDS = (
 #: Chunks of so many bytes, the last one shorter, must each lie in the band of their own length, but for this share of them.
 CHUNK = 4096
 CHUNK_SHARE = 0.25
-#: Bands are fitted to at most so many documents labelled good, by steps of half an octave of length that hold enough
-#: texts and chunks: the TAIL quantiles of their ratios, moved out by MARGIN times their distance from the median.
-MOST_GOOD = 5000
+#: Bands are fitted to all documents labelled good, by steps of half an octave of length that hold enough texts and chunks: the TAIL
+#: quantiles of their ratios (counted to RATIO_DIGITS decimals, so that a step's counts stay few), moved out by MARGIN times their distance from the median.
+RATIO_DIGITS = 4
 STEPS, LEAST_PIECES = 2, 30
 TAIL, MARGIN = 0.005, 0.1
 LEVEL = 3
@@ -135,27 +135,38 @@ def _verdict(sizes: list[int], ratios: list[float], bands: Bands) -> tuple[float
     return ratios[0], n_chunks, bad, "chunks" if bad > CHUNK_SHARE * n_chunks else None
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Length and ratio of each text that passes the base rules, and of the chunks of the longer ones."""
-    packer = zstandard.ZstdCompressor(level=LEVEL)
-    for batch in batches:
-        for _, _, buf, offs in K.chunks(batch.column(0)):
-            view, sizes, ratios = memoryview(np.ascontiguousarray(buf)), [], []
-            for i in np.flatnonzero(~_failed(base_counts(buf, offs))).tolist():
+def _pieces(column: pa.Array) -> pa.Array:
+    """Lengths and ratios of each text that passes the base rules, and of the chunks of the longer ones; none of the others."""
+    bpe.forget()
+    packer, counts, sizes, ratios = zstandard.ZstdCompressor(level=LEVEL), [0], [], []
+    for _, _, buf, offs in K.chunks(column):
+        view = memoryview(np.ascontiguousarray(buf))
+        for i, failed in enumerate(_failed(base_counts(buf, offs)).tolist()):
+            if not failed:
                 n, ratio = _measure(view[offs[i] : offs[i + 1]], packer)
                 once = len(n) if n[0] > CHUNK else 1
                 sizes += n[:once]
                 ratios += ratio[:once]
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(ratios, pa.float64())], names=["size", "ratio"])
+            counts.append(len(sizes))
+    pieces = pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(ratios, pa.float64())], names=["size", "ratio"])
+    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pieces)
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, text: str = "text") -> Bands:
+    """The bands of all documents that ``labels`` (doc_id, quality) call good; a row for each step of length comes to the driver.
+
+    Texts are measured where they lie and only their lengths and ratios meet the labels.
+    """
 
+    def measure(column: pa.Array) -> pa.Array:
+        return _pieces(column)
 
-def fit_bands(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 7) -> Bands:
-    """The bands of the documents that ``labels`` (doc_id, quality) call good, see MOST_GOOD; a few rows come to the driver."""
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    chosen = good.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(MOST_GOOD).select("doc_id")
-    pieces = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(text).mapInArrow(_pieces, "size long, ratio double")
-    tails = F.percentile("ratio", F.array(F.lit(TAIL), F.lit(0.5), F.lit(1 - TAIL))).alias("q")
-    steps = pieces.groupBy(F.floor(F.log2("size") * STEPS).alias("step")).agg(tails, F.count("*").alias("n"))
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    measured = docs.select("doc_id", F.arrow_udf(measure, "array<struct<size: bigint, ratio: double>>", ArrowUDFType.SCALAR)(docs[text]).alias("pieces"))
+    pieces = measured.where(F.size("pieces") > 0).join(good, "doc_id", "left_semi").select(F.explode("pieces").alias("p"))
+    counted = pieces.groupBy(F.floor(F.log2("p.size") * STEPS).alias("step"), F.round("p.ratio", RATIO_DIGITS).alias("ratio")).agg(F.count("*").alias("n"))
+    tails = F.percentile("ratio", F.array(F.lit(TAIL), F.lit(0.5), F.lit(1 - TAIL)), F.col("n")).alias("q")
+    steps = counted.groupBy("step").agg(tails, F.sum("n").alias("n"))
     found = sorted((r.step, *r.q) for r in steps.where(F.col("n") >= LEAST_PIECES).collect())
     at = tuple((step + 0.5) / STEPS for step, *_ in found)
     return Bands(at, tuple(lo - MARGIN * (mid - lo) for _, lo, mid, _ in found), tuple(hi + MARGIN * (hi - mid) for _, _, mid, hi in found))
@@ -163,6 +174,7 @@ def fit_bands(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int
 
 def _verdicts(column: pa.Array, bands: Bands) -> pa.Array:
     """The columns of SCHEMA of each text, as structs."""
+    bpe.forget()
     packer, parts = zstandard.ZstdCompressor(level=LEVEL), []
     for _, _, buf, offs in K.chunks(column):
         out = base_counts(buf, offs)

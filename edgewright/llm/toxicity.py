@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
+from edgewright.llm import bpe
 from edgewright.llm import kernels as K
 
 #: Bounds of the labelled sample that is fetched for training, by class; the smallest seeded hashes are taken.
@@ -55,7 +56,7 @@ def grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return np.concatenate(words), (K.mix(np.concatenate(found)) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def _sorted_grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+def _sorted_grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words, word by word, and the n + 1 places where each word's begin; made in blocks to save memory."""
     flat, counts = [], []
     for a in range(0, len(starts), block):
@@ -234,6 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Model:
 
 
 def _train(batches: Iterator[pa.RecordBatch], share: float, seed: int) -> Iterator[pa.RecordBatch]:
+    bpe.forget()
     texts, labels, room = [], [], MOST_BYTES
     for batch in batches:
         for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -248,20 +250,30 @@ def _train(batches: Iterator[pa.RecordBatch], share: float, seed: int) -> Iterat
     yield pa.RecordBatch.from_arrays(columns, names=list(Model._fields))
 
 
+def _means(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, block: int = 1 << 12) -> np.ndarray:
+    """Mean value of each word's buckets; made in blocks, since the n-grams of all words take far more memory than the text."""
+    out = np.zeros(len(starts))
+    for a in range(0, len(starts), block):
+        low, high = int(starts[a : a + block].min()), int(ends[a : a + block].max())
+        word, bucket = grams(buf[low:high], starts[a : a + block] - low, ends[a : a + block] - low)
+        out[a : a + block] = np.bincount(word, values[bucket]) / np.bincount(word)
+    return out
+
+
 def logits(buf: np.ndarray, offs: np.ndarray, model: Model) -> np.ndarray:
     """Logit of each text of a chunk, from its averaged bag and its highest window; the prior where there is no word."""
     buf = K.LOWER[buf]
     starts, ends, which, first = _distinct(buf, offs)
     if not len(starts):
         return np.full(len(offs) - 1, model.empty)
-    word, bucket = grams(buf, starts, ends)
-    scores = np.bincount(word, model.buckets[bucket], len(starts)) / np.bincount(word, minlength=len(starts))
+    scores = _means(buf, starts, ends, model.buckets)
     high = _highest(*_windows(scores[which], first))
     some = np.isfinite(high)
     return np.where(some, model.mean * _averages(scores[which], first) + model.slope * np.where(some, high, 0.0) + model.offset, model.empty)
 
 
 def _scores(column: pa.Array, model: Model) -> pa.Array:
+    bpe.forget()
     parts = [logits(buf, offs, model) for _, _, buf, offs in K.chunks(column)]
     return pa.array((1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *parts]), -30, 30)))).round(6))
 
