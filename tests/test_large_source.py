@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgewright.operators import extract, labelling, tokens
+from edgewright.plans import source_text
 from edgewright.sources import files
 
 
@@ -37,3 +38,20 @@ def test_labels_and_endpoints_do_not_broadcast(spark, source):
     labels = labelling.label_edges(edges, nodes, lines, labelling.stated_tables(lines), labelling.stated_requests(lines, edges), served)
     assert "Broadcast" not in plan(labels) and "Broadcast" not in plan(labelling.endpoint_checks(edges, nodes, lines))
     assert {r.id: r.label for r in labels.collect()} == {"e": "UNVERIFIABLE", "c": "UNVERIFIABLE"}
+
+
+def test_files_of_a_small_table_of_keys_are_made_by_many_tasks(spark, tmp_path):
+    spark.range(200).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    made = source_text.repository(spark, str(tmp_path))
+    assert made.count() == 200 * 9
+    assert len(made.select(F.spark_partition_id().alias("task")).distinct().collect()) > 1
+
+
+def test_routes_and_what_they_decorate_are_told_by_the_heads_of_statements(spark):
+    text = '@app.get("/a", methods=["GET"])\n@other\nasync def f(x=path("no")):\n    y = 1\nurls = [path("b/", g), views.re_path("c/", h)]\n'
+    found = tokens.tokens(files.from_rows(spark, [("a.py", text)]))
+    shown = plan(extract.routes(found))
+    assert "holder" in shown and "head" in shown
+    assert sorted((r.line, r.path_value, r.handler) for r in extract.routes(found).collect()) == [(1, "/a", "f"), (5, "b/", "g"), (5, "c/", "h")]
+    got = {(r.head, r.holder) for r in found.where("text in ('[', 'y', 'h')").collect()}
+    assert got == {("@", "app.get"), ("y", None), ("urls", None), ("urls", "views.re_path")}
