@@ -55,3 +55,12 @@ def test_routes_and_what_they_decorate_are_told_by_the_heads_of_statements(spark
     assert sorted((r.line, r.path_value, r.handler) for r in extract.routes(found).collect()) == [(1, "/a", "f"), (5, "b/", "g"), (5, "c/", "h")]
     got = {(r.head, r.holder) for r in found.where("text in ('[', 'y', 'h')").collect()}
     assert got == {("@", "app.get"), ("y", None), ("urls", None), ("urls", "views.re_path")}
+
+
+def test_strings_read_only_imports_and_places_with_a_plus(spark):
+    text = "import a from 'm'\nexport { b } from './n'\nconst c = 'p' + d + f('q' + 'r', 's')\nexport const e = ['t', 'u']\n"
+    found = tokens.tokens(files.from_rows(spark, [("a.ts", text)]))
+    shown = plan(extract.strings(found))
+    assert "summed" in shown and "head" in shown
+    assert sorted(r.value for r in extract.strings(found).collect()) == ["t", "u"]
+    assert {r.text for r in found.where("summed and kind = 'name'").collect()} == {"const", "c", "d", "f"}
