@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgewright.operators import extract, tokens
 from edgewright.plans.catalog import query
-from edgewright.plans.source_text import MARK
+from edgewright.plans.source_text import MARK, suppliers
 from edgewright.sources import files
 
 #: (language, code, facts): facts by query as rows of (line within the code, values); the supplier's key stands for the mark.
@@ -105,7 +105,7 @@ def held(key: str, snippet: str) -> str:
 
 def varied_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of a Python and a TypeScript file for each supplier."""
-    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    keys = suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("k"))
     made = []
     for language in ("py", "ts"):
         parts = [F.when(F.expr(held("k", str(i))), F.lit(code)).otherwise("") for i, (of, code, _) in enumerate(SNIPPETS) if of == language]

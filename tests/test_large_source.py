@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgewright.operators import extract, labelling, tokens
-from edgewright.plans import source_text
+from edgewright.plans import source_text, varied_source
 from edgewright.sources import files
 
 
@@ -64,3 +64,12 @@ def test_strings_read_only_imports_and_places_with_a_plus(spark):
     assert "summed" in shown and "head" in shown
     assert sorted(r.value for r in extract.strings(found).collect()) == ["t", "u"]
     assert {r.text for r in found.where("summed and kind = 'name'").collect()} == {"const", "c", "d", "f"}
+
+
+@pytest.mark.parametrize("made", [varied_source.varied_tokens, source_text.more_tokens])
+def test_tokens_of_suppliers_start_from_dealt_keys(spark, tmp_path, monkeypatch, made):
+    spark.range(50).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    seen = []
+    monkeypatch.setattr(tokens, "tokens", lambda read: seen.append(read))
+    made(spark, str(tmp_path))
+    assert seen[0].rdd.getNumPartitions() == 4
