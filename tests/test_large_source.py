@@ -73,3 +73,14 @@ def test_tokens_of_suppliers_start_from_dealt_keys(spark, tmp_path, monkeypatch,
     monkeypatch.setattr(tokens, "tokens", lambda read: seen.append(read))
     made(spark, str(tmp_path))
     assert seen[0].rdd.getNumPartitions() == 4
+
+
+def test_routers_and_calls_read_only_the_brackets_of_calls(spark):
+    text = 'r = fastapi.APIRouter(prefix="/a")\nmain.include_router(r, prefix="/b")\ndef f(a, b=go([1, 2], {3: 4})):\n    return x[stop(), 1]\n'
+    found = tokens.tokens(files.from_rows(spark, [("a.py", text)]))
+    declared, included = extract.routers(found)
+    called = extract.calls(found)
+    assert all("holder" in plan(x) for x in (declared, included, called))
+    assert [(r.name, r.prefix) for r in declared.collect()] == [("r", "/a")]
+    assert [(r.parent, r.child, r.prefix) for r in included.collect()] == [("main", "r", "/b")]
+    assert sorted((r.callee, r.argument_count) for r in called.collect()) == [("fastapi.APIRouter", 1), ("main.include_router", 2), ("stop", 0)]
