@@ -9,7 +9,7 @@ from edgewright.operators import extract, labelling, report, tokens
 from edgewright.operators.rounds import kept
 from edgewright.plans.catalog import query
 from edgewright.plans.observations import views
-from edgewright.plans.source_text import MARK, PY, TS, facts, repository
+from edgewright.plans.source_text import MARK, PY, TS, facts, repository, suppliers
 from edgewright.sources import files
 
 DOCUMENTED = '''"""Usage:
@@ -33,10 +33,10 @@ DOC = "doc/s@@.py"
 def stated(spark: SparkSession, sf_dir: str, schema: str, rows: list[tuple]) -> DataFrame:
     """The rows for every supplier, whose key stands for the mark in texts."""
     names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
-    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("k"))
+    keys = suppliers(spark, sf_dir).select(F.col("s_suppkey").cast("string").alias("k"))
     show = lambda v, kind: F.replace(F.lit(v), F.lit(MARK), F.col("k")) if isinstance(v, str) else F.lit(v).cast(kind)
     each = [F.struct(*(show(v, k).alias(n) for v, n, k in zip(r, names, kinds, strict=True))) for r in rows]
-    return suppliers.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    return keys.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
 def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgewright.operators import extract, labelling, tokens
+from edgewright.plans import labelling as labelled
 from edgewright.plans import source_text, varied_source
 from edgewright.sources import files
 
@@ -84,3 +85,9 @@ def test_routers_and_calls_read_only_the_brackets_of_calls(spark):
     assert [(r.name, r.prefix) for r in declared.collect()] == [("r", "/a")]
     assert [(r.parent, r.child, r.prefix) for r in included.collect()] == [("main", "r", "/b")]
     assert sorted((r.callee, r.argument_count) for r in called.collect()) == [("fastapi.APIRouter", 1), ("main.include_router", 2), ("stop", 0)]
+
+
+def test_stated_rows_of_suppliers_start_from_dealt_keys(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = labelled.stated(spark, str(tmp_path), "id string, line int", [("a@@", 1), ("b@@", 2)])
+    assert rows.rdd.getNumPartitions() == 4 and rows.count() == 100
