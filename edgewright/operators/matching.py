@@ -16,11 +16,17 @@ MOST_CLIENTS = 100_000
 def dealt(clients: DataFrame) -> DataFrame:
     """Client observations dealt out by client_id, into more partitions the more there are.
 
-    Where routes are few enough to be sent to all tasks, candidates, ranks, decisions and evidence keep this dealing: observations are shuffled once, before
+    Where routes are few enough to be sent to all tasks, candidates, ranks, decisions and evidence keep this dealing: observations are shuffled before
     they grow by segments, candidates and reasons, and what a task holds does not grow with the table. Counting reads no text.
+    A shuffle into at most ``spark.shuffle.sort.bypassMergeThreshold`` partitions writes rows as they come; one into more first gathers all rows of a task.
+    So where there are more, clients are dealt in two steps: first into that many, then each of these small parts into all.
     """
-    least = int(clients.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return clients.repartition(max(least, -(-clients.count() // MOST_CLIENTS)), "client_id")
+    conf = clients.sparkSession.conf
+    wanted = max(int(conf.get("spark.sql.shuffle.partitions")), -(-clients.count() // MOST_CLIENTS))
+    streamed = int(conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    if 0 < streamed < wanted:
+        clients = P.once(clients.repartition(streamed, "client_id"), client_id=F.col("client_id"))  # else the two become one
+    return clients.repartition(wanted, "client_id")
 
 
 def unsupported_reason() -> Column:
