@@ -38,7 +38,7 @@ def test_dealing_into_many_tasks_goes_by_parts_that_are_written_as_they_come(spa
     assert shown.count("Exchange hashpartitioning(client_id") == 2 * shown.count(", 250), REPARTITION_BY_NUM")
 
 
-@pytest.mark.parametrize("name", ["ambiguous_clients"])
+@pytest.mark.parametrize("name", ["ambiguous_clients", "match_status_counts"])
 def test_query_dealt_into_many_tasks_equals_its_sql(spark, monkeypatch, name):
     monkeypatch.setattr(matching, "MOST_CLIENTS", 5)
     wanted = -(-observations.clients(spark, DATA).count() // 5)
