@@ -48,22 +48,46 @@ def _pair(c: Column, r: Column) -> Column:
     )
 
 
+#: Groups of neighbours that a route's static segments are keyed by, since each doubles its keys; up to so many segments, each is a group.
+MOST_GROUPS = 8
+
+
+def _static_places(segments: Column) -> Column:
+    return F.filter(F.transform(segments, lambda s, i: F.when(s["kind"] == "static", i)), lambda i: i.isNotNull())
+
+
+def _grouped(places: Column) -> Column:
+    """Places in at most MOST_GROUPS groups, all but the last of one size."""
+    width = F.greatest(F.lit(1), F.ceil(F.size(places) / MOST_GROUPS).cast("int"))
+    return F.filter(F.transform(places, lambda p, i: F.when(i % width == 0, F.slice(places, i + 1, width))), lambda g: g.isNotNull())
+
+
+def _stated(segments: Column, group: Column) -> Column:
+    """The values of a group's segments, for a key. Segments have no slashes."""
+    return F.concat(F.lit("/="), F.array_join(F.transform(group, lambda i: F.get(segments, i)["value"]), "/"))
+
+
+def _key_of_client(shape: Column, segments: Column, groups: Column) -> Column:
+    """The shape, and of each group what the client states, if all its segments are static."""
+    known = lambda g: F.forall(g, lambda i: F.get(segments, i)["kind"] == "static")
+    return F.concat(shape, F.array_join(F.transform(groups, lambda g: F.when(known(g), _stated(segments, g)).otherwise("/*")), ""))
+
+
+def _keys_of_route(shape: Column, segments: Column, groups: Column) -> Column:
+    """The keys that any client's can be equal to: each group stated, or not known to the client."""
+    return F.aggregate(groups, F.array(shape), lambda keys, g: F.concat(F.transform(keys, lambda k: F.concat(k, _stated(segments, g))), F.transform(keys, lambda k: F.concat(k, F.lit("/*")))))
+
+
 def candidates(clients: DataFrame, routes: DataFrame) -> DataFrame:
     """Every possible pair of a supported client and an admitted route, with reasons, confidence and whether it tells routes apart.
 
-    One equi-join on a key of length and first segment: a client whose first segment is static probes its value and the
-    variables, any other probes all routes of its length. Routes ending in a wildcard are keyed without a length, which
-    the join's residue tests. A client's segments are made once, a route's once too.
+    One equi-join on all segments that are static on both sides. A route's shape is its length and the places of its static segments. Shapes are few, so a client
+    meets them first, by its length, and has one key for each; a route ending in a wildcard fits all lengths from its own. Which of its static segments a client
+    knows, a route cannot tell, so it has a key for every choice. A client's segments are made once, a route's once too.
     """
     c = clients.where(unsupported_reason().isNull()).select(
         "client_id", F.col("segments").alias("cs"), F.col("methods").alias("cm"), F.col("trailing_slash").alias("ct"), F.size("segments").alias("n")
     )
-    head = F.get(F.col("cs"), F.lit(0))
-    probe = lambda size: F.array(F.concat(size, F.lit("="), head["value"]), F.concat(size, F.lit("*")))
-    length = F.col("n").cast("string")
-    loose = F.array(F.concat(length, F.lit("?")), F.lit("w?"))
-    sure = F.coalesce(head["kind"] == "static", F.lit(False))
-    c = c.withColumn("key", F.explode(F.when(sure, F.concat(probe(length), probe(F.lit("w")))).otherwise(loose)))
     r = routes.where("status <> 'unsupported'").select(
         "route_id", F.col("segments").alias("rs"), F.col("methods").alias("rm"), F.col("trailing_slash").alias("rt"), F.size("segments").alias("m"), "handler"
     )
@@ -71,14 +95,16 @@ def candidates(clients: DataFrame, routes: DataFrame) -> DataFrame:
     early = F.exists(F.slice("rs", F.lit(1), F.greatest(F.col("m") - 1, F.lit(0))), lambda s: s["kind"] == "wildcard")
     tail = F.coalesce(F.get("rs", F.col("m") - 1)["kind"] == "wildcard", F.lit(False))
     r = r.where(~early).withColumn("wild", tail)
-    first = F.get(F.col("rs"), F.lit(0))
-    size = F.when(F.col("wild"), "w").otherwise(F.col("m").cast("string"))
-    own = F.when(first["kind"] == "static", F.concat(size, F.lit("="), first["value"])).otherwise(F.concat(size, F.lit("*")))
-    r = r.withColumn("key", F.explode(F.array(own, F.concat(size, F.lit("?")))))
-    fits = (c["key"] == r["key"]) & (F.col("n") >= F.col("m")) & P.methods_compatible(F.col("cm"), F.col("rm"))
-    met = c.join(r, fits).drop("key")
-
-    met = met.withColumn("fixed", F.col("m") - F.col("wild").cast("int"))
+    r = r.withColumn("fixed", F.col("m") - F.col("wild").cast("int"))
+    r = P.once(r, size=F.concat(F.when(F.col("wild"), "w").otherwise(""), F.col("m").cast("string")), places=_static_places(F.slice("rs", F.lit(1), F.col("fixed"))))
+    r = P.once(r, groups=_grouped(F.col("places")))
+    r = r.withColumn("shape", F.concat("size", F.lit(":"), F.col("groups").cast("string")))
+    shapes = F.broadcast(r.select("size", "shape", "groups").distinct())
+    r = r.withColumn("key", F.explode(_keys_of_route(F.col("shape"), F.col("rs"), F.col("groups")))).drop("size", "places", "groups", "shape")
+    lengths = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.when(i == 0, F.col("n").cast("string")).otherwise(F.concat(F.lit("w"), i.cast("string"))))
+    c = c.withColumn("size", F.explode(lengths)).join(shapes, "size").withColumn("key", _key_of_client(F.col("shape"), F.col("cs"), F.col("groups"))).drop("size", "groups", "shape")
+    met = c.join(r, (c["key"] == r["key"]) & P.methods_compatible(F.col("cm"), F.col("rm"))).drop("key")
+
     agree = F.zip_with(F.slice("cs", F.lit(1), F.col("fixed")), F.slice("rs", F.lit(1), F.col("fixed")), _pair)
     met = P.once(met, agree=agree).where(F.forall("agree", lambda x: x.isNotNull()))
     count = lambda kind: F.size(F.filter("agree", lambda x: x == kind))
