@@ -97,7 +97,7 @@ def analyse(files: DataFrame, aliases: DataFrame | None = None) -> Run:
     clients = kept(clients.select("client_id", "file", "language", "line", "seq", "enclosing", "method", pick("url_kind"), pick("url_value"), pick("url_parts")), "clients")
 
     canon, served = kept(canonical.canonical_clients(clients), "canonical-clients"), kept(canonical.canonical_routes(routes), "canonical-routes")
-    pairs = kept(matching.candidates(canon, served), "pairs")
+    pairs = kept(matching.candidates(canon.hint("merge"), served.hint("merge")), "pairs")  # both grow with the source
     results = kept(matching.decisions(canon, pairs), "results")
     good = matching.accepted(results).select("client_id", "route_id")
     told = matching.evidence(pairs.join(good, ["client_id", "route_id"], "left_semi"), canon, served).select("client_id", "route_id", "confidence", "evidence")

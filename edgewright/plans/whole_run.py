@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgewright.operators import run
 from edgewright.plans.catalog import query
-from edgewright.plans.source_text import MARK
+from edgewright.plans.source_text import MARK, suppliers
 from edgewright.sources import files
 
 API = """from app.m@@ import Alpha@@
@@ -37,7 +37,7 @@ ROUTE, TABLE, FROM = "s_suppkey % 3 = 0", "s_suppkey % 4 = 1", "s_suppkey % 5 =
 
 
 def project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    keys = suppliers(spark, sf_dir)
     put = lambda text, what, on, yes, no: F.replace(F.lit(text), F.lit(what), F.when(F.expr(on), yes).otherwise(no))
     texts = {
         "api/s@@.py": put(API, "PATH", ROUTE, "/other", "/items"),
