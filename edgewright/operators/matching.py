@@ -62,20 +62,22 @@ def _grouped(places: Column) -> Column:
     return F.filter(F.transform(places, lambda p, i: F.when(i % width == 0, F.slice(places, i + 1, width))), lambda g: g.isNotNull())
 
 
-def _stated(segments: Column, group: Column) -> Column:
-    """The values of a group's segments, for a key. Segments have no slashes."""
-    return F.concat(F.lit("/="), F.array_join(F.transform(group, lambda i: F.get(segments, i)["value"]), "/"))
+def _stated(segments: Column) -> Column:
+    """Static segments as a key has them; null for others. Segments have no slashes."""
+    return F.transform(segments, lambda s: F.when(s["kind"] == "static", F.concat(F.lit("/="), s["value"])))
 
 
-def _key_of_client(shape: Column, segments: Column, groups: Column) -> Column:
-    """The shape, and of each group what the client states, if all its segments are static."""
-    known = lambda g: F.forall(g, lambda i: F.get(segments, i)["kind"] == "static")
-    return F.concat(shape, F.array_join(F.transform(groups, lambda g: F.when(known(g), _stated(segments, g)).otherwise("/*")), ""))
+def _key_of_client(shape: Column, stated: Column, groups: Column) -> Column:
+    """The shape, and of each group what the client states, if it states all of it."""
+    at = lambda i: F.get(stated, i)
+    whole = lambda g: F.when(F.size(g) == 1, at(F.get(g, F.lit(0)))).when(F.forall(g, lambda i: at(i).isNotNull()), F.array_join(F.transform(g, at), ""))
+    return F.concat(shape, F.array_join(F.transform(groups, whole), "", "/*"))
 
 
-def _keys_of_route(shape: Column, segments: Column, groups: Column) -> Column:
+def _keys_of_route(shape: Column, stated: Column, groups: Column) -> Column:
     """The keys that any client's can be equal to: each group stated, or not known to the client."""
-    return F.aggregate(groups, F.array(shape), lambda keys, g: F.concat(F.transform(keys, lambda k: F.concat(k, _stated(segments, g))), F.transform(keys, lambda k: F.concat(k, F.lit("/*")))))
+    whole = lambda g: F.array_join(F.transform(g, lambda i: F.get(stated, i)), "")
+    return F.aggregate(groups, F.array(shape), lambda keys, g: F.concat(F.transform(keys, lambda k: F.concat(k, whole(g))), F.transform(keys, lambda k: F.concat(k, F.lit("/*")))))
 
 
 def candidates(clients: DataFrame, routes: DataFrame) -> DataFrame:
@@ -96,13 +98,13 @@ def candidates(clients: DataFrame, routes: DataFrame) -> DataFrame:
     tail = F.coalesce(F.get("rs", F.col("m") - 1)["kind"] == "wildcard", F.lit(False))
     r = r.where(~early).withColumn("wild", tail)
     r = r.withColumn("fixed", F.col("m") - F.col("wild").cast("int"))
-    r = P.once(r, size=F.concat(F.when(F.col("wild"), "w").otherwise(""), F.col("m").cast("string")), places=_static_places(F.slice("rs", F.lit(1), F.col("fixed"))))
-    r = P.once(r, groups=_grouped(F.col("places")))
-    r = r.withColumn("shape", F.concat("size", F.lit(":"), F.col("groups").cast("string")))
-    shapes = F.broadcast(r.select("size", "shape", "groups").distinct())
-    r = r.withColumn("key", F.explode(_keys_of_route(F.col("shape"), F.col("rs"), F.col("groups")))).drop("size", "places", "groups", "shape")
-    lengths = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.when(i == 0, F.col("n").cast("string")).otherwise(F.concat(F.lit("w"), i.cast("string"))))
-    c = c.withColumn("size", F.explode(lengths)).join(shapes, "size").withColumn("key", _key_of_client(F.col("shape"), F.col("cs"), F.col("groups"))).drop("size", "groups", "shape")
+    r = P.once(r, places=_static_places(F.slice("rs", F.lit(1), F.col("fixed"))))
+    r = P.once(r, groups=_grouped(F.col("places"))).withColumn("size", F.when(F.col("wild"), -1).otherwise(F.col("m")))
+    r = r.withColumn("shape", F.concat(F.when(F.col("wild"), "w").otherwise(""), F.col("m").cast("string"), F.lit(":"), F.col("groups").cast("string")))
+    shapes = F.broadcast(r.select("size", F.col("m").alias("least"), "shape", "groups").distinct())
+    r = r.withColumn("key", F.explode(_keys_of_route(F.col("shape"), _stated(F.col("rs")), F.col("groups")))).drop("size", "places", "groups", "shape")
+    c = c.withColumn("stated", _stated(F.col("cs"))).withColumn("size", F.explode(F.array("n", F.lit(-1)))).join(shapes, "size").where("least <= n")
+    c = c.withColumn("key", _key_of_client(F.col("shape"), F.col("stated"), F.col("groups"))).drop("size", "least", "groups", "shape", "stated")
     met = c.join(r, (c["key"] == r["key"]) & P.methods_compatible(F.col("cm"), F.col("rm"))).drop("key")
 
     agree = F.zip_with(F.slice("cs", F.lit(1), F.col("fixed")), F.slice("rs", F.lit(1), F.col("fixed")), _pair)
