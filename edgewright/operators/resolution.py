@@ -29,9 +29,14 @@ def first_contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
 
 
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """For each point (file, point_id, line) the shortest span (file, seq, name, start, end) around it, the first of equals; null without one. They meet in dyadic cells."""
-    met = stabbed(points.select("file", "point_id", "line"), spans.select("file", "seq", "name", "start", "end"), ["file"], "line", "start", "end")
-    best = met.groupBy("file", "point_id").agg(F.min(F.struct(F.col("end") - F.col("start"), "seq", "name")).alias("b"))
+    """For each point (file, point_id, line) the shortest span (file, seq, name, start, end) around it, the first of equals; null without one.
+
+    Lines and spans meet in dyadic cells, each line once and each cell with its shortest span alone; then points take what their line has found.
+    """
+    shortest = F.struct(F.col("end") - F.col("start"), "seq", "name")
+    met = stabbed(points.select("file", "line").distinct(), spans.select("file", "seq", "name", "start", "end"), ["file"], "line", "start", "end", least=shortest)
+    around = met.groupBy("file", "line").agg(F.min("least").alias("b"))
+    best = points.select("file", "point_id", "line").join(around, ["file", "line"]).groupBy("file", "point_id").agg(F.min("b").alias("b"))
     return points.join(best.select("file", "point_id", F.col("b.name").alias("name")), ["file", "point_id"], "left")
 
 
